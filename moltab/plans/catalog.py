@@ -4,3 +4,4 @@ from moltab.plans import q_metrics  # noqa: F401
 from moltab.plans.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]
+from moltab.plans import q_columns  # noqa: F401,E402
