@@ -6,3 +6,4 @@ from moltab.plans.registry import ORACLES, QUERIES
 __all__ = ["QUERIES", "ORACLES"]
 from moltab.plans import q_columns  # noqa: F401,E402
 from moltab.plans import q_scaling  # noqa: F401,E402
+from moltab.plans import q_fingerprints  # noqa: F401,E402
