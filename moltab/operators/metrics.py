@@ -234,8 +234,9 @@ def metrics_regression(df: DataFrame, known: str = "known", pred: str = "predict
     mse = F.col("_see") / n
     r2 = 1.0 - F.try_divide(mse, F.when(vary > 0, vary))
     if rounded:
-        mse_r = F.round(mse, 2)
-        return base.select(*by, F.round(ev, 2).alias("variance"), F.round(mae, 2).alias("mae"),
-                           mse_r.alias("mse"), F.sqrt(mse_r).alias("rmse"), F.round(r2, 2).alias("r2"))
+        from moltab.functions.numeric import round_half_away as rh
+        mse_r = rh(mse, 2)
+        return base.select(*by, rh(ev, 2).alias("variance"), rh(mae, 2).alias("mae"),
+                           mse_r.alias("mse"), F.sqrt(mse_r).alias("rmse"), rh(r2, 2).alias("r2"))
     return base.select(*by, ev.alias("variance"), mae.alias("mae"), mse.alias("mse"),
                        F.sqrt(mse).alias("rmse"), r2.alias("r2"))

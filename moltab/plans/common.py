@@ -6,22 +6,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from moltab.functions.numeric import round_half_away
+
 DIGITS = 6
 
 
+def line_key():
+    """Unique lineitem row key (order, line number, part, supplier, ship day) as text;
+    ``(l_orderkey, l_linenumber)`` alone repeats in the driver tables."""
+    return F.concat_ws("|", *[F.col(c).cast("string") for c in
+                              ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")],
+                       F.date_format("l_shipdate", "yyyyMMdd"))
+
+
+LINE_KEY_SQL = ("concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), "
+                "CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), strftime(l_shipdate, '%Y%m%d'))")
+
+
 def round_doubles(df: DataFrame, digits: int = DIGITS) -> DataFrame:
-    """Round every DOUBLE/FLOAT column (the oracle does the same)."""
+    """Round every DOUBLE/FLOAT column (the oracle does the same); -0.0 becomes 0.0."""
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(F.round(F.col(f.name).cast("double"), digits).alias(f.name))
+            cols.append(round_half_away(f.name, digits).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)
 
 
 def r(expr: str, digits: int = DIGITS) -> str:
-    return f"round(CAST({expr} AS DOUBLE), {digits})"
+    return f"(round(CAST({expr} AS DOUBLE), {digits}))"
 
 
 # -- SQL twins of moltab.operators.metrics (inputs: tn, fp, fn, tp columns) --

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from moltab.functions.rng import sql_hash32, sql_key, sql_lit
 from moltab.operators import columns, scaling, splits, stats
-from moltab.plans.common import r, round_doubles
+from moltab.plans.common import LINE_KEY_SQL, line_key, r, round_doubles
 from moltab.plans.registry import register, table
 
 FEATS = ["f_qty", "f_price", "f_disc", "f_tax", "f_line", "f_sparse", "f_zero", "f_flag"]
@@ -19,7 +19,7 @@ FEATS = ["f_qty", "f_price", "f_disc", "f_tax", "f_line", "f_sparse", "f_zero",
 def feat_view(spark, sf):
     li = table(spark, sf, "lineitem")
     return li.select(
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_id"),
+        line_key().alias("row_id"),
         F.col("l_quantity").alias("f_qty"), F.col("l_extendedprice").alias("f_price"),
         F.col("l_discount").alias("f_disc"), F.col("l_tax").alias("f_tax"),
         F.col("l_linenumber").cast("double").alias("f_line"),
@@ -29,7 +29,7 @@ def feat_view(spark, sf):
         F.col("l_returnflag"), F.col("l_linestatus"))
 
 
-FEAT_SQL = """(SELECT l_orderkey * 8 + l_linenumber AS row_id, l_quantity AS f_qty,
+FEAT_SQL = f"""(SELECT {LINE_KEY_SQL} AS row_id, l_quantity AS f_qty,
   l_extendedprice AS f_price, l_discount AS f_disc, l_tax AS f_tax, CAST(l_linenumber AS DOUBLE) AS f_line,
   CASE WHEN l_linenumber >= 5 THEN l_discount END AS f_sparse, l_discount * 0.0 AS f_zero,
   CAST(l_returnflag = 'R' AS DOUBLE) AS f_flag, l_returnflag, l_linestatus FROM lineitem)"""
@@ -128,14 +128,14 @@ WHERE f_qty IS NOT NULL AND f_sparse IS NOT NULL""")(q_drop_null_rows)
 
 def q_drop_rows_min_nonnull(spark, sf):
     li = table(spark, sf, "lineitem")
-    v = li.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_id"),
+    v = li.select(line_key().alias("row_id"),
                   F.when(F.col("l_linenumber") >= 3, F.col("l_tax")).alias("a"),
                   F.when(F.col("l_quantity") > 25, F.col("l_discount")).alias("b"),
                   F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).alias("c"))
     return columns.drop_rows_min_nonnull(v, 2, ["a", "b", "c"])
 
 
-register("drop_rows_min_nonnull", """SELECT * FROM (SELECT l_orderkey * 8 + l_linenumber AS row_id,
+register("drop_rows_min_nonnull", f"""SELECT * FROM (SELECT {LINE_KEY_SQL} AS row_id,
   CASE WHEN l_linenumber >= 3 THEN l_tax END AS a, CASE WHEN l_quantity > 25 THEN l_discount END AS b,
   CASE WHEN l_returnflag = 'R' THEN l_quantity END AS c FROM lineitem)
 WHERE (CAST(a IS NOT NULL AS INTEGER) + CAST(b IS NOT NULL AS INTEGER) + CAST(c IS NOT NULL AS INTEGER)) >= 2""")(

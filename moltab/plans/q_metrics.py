@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from moltab.operators import curves, metrics
-from moltab.plans.common import (r, round_doubles, sql_counts, sql_curve_cte, sql_curve_summary,
+from moltab.plans.common import (LINE_KEY_SQL, line_key, r, round_doubles, sql_counts, sql_curve_cte, sql_curve_summary,
                                  sql_rate_select)
 from moltab.plans.registry import register, table
 
@@ -18,12 +18,12 @@ from moltab.plans.registry import register, table
 def clf_view(spark, sf):
     li = table(spark, sf, "lineitem")
     score = F.col("l_quantity") / 50.0
-    return li.select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus",
+    return li.select(line_key().alias("row_id"), "l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus",
                      (F.col("l_discount") >= 0.05).cast("int").alias("known"),
                      score.alias("score"), (score >= 0.5).cast("int").alias("prediction"))
 
 
-CLF_SQL = """(SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus,
+CLF_SQL = f"""(SELECT {LINE_KEY_SQL} AS row_id, l_orderkey, l_linenumber, l_returnflag, l_linestatus,
        CAST(l_discount >= 0.05 AS INTEGER) AS known, l_quantity / 50.0 AS score,
        CAST(l_quantity / 50.0 >= 0.5 AS INTEGER) AS prediction FROM lineitem)"""
 
