@@ -279,3 +279,104 @@ def histogram(df: DataFrame, cols: Sequence[str], bins: int = 20, by: Sequence[s
     b = F.when(width > 0, F.least(F.floor((F.col("value") - F.col("_lo")) / width * bins),
                                   F.lit(bins - 1))).otherwise(F.lit(0)).cast("int")
     return j.groupBy(*by, "feature", b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+
+
+# ------------------------------------------------------------ selection and permutation tests
+
+ALTERNATIVES = ("two-sided", "greater", "less")
+
+
+def permutation_test(df: DataFrame, key: str, cols: Sequence[str], target: str, method: str = "pearson",
+                     n_perm: int = 1000, seed: int = 105791, alternative: str = "two-sided") -> DataFrame:
+    """Permutation p-values for the correlation of every feature with ``target``.
+
+    ``(feature, n, r, p_value)`` with p = (1 + #{T_b ≥ T_obs}) / (B + 1)
+    (Phipson & Smyth 2010); T = |r| two-sided, r for ``greater``, −r for ``less``.
+
+    Permutation b maps the row at position i of a fixed hash order of the keys
+    to the target of the row at position i of the hash(key, b) order — an
+    exact permutation of the non-null targets, shared by all features.  The
+    n·B permuted targets are joined to the long feature table and reduced by a
+    partial aggregation per (feature, b) holding Σx, Σx², Σy_b, Σy_b², Σx·y_b,
+    so the n·p·B products are never shuffled.  For Spearman, x is ranked per
+    feature and y over all rows with a target.
+    """
+    from moltab.functions.rng import hash32
+
+    _check_method(method)
+    if method == "kendall":
+        raise ValueError("permutation test supports pearson and spearman")
+    if alternative not in ALTERNATIVES:
+        raise ValueError(f"alternative must be one of {ALTERNATIVES}")
+    spark = df.sparkSession
+    base = df.select(key, *[F.col(c).cast("double").alias(c) for c in cols],
+                     F.col(target).cast("double").alias("_y")).where(F.col("_y").isNotNull())
+    long = base.unpivot([key, "_y"], list(cols), "feature", "value").where(F.col("value").isNotNull())
+    ytab = base.select(key, "_y")
+    if method == "spearman":
+        long = average_rank(long, "value", by=["feature"], out="_rx").drop("value").withColumnRenamed("_rx", "value")
+        ytab = average_rank(ytab, "_y", out="_ry").select(key, F.col("_ry").alias("_y"))
+        long = long.drop("_y").join(ytab, key)
+    x, y = F.col("value"), F.col("_y")
+
+    def corr_from(sx, sxx, sy, syy, sxy, n):
+        cov = sxy / n - (sx / n) * (sy / n)
+        vx = sxx / n - (sx / n) * (sx / n)
+        vy = syy / n - (sy / n) * (sy / n)
+        den = F.sqrt(vx * vy)
+        return F.try_divide(cov, F.when(den > 1e-300, den))
+
+    obs = long.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), pearson_agg(x, y).alias("r"))
+    # permuted targets: (key, b, y_b)
+    bs = spark.range(1, n_perm + 1).select(F.col("id").cast("int").alias("b"))
+    kpos = running_sum(ytab.withColumn("_hk", hash32(F.col(key), "key")).withColumn("_one", F.lit(1)),
+                       "_hk", ["_one"], tiebreak=[key], prefix="_pos").select(key, F.col("_pos_one").alias("_p"))
+    with_b = ytab.crossJoin(F.broadcast(bs))  # B is a parameter, not data
+    ppos = running_sum(with_b.withColumn("_hp", hash32(F.col(key), seed, F.col("b"))).withColumn("_one", F.lit(1)),
+                       "_hp", ["_one"], by=["b"], tiebreak=[key], prefix="_pos") \
+        .select("b", F.col("_pos_one").alias("_p"), F.col("_y").alias("_yb"))
+    yb = kpos.crossJoin(F.broadcast(bs)).join(ppos, ["b", "_p"]).select(key, "b", "_yb")
+    prod = long.select(key, "feature", "value").join(yb, key)
+    v, w = F.col("value"), F.col("_yb")
+    rb = prod.groupBy("feature", "b").agg(
+        F.count(F.lit(1)).cast("double").alias("_n"), F.sum(v).alias("_sx"), F.sum(v * v).alias("_sxx"),
+        F.sum(w).alias("_sy"), F.sum(w * w).alias("_syy"), F.sum(v * w).alias("_sxy"))
+    rb = rb.select("feature", corr_from(F.col("_sx"), F.col("_sxx"), F.col("_sy"), F.col("_syy"),
+                                        F.col("_sxy"), F.col("_n")).alias("rb"))
+    res = rb.join(obs, "feature")
+    if alternative == "two-sided":
+        hit = F.abs(F.col("rb")) >= F.abs(F.col("r")) - F.lit(1e-12)
+    elif alternative == "greater":
+        hit = F.col("rb") >= F.col("r") - F.lit(1e-12)
+    else:
+        hit = -F.col("rb") >= -F.col("r") - F.lit(1e-12)
+    cnt = res.groupBy("feature").agg(F.count_if(hit).alias("_hits"))
+    return obs.join(cnt, "feature", "left").select(
+        "feature", "n", "r", ((1 + F.coalesce(F.col("_hits"), F.lit(0))) / F.lit(float(n_perm + 1))).alias("p_value"))
+
+
+def corr_select(df: DataFrame, cols: Sequence[str], target: str, method: str = "spearman",
+                thresh: float = 0.4, max_null_frac: float = 0.7, perm: dict | None = None,
+                key: str | None = None) -> DataFrame:
+    """``find_correlating_features``: per feature skip if ≥ ``max_null_frac`` null,
+    select if |r| > thresh (strict); with ``perm`` (``n_perm, sig_level, seed,
+    alternative``) the selected features also get a permutation p-value and a
+    ``significant`` flag.  ``(feature, n, null_frac, r, selected, p_value, significant)``"""
+    from moltab.operators.columns import feature_stats
+
+    st = feature_stats(df, cols).select("feature", (F.col("n_null") / F.col("n")).alias("null_frac"))
+    c = corr_features(df, cols, target, method, key=key)
+    out = st.join(c, "feature", "left").withColumn(
+        "selected", (F.col("null_frac") < max_null_frac) & F.coalesce(F.abs(F.col("r")) > thresh, F.lit(False)))
+    if not perm:
+        return out.withColumn("p_value", F.lit(None).cast("double")).withColumn("significant", F.lit(None).cast("boolean"))
+    if key is None:
+        raise ValueError("the permutation test needs a key column")
+    sel = [r["feature"] for r in out.where("selected").select("feature").collect()]  # ≤ column count
+    if not sel:
+        return out.withColumn("p_value", F.lit(None).cast("double")).withColumn("significant", F.lit(None).cast("boolean"))
+    pv = permutation_test(df, key, sel, target, method, int(perm.get("n_perm", 1000)),
+                          int(perm.get("seed", 105791)), perm.get("alternative", "two-sided"))
+    lvl = float(perm.get("sig_level", 0.05))
+    return out.join(pv.select("feature", "p_value"), "feature", "left").withColumn(
+        "significant", F.col("p_value") < lvl)
