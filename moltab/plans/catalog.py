@@ -8,3 +8,4 @@ from moltab.plans import q_columns  # noqa: F401,E402
 from moltab.plans import q_scaling  # noqa: F401,E402
 from moltab.plans import q_fingerprints  # noqa: F401,E402
 from moltab.plans import q_reports  # noqa: F401,E402
+from moltab.plans import q_models  # noqa: F401,E402

@@ -55,30 +55,46 @@ def _scores(pred: DataFrame, scoring: Sequence[str], by: Sequence[str]) -> DataF
 
 def grid_search(data: DataFrame, key: str, kind: str, grid: Sequence[dict], n_folds: int = 5,
                 scoring: Sequence[str] | None = None, seed: int = 42, salt: str = "inner",
-                weight_col: str | None = None) -> DataFrame:
+                weight_col: str | None = None, parallelism: int | None = None) -> DataFrame:
     """Exhaustive grid × cv folds, train and test scores: long table
-    ``(cand_id, params, split, set, metric, score)``.  ``data`` holds key, features, label."""
+    ``(cand_id, params, split, set, metric, score)``.  ``data`` holds key, features, label.
+
+    (candidate, fold) fits are independent Spark jobs submitted from a thread
+    pool (like ``CrossValidator(parallelism=…)``), so small fits share the
+    cluster instead of running one after another.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
     spark = data.sparkSession
     scoring = list(scoring or (CLF_SCORING if kind in models.CLASSIFIERS else REG_SCORING))
     folds = kfold(data, key, n_folds, seed=seed, salt=salt).persist()
-    rows = []
+    folds.count()  # materialise once before the concurrent fits read it
+
+    def run(task):
+        cid, params, f = task
+        tr = folds.where(F.col("fold") != f)
+        te = folds.where(F.col("fold") == f)
+        m = models.make(kind, **params).fit(tr, weight_col)
+        both = (m.transform(te).withColumn("set", F.lit("test"))
+                .unionByName(m.transform(tr).withColumn("set", F.lit("train")), allowMissingColumns=True))
+        return [(cid, json.dumps(params, sort_keys=True), f, r["set"], r["metric"],
+                 None if r["score"] is None else float(r["score"]))
+                for r in _scores(both, scoring, ["set"]).collect()]
+
+    tasks = [(cid, params, f) for cid, params in enumerate(grid) for f in range(n_folds)]
+    par = parallelism or _default_parallelism(spark)
     try:
-        for cid, params in enumerate(grid):
-            spec = models.make(kind, **params)
-            for f in range(n_folds):
-                tr = folds.where(F.col("fold") != f)
-                te = folds.where(F.col("fold") == f)
-                m = spec.fit(tr, weight_col)
-                both = (m.transform(te).withColumn("set", F.lit("test"))
-                        .unionByName(m.transform(tr).withColumn("set", F.lit("train")), allowMissingColumns=True))
-                for r in _scores(both, scoring, ["set"]).collect():
-                    rows.append((cid, json.dumps(params, sort_keys=True), f, r["set"], r["metric"],
-                                 None if r["score"] is None else float(r["score"])))
+        with ThreadPoolExecutor(max_workers=max(1, min(par, len(tasks)))) as pool:
+            rows = [r for chunk in pool.map(run, tasks) for r in chunk]
     finally:
         folds.unpersist()
     return spark.createDataFrame(rows, "cand_id int, params string, split int, set string, metric string, score double")
 
 
+def _default_parallelism(spark) -> int:
+    return int(spark.conf.get("moltab.fit.parallelism", "4"))
+
+
 def grid_summary(grid_long: DataFrame) -> DataFrame:
     """mean / population std per candidate, and the min-rank by mean test score."""
     from pyspark.sql import Window
@@ -96,13 +112,14 @@ def best_params(grid_long: DataFrame, metric: str) -> dict:
 
 def split_test(train: DataFrame, test: DataFrame, key: str, kind: str, grid: Sequence[dict],
                n_folds: int = 5, scoring: Sequence[str] | None = None, seed: int = 42,
-               weight_col: str | None = None, final_weights_only: bool = False):
+               weight_col: str | None = None, final_weights_only: bool = False,
+               parallelism: int | None = None):
     """Hold-out workflow: grid on train, refit the best on all train rows, predict test.
     Returns ``(predictions, grid_long, fitted_model)``; predictions hold
     ``(key, known, prediction, prob0, prob1)`` for classifiers."""
     scoring = list(scoring or (CLF_SCORING if kind in models.CLASSIFIERS else REG_SCORING))
     g = grid_search(train, key, kind, grid, n_folds, scoring, seed,
-                    weight_col=None if final_weights_only else weight_col)
+                    weight_col=None if final_weights_only else weight_col, parallelism=parallelism)
     params = best_params(g, scoring[0])
     model = models.make(kind, **params).fit(train, weight_col)
     pred = model.transform(test)
@@ -115,24 +132,31 @@ def split_test(train: DataFrame, test: DataFrame, key: str, kind: str, grid: Seq
 def nested_cv(data: DataFrame, key: str, kind: str, grid: Sequence[dict], n_folds: int = 5,
               inner_folds: int = 3, scoring: Sequence[str] | None = None, seed: int = 42,
               model_name: str | None = None, weight_col: str | None = None) -> DataFrame:
-    """With ``weight_col`` the class weights apply to the final fit of each fold only,
-    as in the reference's weighted variant."""
     """Outer k folds; per fold an inner grid search on the training part, refit, predict
     the held-out fold.  ``(model, fold, key, known, prediction[, prob0, prob1])``.
+    With ``weight_col`` the class weights apply to the final fit of each fold only,
+    as in the reference's weighted variant."""
+    from concurrent.futures import ThreadPoolExecutor
+
     outer = kfold(data, key, n_folds, seed=seed, salt="outer").persist()
-    out = None
+    outer.count()
+
+    def run(f):
+        tr = outer.where(F.col("fold") != f).drop("fold")
+        te = outer.where(F.col("fold") == f).drop("fold")
+        pred, _, _ = split_test(tr, te, key, kind, grid, inner_folds, scoring, seed,
+                                weight_col=weight_col, final_weights_only=True, parallelism=1)
+        pred = pred.select(F.lit(model_name or kind).alias("model"), F.lit(f).alias("fold"), "*")
+        return pred.checkpoint(eager=True)  # reliable checkpoint: survives executor loss, cuts lineage
+
     try:
-        for f in range(n_folds):
-            tr = outer.where(F.col("fold") != f).drop("fold").persist()
-            te = outer.where(F.col("fold") == f).drop("fold")
-            pred, _, _ = split_test(tr, te, key, kind, grid, inner_folds, scoring, seed,
-                                    weight_col=weight_col, final_weights_only=True)
-            pred = pred.select(F.lit(model_name or kind).alias("model"), F.lit(f).alias("fold"), "*")
-            pred = pred.checkpoint(eager=True)  # reliable: survives executor loss, cuts lineage
-            tr.unpersist()
-            out = pred if out is None else out.unionByName(pred)
+        with ThreadPoolExecutor(max_workers=max(1, min(_default_parallelism(data.sparkSession), n_folds))) as pool:
+            parts = list(pool.map(run, range(n_folds)))
     finally:
         outer.unpersist()
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
     return out
 
 
