@@ -71,8 +71,9 @@ def knn(queries: DataFrame, points: DataFrame, key: str, vec: str, k: int, by: S
     # fewer than k found (tiny groups): fall back to an unbounded radius
     radius = radius.withColumn("r", F.when(F.col("_n") >= k, F.col("r")).otherwise(F.lit(float("inf"))))
 
-    # 2. band join on projection cells
-    width = _cell_width(pp, by)
+    # 2. band join on projection cells whose width is the median search radius,
+    #    so a query spans about three cells whatever the dimension
+    width = _cell_width(pp, radius, by)
     qb = pq.join(radius, by + ["q"]).crossJoin(F.broadcast(width)) if not by else \
         pq.join(radius, by + ["q"]).join(width, by)
     lo = F.floor((F.col("qp") - F.col("r")) / F.col("_w"))
@@ -90,11 +91,14 @@ def knn(queries: DataFrame, points: DataFrame, key: str, vec: str, k: int, by: S
     return dist.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _cell_width(pp: DataFrame, by: list[str]) -> DataFrame:
-    """Cell width = projection range / number of points (≈ one point per cell)."""
+def _cell_width(pp: DataFrame, radius: DataFrame, by: list[str]) -> DataFrame:
+    """Cell width = median finite radius of the group (≥ range / n); one row per group."""
     g = pp.groupBy(*by).agg(F.min("pp").alias("_lo"), F.max("pp").alias("_hi"), F.count(F.lit(1)).alias("_n"))
-    w = F.greatest((F.col("_hi") - F.col("_lo")) / F.col("_n"), F.lit(1e-12))
-    return g.select(*by, w.alias("_w"), F.floor(F.col("_lo") / w).cast("long").alias("_cmin"),
+    med = radius.where(F.col("r") < F.lit(float("inf"))).groupBy(*by).agg(
+        F.percentile_approx("r", 0.5, 1000).alias("_med"))
+    j = g.join(med, by, "left") if by else g.crossJoin(med)
+    w = F.greatest(F.coalesce(F.col("_med"), F.lit(0.0)), (F.col("_hi") - F.col("_lo")) / F.col("_n"), F.lit(1e-12))
+    return j.select(*by, w.alias("_w"), F.floor(F.col("_lo") / w).cast("long").alias("_cmin"),
                     F.floor(F.col("_hi") / w).cast("long").alias("_cmax"))
 
 
