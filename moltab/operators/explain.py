@@ -76,3 +76,51 @@ def shap_linear(df: DataFrame, key: str, features: Sequence[str], coefficients:
 
 def mean_abs_shap(phi: DataFrame) -> DataFrame:
     return phi.groupBy("feature").agg(F.avg(F.abs("phi")).alias("mean_abs_phi"))
+
+
+def shap_sampled(model, df: DataFrame, key: str, feature_cols: Sequence[str], background: DataFrame,
+                 n_samples: int = 10, seed: int = 0, output: str = "prob1") -> DataFrame:
+    """Permutation-sampling Shapley values (Štrumbelj & Kononenko 2014).
+
+    For row r and sample s: a random feature order and a background row, both
+    from hashes of (r, s); hybrids h_t take the first t features of the order
+    from r and the rest from the background row (t = 0..p).  All hybrids of all
+    rows are scored in one ``model.transform``; the marginal of the feature at
+    order position t is f(h_t) − f(h_{t−1}); φ is its mean over samples.
+    ``(key, feature, phi)``.
+    """
+    from pyspark.ml.functions import array_to_vector
+
+    from moltab.functions.rng import hash32
+    from moltab.operators.ordered import row_number
+
+    p = len(feature_cols)
+    spark = df.sparkSession
+    bg = background.select(F.array(*[F.col(c).cast("double") for c in feature_cols]).alias("_b"))
+    bg = row_number(bg.withColumn("_hb", hash32(F.col("_b").cast("string"), seed, "bg")), "_hb",
+                    out="_bpos").drop("_hb")
+    nbg = bg.agg(F.count(F.lit(1)).alias("_nbg"))
+    ss = spark.range(n_samples).select(F.col("id").cast("int").alias("s"))
+    rows = df.select(key, F.array(*[F.col(c).cast("double") for c in feature_cols]).alias("_x")) \
+        .crossJoin(F.broadcast(ss)).crossJoin(F.broadcast(nbg))  # samples: a parameter; nbg: one row
+    rows = rows.withColumn("_bpos", (hash32(F.col(key), seed, F.col("s"), "row") % F.col("_nbg")) + 1)
+    rows = rows.join(bg, "_bpos")
+    # random order of feature indices: sort (hash, j)
+    order = F.transform(F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(p - 1)),
+                                                 lambda j: F.struct(hash32(F.col(key), seed, F.col("s"), j).alias("h"),
+                                                                    j.alias("j")))), lambda e: e["j"])
+    rows = rows.withColumn("_ord", order)
+    hyb = rows.select(key, "s", "_ord", "_x", "_b", F.explode(F.sequence(F.lit(0), F.lit(p))).alias("t"))
+    # position of feature j in the order, then take x_j if position < t
+    vec = F.transform(F.sequence(F.lit(0), F.lit(p - 1)),
+                      lambda j: F.when(F.array_position(F.col("_ord"), j) <= F.col("t"),
+                                       F.element_at(F.col("_x"), j + 1)).otherwise(F.element_at(F.col("_b"), j + 1)))
+    hyb = hyb.withColumn("features", array_to_vector(vec))
+    scored = model.transform(hyb).select(key, "s", "t", "_ord", F.col(output).cast("double").alias("_f"))
+    from pyspark.sql import Window
+    w = Window.partitionBy(key, "s").orderBy("t")  # p + 1 rows per (row, sample)
+    marg = scored.withColumn("_prev", F.lag("_f").over(w)).where(F.col("t") >= 1) \
+        .select(key, F.element_at(F.col("_ord"), F.col("t")).alias("_j"), (F.col("_f") - F.col("_prev")).alias("_d"))
+    names = F.array(*[F.lit(c) for c in feature_cols])
+    return marg.groupBy(key, "_j").agg(F.avg("_d").alias("phi")) \
+        .select(key, F.element_at(names, F.col("_j") + 1).alias("feature"), "phi")

@@ -43,3 +43,47 @@ def smote(df: DataFrame, key: str, vec: str, label: str, k: int = 5, seed: int =
                     label, F.lit(True).alias("is_synthetic"))
     orig = df.select(F.col(key).cast("string").alias(key), vec, label, F.lit(False).alias("is_synthetic"))
     return orig.unionByName(new)
+
+
+def smotenc(df: DataFrame, key: str, numeric: list[str], categorical: list[str], label: str,
+            k: int = 5, seed: int = 42) -> DataFrame:
+    """SMOTE-NC: numeric features interpolated as in SMOTE; each categorical value of
+    a new row is the most frequent value among the base row's k neighbours (ties:
+    smallest).  Distances add median(std of numeric features)² per differing
+    category: categories are one-hot coded with weight median_std/√2 inside the
+    neighbour vector, which contributes exactly that amount per mismatch.
+    Returns the input columns plus ``is_synthetic``; new keys ``syn-<class>-<m>``."""
+    import math
+
+    from moltab.operators.scaling import onehot_fit
+
+    # median over numeric features of their std (one aggregate row, p values)
+    allstd = [r for r in df.agg(*[F.stddev_samp(c).alias(c) for c in numeric]).first()]
+    vals = sorted(v for v in allstd if v is not None)
+    med = vals[len(vals) // 2] if len(vals) % 2 else 0.5 * (vals[len(vals) // 2 - 1] + vals[len(vals) // 2])
+    oh = onehot_fit(df, categorical)
+    w = med / math.sqrt(2.0)
+    coded = oh.transform(df, keep_input=True)
+    vec_parts = [F.col(c).cast("double") for c in numeric] + \
+        [F.col(n).cast("double") * F.lit(w) for n in oh.output_names()]
+    base = coded.select(key, label, *numeric, *categorical, F.array(*vec_parts).alias("_v"))
+    syn = smote(base.select(key, "_v", label), key, "_v", label, k=k, seed=seed).where("is_synthetic")
+    # categorical vote among the neighbours of each synthetic row's base row
+    nn = knn(base, base, key, "_v", k, by=[label], exclude_self=True)
+    pos = row_number(base.withColumn("_h", hash32(F.col(key), seed, "smote")), "_h", tiebreak=[key],
+                     by=[label], out="_pos")
+    syn = syn.withColumn("_m", F.element_at(F.split(F.col(key), "-"), -1).cast("long"))
+    counts = base.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
+    syn = syn.join(counts, label).withColumn("_pos", (F.col("_m") % F.col("_nc")) + 1)
+    syn = syn.join(pos.select(label, "_pos", F.col(key).alias("q")), [label, "_pos"])
+    votes = nn.join(base.select(label, F.col(key).alias("p"), *categorical), [label, "p"])
+    out = syn.select(key, label, "_v", "q")
+    for c in categorical:
+        mode = (votes.groupBy(label, "q", c).agg(F.count(F.lit(1)).alias("_cnt"))
+                .groupBy(label, "q").agg(F.min_by(c, F.struct(-F.col("_cnt"), F.col(c))).alias(c)))
+        out = out.join(mode, [label, "q"], "left")
+    new = out.select(key, *[F.col("_v")[i].alias(c) for i, c in enumerate(numeric)], *categorical, label,
+                     F.lit(True).alias("is_synthetic"))
+    orig = df.select(F.col(key).cast("string").alias(key), *numeric, *categorical, label,
+                     F.lit(False).alias("is_synthetic"))
+    return orig.unionByName(new)

@@ -337,3 +337,54 @@ register("knn_join", """SELECT label, q, p, CAST(rank AS INTEGER) AS rank FROM (
         lambda i: (CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE)) * (CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE))))),
       b.vec_id) AS rank
   FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id) WHERE rank <= 3""")(q_knn_join)
+
+
+def q_smotenc(spark, sf):
+    d = clf_data(spark, sf).join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
+    out = resample.smotenc(d.select("doc_id", "f_len", "f_digits", "f_lines", "lang",
+                                    F.col("quality").cast("int").alias("quality")),
+                           "doc_id", ["f_len", "f_digits", "f_lines"], ["lang"], "quality", k=5, seed=42)
+    return out.groupBy("quality", "is_synthetic").agg(F.count(F.lit(1)).alias("n"))
+
+
+register("smotenc", """WITH c AS (SELECT quality, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY quality),
+m AS (SELECT max(n) AS mx FROM c)
+SELECT quality, false AS is_synthetic, n FROM c
+UNION ALL SELECT quality, true, mx - n FROM c, m WHERE mx > n""")(q_smotenc)
+
+
+def q_shap_sampled(spark, sf):
+    d = clf_data(spark, sf)
+    data = training.assemble(d, "doc_id", CLF_FEATS, "quality")
+    m = models.make("logreg", C=1.0).fit(data)
+    return explain.shap_sampled(m, d, "doc_id", CLF_FEATS, d, n_samples=8, seed=3)
+
+
+register("shap_sampled")(q_shap_sampled)
+
+
+def q_model_save(spark, sf):
+    from pyspark.ml.classification import LogisticRegressionModel
+
+    from moltab.session import scratch_path
+    from moltab.sources import io
+    tr, te = _clf_split(spark, sf)
+    m = models.make("logreg", C=1.0).fit(tr)
+    path = io.save_model(m.model, scratch_path(spark, "model"))
+    back = LogisticRegressionModel.load(path)
+    return back.transform(te).select("doc_id", F.col("prediction").cast("int").alias("prediction"))
+
+
+register("model_save")(q_model_save)
+
+
+def q_sink_grid(spark, sf):
+    from moltab.session import scratch_path
+    from moltab.sources import io
+    tr, _ = _reg_split(spark, sf)
+    g = training.grid_search(tr, "o_orderkey", "lasso", [{"alpha": 0.01}, {"alpha": 0.1}], n_folds=3)
+    out = io.write_table(g, scratch_path(spark, "grid"), fmt="csv")
+    return spark.read.schema(g.schema).option("header", True).csv(out)
+
+
+register("sink_grid")(q_sink_grid)

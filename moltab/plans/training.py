@@ -77,9 +77,14 @@ def grid_search(data: DataFrame, key: str, kind: str, grid: Sequence[dict], n_fo
         m = models.make(kind, **params).fit(tr, weight_col)
         both = (m.transform(te).withColumn("set", F.lit("test"))
                 .unionByName(m.transform(tr).withColumn("set", F.lit("train")), allowMissingColumns=True))
-        return [(cid, json.dumps(params, sort_keys=True), f, r["set"], r["metric"],
-                 None if r["score"] is None else float(r["score"]))
-                for r in _scores(both, scoring, ["set"]).collect()]
+        # several scoring jobs read the predictions: compute them once
+        both = both.select("set", models.LABEL, "prediction", *(["prob1"] if "prob1" in both.columns else [])).persist()
+        try:
+            return [(cid, json.dumps(params, sort_keys=True), f, r["set"], r["metric"],
+                     None if r["score"] is None else float(r["score"]))
+                    for r in _scores(both, scoring, ["set"]).collect()]
+        finally:
+            both.unpersist()
 
     tasks = [(cid, params, f) for cid, params in enumerate(grid) for f in range(n_folds)]
     par = parallelism or _default_parallelism(spark)
