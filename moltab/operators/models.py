@@ -146,15 +146,16 @@ class KnnModel:
     train: DataFrame
     k: int
     regression: bool
+    dim: int
 
     def transform(self, df: DataFrame) -> DataFrame:
         from moltab.operators.neighbors import knn_predict
-        tr = self.train.select(F.monotonically_increasing_id().alias("_kid"),
-                               vector_to_array(FEATURES).alias("_v"), LABEL)
         te = df.withColumn("_kid", F.monotonically_increasing_id()).withColumn("_v", vector_to_array(FEATURES))
         te = te.checkpoint(eager=True)  # fixed ids for the join back
-        pr = knn_predict(tr, te.select("_kid", "_v"), "_kid", "_v", LABEL, self.k, self.regression)
-        return te.join(pr, "_kid").drop("_kid", "_v")
+        pr = knn_predict(self.train, te.select("_kid", "_v"), "_kid", "_v", LABEL, self.k, self.regression,
+                         dim=self.dim)
+        # the neighbour search is many stages: materialise its result once
+        return te.join(pr, "_kid").drop("_kid", "_v").checkpoint(eager=True)
 
 
 @dataclass
@@ -163,7 +164,10 @@ class KnnSpec:
     regression: bool = False
 
     def fit(self, df: DataFrame, weight_col: str | None = None) -> KnnModel:
-        return KnnModel(df.select(FEATURES, LABEL), self.k, self.regression)
+        tr = df.select(F.monotonically_increasing_id().alias("_kid"), vector_to_array(FEATURES).alias("_v"),
+                       LABEL).checkpoint(eager=True)  # stable ids and vectors for every later search
+        dim = len(tr.select("_v").first()[0])
+        return KnnModel(tr, self.k, self.regression, dim)
 
 
 @dataclass

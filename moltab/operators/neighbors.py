@@ -103,10 +103,10 @@ def _cell_width(pp: DataFrame, radius: DataFrame, by: list[str]) -> DataFrame:
 
 
 def knn_predict(train: DataFrame, test: DataFrame, key: str, vec: str, label: str, k: int,
-                regression: bool = False, exclude_self: bool = False) -> DataFrame:
+                regression: bool = False, exclude_self: bool = False, dim: int | None = None) -> DataFrame:
     """kNN model: mean label (regression) or class shares with the majority class
     (smallest label on ties).  ``(key, prediction, prob1)``"""
-    nn = knn(test, train, key, vec, k, exclude_self=exclude_self)
+    nn = knn(test, train, key, vec, k, exclude_self=exclude_self, dim=dim)
     lab = train.select(F.col(key).alias("p"), F.col(label).cast("double").alias("_y"))
     j = nn.join(lab, "p")
     if regression:
