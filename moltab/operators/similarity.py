@@ -6,6 +6,8 @@ Pairs are generated by an exact *threshold* join, never a cross join:
 * prefix filter — with bits ordered by global rarity, two sets reaching t
   must share one of the first ``|A| − ⌈t·|A|⌉ + 1`` bits of each
   (Bayardo et al. 2007), so candidates come from an equi-join on those bits;
+* positional filter — at the rarest shared bit (positions i, j) at most
+  1 + min(|A| − i, |B| − j) bits can still be shared (Xiao et al. 2008);
 * each candidate is emitted once (only at its rarest shared prefix bit) and
   verified with the exact similarity.
 
@@ -73,7 +75,7 @@ def _prepare(df: DataFrame, key: str, bits: str, rmap: Column, t_jac: float, sid
     n = F.col(f"{side}_n")
     plen = n - F.ceil(n * F.lit(t_jac) - F.lit(_EPS)) + 1
     d = d.withColumn(f"{side}_pre", F.slice(F.col(f"{side}_r"), 1, plen.cast("int")))
-    return d.withColumn(f"{side}_tok", F.explode(f"{side}_pre"))
+    return d.select("*", F.posexplode(f"{side}_pre").alias(f"{side}_i", f"{side}_tok"))
 
 
 def similarity_pairs(a: DataFrame, key: str, bits: str = "bits", b: DataFrame | None = None,
@@ -94,6 +96,10 @@ def similarity_pairs(a: DataFrame, key: str, bits: str = "bits", b: DataFrame |
     cond = [F.col("a_tok") == F.col("b_tok"),
             F.col("b_n") >= F.col("a_n") * F.lit(t_jac) - F.lit(_EPS),
             F.col("b_n") * F.lit(t_jac) <= F.col("a_n") + F.lit(_EPS)]
+    # positional filter (Xiao et al. 2008): at the first shared bit, at most
+    # 1 + min(remaining bits of each side) can still be shared
+    need = F.ceil(F.lit(t_jac / (1.0 + t_jac)) * (F.col("a_n") + F.col("b_n")) - F.lit(_EPS))
+    cond.append(F.lit(1) + F.least(F.col("a_n") - F.col("a_i") - 1, F.col("b_n") - F.col("b_i") - 1) >= need)
     if b is None:
         cond.append(F.col("a_key") < F.col("b_key"))
     cand = left.join(right, cond, "inner")

@@ -454,12 +454,16 @@ register("rank_candidates", """SELECT model, cand_id, round(mean_score, 6) AS me
 
 
 def q_keep_first(spark, sf):
-    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_quantity")
-    return reports.keep_first(li, "l_orderkey", ["l_shipdate", "l_linenumber"])
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_quantity",
+                                             "l_partkey", "l_suppkey")
+    # (ship date, line number) repeats inside an order: part and supplier make the order total
+    first = reports.keep_first(li, "l_orderkey", ["l_shipdate", "l_linenumber", "l_partkey", "l_suppkey"])
+    return first.select("l_orderkey", "l_linenumber", "l_shipdate", "l_quantity")
 
 
 register("keep_first", """SELECT l_orderkey, l_linenumber, l_shipdate, l_quantity FROM (SELECT *,
-  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber) AS rn FROM lineitem) WHERE rn = 1""")(
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey) AS rn
+  FROM lineitem) WHERE rn = 1""")(
     q_keep_first)
 
 
