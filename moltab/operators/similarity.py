@@ -52,8 +52,9 @@ def count_tanimoto_expr(a: str | Column, b: str | Column) -> Column:
     return F.try_divide(smin, sa + sb - smin)
 
 
-def _rarity_map(frames: list[DataFrame], bits: str) -> Column:
-    """bit → rank (0 = rarest) over all given frames, as a literal map."""
+def _rarity_map(frames: list[DataFrame], bits: str) -> tuple[Column, int]:
+    """bit → rank (0 = rarest) over all given frames, as a literal map, and the
+    number of distinct bits."""
     ex = None
     for f in frames:
         e = f.select(F.explode(bits).alias("bit"))
@@ -64,17 +65,31 @@ def _rarity_map(frames: list[DataFrame], bits: str) -> Column:
     for rank, (_, bit) in enumerate(order):
         pairs += [F.lit(int(bit)), F.lit(rank)]
     if not pairs:
-        return F.create_map().cast("map<int,int>")
-    return F.create_map(*pairs)
+        return F.create_map().cast("map<int,int>"), 0
+    return F.create_map(*pairs), len(order)
 
 
-def _prepare(df: DataFrame, key: str, bits: str, rmap: Column, t_jac: float, side: str) -> DataFrame:
+def _mask(ranks: Column) -> Column:
+    """Ranks < 64 packed into one BIGINT bit mask."""
+    return F.aggregate(ranks, F.lit(0).cast("long"),
+                       lambda acc, r: acc.bitwiseOR(_bit(r)))
+
+
+def _bit(pos: Column) -> Column:
+    """1 << pos as BIGINT (column shift amount)."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), pos)
+
+
+def _prepare(df: DataFrame, key: str, bits: str, rmap: Column, t_jac: float, side: str,
+             packed: bool = False) -> DataFrame:
     ranks = F.array_sort(F.transform(F.col(bits), lambda b: rmap[b]))
     d = df.select(F.col(key).alias(f"{side}_key"), ranks.alias(f"{side}_r"),
                   F.size(F.col(bits)).alias(f"{side}_n")).where(F.col(f"{side}_n") > 0)
     n = F.col(f"{side}_n")
     plen = n - F.ceil(n * F.lit(t_jac) - F.lit(_EPS)) + 1
     d = d.withColumn(f"{side}_pre", F.slice(F.col(f"{side}_r"), 1, plen.cast("int")))
+    if packed:
+        d = d.withColumn(f"{side}_m", _mask(F.col(f"{side}_r"))).withColumn(f"{side}_pm", _mask(F.col(f"{side}_pre")))
     return d.select("*", F.posexplode(f"{side}_pre").alias(f"{side}_i", f"{side}_tok"))
 
 
@@ -90,9 +105,10 @@ def similarity_pairs(a: DataFrame, key: str, bits: str = "bits", b: DataFrame |
         raise ValueError(f"unknown metric {metric!r}")
     t_jac = min_sim if metric == "tanimoto" else min_sim / (2.0 - min_sim)
     other = a if b is None else b
-    rmap = _rarity_map([a] if b is None else [a, b], bits)
-    left = _prepare(a, key, bits, rmap, t_jac, "a")
-    right = _prepare(other, key, bits, rmap, t_jac, "b")
+    rmap, n_distinct = _rarity_map([a] if b is None else [a, b], bits)
+    packed = n_distinct <= 64  # ranks fit one BIGINT: O(1) dedupe and verification per pair
+    left = _prepare(a, key, bits, rmap, t_jac, "a", packed)
+    right = _prepare(other, key, bits, rmap, t_jac, "b", packed)
     cond = [F.col("a_tok") == F.col("b_tok"),
             F.col("b_n") >= F.col("a_n") * F.lit(t_jac) - F.lit(_EPS),
             F.col("b_n") * F.lit(t_jac) <= F.col("a_n") + F.lit(_EPS)]
@@ -104,8 +120,16 @@ def similarity_pairs(a: DataFrame, key: str, bits: str = "bits", b: DataFrame |
         cond.append(F.col("a_key") < F.col("b_key"))
     cand = left.join(right, cond, "inner")
     # emit each pair once: at the rarest bit the two prefixes share
-    cand = cand.where(F.col("a_tok") == F.array_min(F.array_intersect("a_pre", "b_pre")))
-    sim = tanimoto_expr("a_r", "b_r") if metric == "tanimoto" else dice_expr("a_r", "b_r")
+    if packed:
+        shared = F.col("a_pm").bitwiseAND(F.col("b_pm"))
+        lowest = shared.bitwiseAND(-shared)
+        cand = cand.where(_bit(F.col("a_tok")) == lowest)
+        inter = F.bit_count(F.col("a_m").bitwiseAND(F.col("b_m"))).cast("double")
+        tot = (F.col("a_n") + F.col("b_n")).cast("double")
+        sim = (F.try_divide(inter, tot - inter) if metric == "tanimoto" else F.try_divide(2.0 * inter, tot))
+    else:
+        cand = cand.where(F.col("a_tok") == F.array_min(F.array_intersect("a_pre", "b_pre")))
+        sim = tanimoto_expr("a_r", "b_r") if metric == "tanimoto" else dice_expr("a_r", "b_r")
     return (cand.select(F.col("a_key").alias("i"), F.col("b_key").alias("j"), sim.alias("sim"))
             .where(F.col("sim") >= F.lit(min_sim)))
 

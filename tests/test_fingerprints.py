@@ -18,9 +18,13 @@ def test_ngram_self_similarity(spark):
     assert f.where("id = 1").first().bits != f.where("id = 0").first().bits
 
 
-def test_threshold_join_equals_brute_force(spark):
+import pytest
+
+
+@pytest.mark.parametrize("width", [40, 100])  # packed (≤ 64 distinct bits) and array paths
+def test_threshold_join_equals_brute_force(spark, width):
     rnd = random.Random(3)
-    rows = [(i, sorted(rnd.sample(range(40), rnd.randint(1, 12)))) for i in range(120)]
+    rows = [(i, sorted(rnd.sample(range(width), rnd.randint(1, 12)))) for i in range(120)]
     df = spark.createDataFrame(rows, "id int, bits array<int>")
     got = {(r.i, r.j) for r in sim.similarity_pairs(df, "id", "bits", min_sim=0.4).collect()}
     exp = set()
