@@ -87,3 +87,49 @@ def smotenc(df: DataFrame, key: str, numeric: list[str], categorical: list[str],
     orig = df.select(F.col(key).cast("string").alias(key), *numeric, *categorical, label,
                      F.lit(False).alias("is_synthetic"))
     return orig.unionByName(new)
+
+
+def smoten(df: DataFrame, key: str, categorical: list[str], label: str, k: int = 5, seed: int = 42) -> DataFrame:
+    """SMOTE-N for all-categorical data: neighbours under the value difference
+    metric, every category of a new row = most frequent value among the base
+    row's k neighbours (ties: smallest).
+
+    VDM between values a, b of a feature is Σ_c |P(c|a) − P(c|b)|; each value is
+    embedded as its class-probability vector P(·|value) (one grouped count per
+    feature), and neighbours are searched in that space with the exact kNN.  For
+    two classes the embedding 2·P(1|value) makes the Euclidean distance equal
+    to the (Σ_f δ_f²)^½ combination of the per-feature VDM; with more classes it
+    is the Euclidean distance of the probability vectors.
+    """
+    classes = [r[0] for r in df.select(label).distinct().orderBy(label).collect()]  # class list: small
+    emb_cols = []
+    coded = df
+    for c in categorical:
+        cnt = df.groupBy(c, label).agg(F.count(F.lit(1)).alias("_n"))
+        tot = df.groupBy(c).agg(F.count(F.lit(1)).alias("_t"))
+        probs = cnt.join(tot, c).groupBy(c).agg(*[
+            F.sum(F.when(F.col(label) == F.lit(cl), F.col("_n") / F.col("_t")).otherwise(0.0)).alias(f"_p_{c}_{i}")
+            for i, cl in enumerate(classes)])
+        coded = coded.join(probs, c, "left")  # one row per category value
+        if len(classes) == 2:
+            emb_cols.append(F.col(f"_p_{c}_1") * 2.0)
+        else:
+            emb_cols += [F.col(f"_p_{c}_{i}") for i in range(len(classes))]
+    base = coded.select(key, label, *categorical, F.array(*emb_cols).alias("_v"))
+    syn = smote(base.select(key, "_v", label), key, "_v", label, k=k, seed=seed).where("is_synthetic")
+    nn = knn(base, base, key, "_v", k, by=[label], exclude_self=True)
+    pos = row_number(base.withColumn("_h", hash32(F.col(key), seed, "smote")), "_h", tiebreak=[key],
+                     by=[label], out="_pos")
+    syn = syn.withColumn("_m", F.element_at(F.split(F.col(key), "-"), -1).cast("long"))
+    counts = base.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
+    syn = syn.join(counts, label).withColumn("_pos", (F.col("_m") % F.col("_nc")) + 1)
+    syn = syn.join(pos.select(label, "_pos", F.col(key).alias("q")), [label, "_pos"])
+    votes = nn.join(base.select(label, F.col(key).alias("p"), *categorical), [label, "p"])
+    out = syn.select(key, label, "q")
+    for c in categorical:
+        mode = (votes.groupBy(label, "q", c).agg(F.count(F.lit(1)).alias("_cnt"))
+                .groupBy(label, "q").agg(F.min_by(c, F.struct(-F.col("_cnt"), F.col(c))).alias(c)))
+        out = out.join(mode, [label, "q"], "left")
+    new = out.select(key, *categorical, label, F.lit(True).alias("is_synthetic"))
+    orig = df.select(F.col(key).cast("string").alias(key), *categorical, label, F.lit(False).alias("is_synthetic"))
+    return orig.unionByName(new)

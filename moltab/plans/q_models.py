@@ -388,3 +388,16 @@ def q_sink_grid(spark, sf):
 
 
 register("sink_grid")(q_sink_grid)
+
+
+def q_smoten(spark, sf):
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    data = d.select("doc_id", "lang", "source", F.col("quality").cast("int").alias("quality"))
+    out = resample.smoten(data, "doc_id", ["lang", "source"], "quality", k=5, seed=42)
+    return out.groupBy("quality", "is_synthetic").agg(F.count(F.lit(1)).alias("n"))
+
+
+register("smoten", """WITH c AS (SELECT quality, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY quality),
+m AS (SELECT max(n) AS mx FROM c)
+SELECT quality, false AS is_synthetic, n FROM c
+UNION ALL SELECT quality, true, mx - n FROM c, m WHERE mx > n""")(q_smoten)
