@@ -138,11 +138,13 @@ def similarity_search(reference: DataFrame, targets: DataFrame, key: str, bits:
                       threshold: float | None = 0.5, dice: bool = False) -> DataFrame:
     """One reference fingerprint against every target (``bulk_similarity``).
 
-    ``reference`` must hold exactly one row; it is broadcast (proven size 1).
+    ``reference`` must hold exactly one row (checked, then broadcast).
     Output ``(number, fp_reference, fp_target, similarity)``; with a threshold
     only targets with ``similarity >= threshold`` remain.
     """
-    ref = reference.select(F.col(key).alias("fp_reference"), F.col(bits).alias("_rb")).limit(1)
+    if reference.limit(2).count() != 1:
+        raise ValueError("similarity_search needs exactly one reference row")
+    ref = reference.select(F.col(key).alias("fp_reference"), F.col(bits).alias("_rb"))
     j = targets.select(F.col(key).alias("fp_target"), F.col(bits).alias("_tb")).crossJoin(F.broadcast(ref))
     out = j.select(F.col("fp_target").alias("number"), "fp_reference", "fp_target",
                    fp_similarity("_rb", "_tb", dice).alias("similarity"))
