@@ -45,3 +45,11 @@ def test_smiles_tokens(spark):
     df = spark.createDataFrame([("CC(=O)Cl[N+]%12c1",)], "s string")
     toks = fp.tokenize(df, "s").first().tokens
     assert toks == ["C", "C", "(", "=", "O", ")", "Cl", "[N+]", "%12", "c", "1"]
+
+
+def test_similarity_search_one_reference(spark):
+    df = spark.createDataFrame([(0, [1, 2, 3]), (1, [1, 2]), (2, [7])], "id int, bits array<int>")
+    got = {r.fp_target: r.similarity for r in sim.similarity_search(df.where("id = 0"), df, "id").collect()}
+    assert got == {0: 1.0, 1: 2 / 3}
+    with pytest.raises(ValueError):
+        sim.similarity_search(df, df, "id")
