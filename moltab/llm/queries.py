@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from moltab.llm import op7_sharding
+from moltab.llm import op3_token_counts, op6_topk, op7_sharding, op10_license_scan
 
 QUERIES = {
+    "op3_token_counts": op3_token_counts.query,
+    "op6_topk": op6_topk.query,
     "op7_sharding": op7_sharding.query,
+    "op10_license_scan": op10_license_scan.query,
 }
 
 ORACLES = {
+    "op6_topk": op6_topk.ORACLE,
     "op7_sharding": op7_sharding.ORACLE,
 }
