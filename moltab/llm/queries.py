@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from moltab.llm import (op1_packing, op3_token_counts, op5_language_id, op6_topk, op7_sharding,
-                        op8_secret_scan, op10_license_scan)
+from moltab.llm import (op1_packing, op3_token_counts, op4_mixing, op5_language_id, op6_topk,
+                        op7_sharding, op8_secret_scan, op10_license_scan)
 
 QUERIES = {
     "op1_packing": op1_packing.query,
     "op3_token_counts": op3_token_counts.query,
+    "op4_mixing": op4_mixing.query,
     "op5_language_id": op5_language_id.query,
     "op6_topk": op6_topk.query,
     "op7_sharding": op7_sharding.query,
