@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from moltab.llm import (op1_packing, op3_token_counts, op4_mixing, op5_language_id, op6_topk,
-                        op7_sharding, op8_secret_scan, op10_license_scan)
+                        op7_sharding, op8_secret_scan, op9_minhash, op10_license_scan)
 
 QUERIES = {
     "op1_packing": op1_packing.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_topk": op6_topk.query,
     "op7_sharding": op7_sharding.query,
     "op8_secret_scan": op8_secret_scan.query,
+    "op9_minhash": op9_minhash.query,
     "op10_license_scan": op10_license_scan.query,
 }
 
