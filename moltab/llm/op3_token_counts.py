@@ -33,12 +33,15 @@ from moltab.llm.common import table
 #: Fixed pre-token pattern of the byte-level tokenizer family.
 PRETOKEN = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Marks that are a pre-token of one token after a word.
+ENDS = frozenset(".,;:!?)")
 #: White space as the tokenizer sees it; the class of a certain boundary's left side.
 SPACE = regex.compile(r"\s")
 CHUNK_CHARS = 1 << 16
-#: Compiled states and remembered words kept per worker; beyond it both start anew.
-MAX_STATES = 60_000
-MAX_WORDS = 300_000
+#: Compiled states kept per worker; beyond it the transducer is compiled anew.
+MAX_STATES = 250_000
+#: Remembered words per generation: words seen again move to the new generation.
+MAX_WORDS = 250_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -149,21 +152,28 @@ class CountTransducer:
                 used_right, right = b[0], b[1]
 
     def _compile(self, s: int, byte: int) -> tuple[int, int]:
-        out, done = [], None
+        children, token_at = self.children, self.token_at
+        out, done, emit = [], None, 1 << 60
         for last, node, owed in self.hyps[s]:
-            n = self.children[node].get(byte)
+            n = children[node].get(byte)
             if n is None:
                 continue
-            if self.children[n]:
+            if children[n]:
                 out.append((last, n, owed))
-            tok = self.token_at[n]
-            if done is None and tok is not None and self._fits(last, tok):
-                done = (tok, 0, owed + 1)
+                if owed < emit:
+                    emit = owed
+            if done is None:
+                tok = token_at[n]
+                if tok is not None and self._fits(last, tok):
+                    done = tok
+                    ended = owed + 1
         if done is not None:
-            out.append(done)
-        emit = min(k for _, _, k in out)
-        t = self._state(tuple((a, n, k - emit) for a, n, k in out)), emit
-        self.next[s][byte] = t
+            out.append((done, 0, ended))
+            if ended < emit:
+                emit = ended
+        if emit:
+            out = [(a, n, k - emit) for a, n, k in out]
+        t = self.next[s][byte] = self._state(tuple(out)), emit
         return t
 
     def count(self, word: bytes) -> int:
@@ -186,12 +196,13 @@ class TextCounter(dict):
     def __init__(self, path: str):
         super().__init__()
         self.fst = CountTransducer(path)
+        self.old: dict[str, int | None] = {}
         self.special = regex.compile("|".join(map(regex.escape, self.fst.specials)) or r"(?!)")
 
     def segment(self, text: str) -> int:
         """Tokens of a text between two certain boundaries."""
         n, at = 0, 0
-        for m in self.special.finditer(text):
+        for m in self.special.finditer(text) if any(x in text for x in self.fst.specials) else ():
             n += self._plain(text[at:m.start()]) + 1
             at = m.end()
         return n + self._plain(text[at:])
@@ -202,9 +213,19 @@ class TextCounter(dict):
 
     def __missing__(self, word: str) -> int | None:
         if len(self) > MAX_WORDS:
+            self.old = dict(self)
             self.clear()
-        uncertain = not word or SPACE.match(word[-1])
-        n = self[word] = None if uncertain else self.segment(" " + word)
+        if word in self.old:
+            n = self.old[word]
+        elif word.isalpha():   # one pre-token
+            n = self.fst.count(b" " + word.encode())
+        elif not word or SPACE.match(word[-1]):
+            n = None
+        elif word[-1] in ENDS and word[:-1].isalpha():   # two, the second one byte
+            n = self[word[:-1]] + 1
+        else:
+            n = self.segment(" " + word)
+        self[word] = n
         return n
 
     def chunk_map(self, chunk: str) -> tuple[str, int, str | None]:

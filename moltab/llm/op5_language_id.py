@@ -334,12 +334,13 @@ _SCORES: dict[int, WordScores] = {}
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text",
             keep: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id, held_out, lang_pred, score`` per row (and the columns of ``keep``)."""
+    """``doc_id, held_out, lang_pred, score`` per row, and the columns of ``keep`` (whose
+    names must differ from those four)."""
     spark = docs.sparkSession
     importable(spark)
     sent = spark.sparkContext.broadcast(model)   # vocabulary x languages
     stamp = hash((model.langs, model.pieces, model.probs.tobytes()))
-    names = ["doc_id", "held_out", "text", *keep]
+    rest = [k for k in keep if k != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if stamp not in _SCORES:
@@ -369,19 +370,16 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
                     n = 0
             if texts:
                 flush()
+            kept = [b.column(2) if k == text else b.column(3 + rest.index(k)) for k in keep]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(best, pa.float64()),
-                 *([b.column(2)] if "text" in keep else []),
-                 *(b.column(3 + i) for i, c in enumerate(k for k in keep if k != "text"))],
-                names=["doc_id", "held_out", "lang_pred", "score",
-                       *(["text"] if "text" in keep else []), *(k for k in keep if k != "text")])
-
-    rest = [k for k in keep if k != "text"]
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), in_fold(key).alias("held_out"),
-                       F.col(text).alias("text"), *rest)
-    kinds = dict(rows.dtypes)
+                [b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(best, pa.float64()), *kept],
+                names=["doc_id", "held_out", "lang_pred", "score", *keep])
+
+    rows = docs.select(F.col(key).cast("long").alias("__key"), in_fold(key).alias("__held"),
+                       F.col(text).alias("__text"), *[F.col(f"`{k}`") for k in rest])
+    kinds = dict(docs.dtypes)
     out = "doc_id long, held_out boolean, lang_pred string, score double" + \
-        (", text string" if "text" in keep else "") + "".join(f", `{k}` {kinds[k]}" for k in rest)
+        "".join(f", `{k}` {kinds[k]}" for k in keep)
     return rows.mapInArrow(run, out)
 
 

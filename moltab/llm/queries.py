@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from moltab.llm import (op1_packing, op3_token_counts, op4_mixing, op5_language_id, op6_topk,
-                        op7_sharding, op8_secret_scan, op9_minhash, op10_license_scan)
+import corpus_pipeline
+from moltab.llm import (op1_packing, op2_covertree, op3_token_counts, op4_mixing,
+                        op5_language_id, op6_topk, op7_sharding, op8_secret_scan, op9_minhash,
+                        op10_license_scan)
 
 QUERIES = {
     "op1_packing": op1_packing.query,
+    "op2_covertree": op2_covertree.query,
     "op3_token_counts": op3_token_counts.query,
     "op4_mixing": op4_mixing.query,
     "op5_language_id": op5_language_id.query,
@@ -15,9 +18,11 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan.query,
     "op9_minhash": op9_minhash.query,
     "op10_license_scan": op10_license_scan.query,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
+    "op2_covertree": op2_covertree.ORACLE,
     "op6_topk": op6_topk.ORACLE,
     "op7_sharding": op7_sharding.ORACLE,
 }
