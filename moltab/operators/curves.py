@@ -42,7 +42,7 @@ def roc_curve(df: DataFrame, known: str = "known", score: str = "score", by: Seq
     """``(by…, ord, threshold, fpr, tpr)``: one point per distinct score, descending,
     plus the ``ord = 0`` anchor (0, 0) with a null threshold."""
     cum, totals = _cumulated(df, known, score, by, positive, n_buckets)
-    pts = cum.select(*by, F.col("cum_one").cast("int").alias("ord"), F.col("score").alias("threshold"),
+    pts = cum.select(*by, F.col("cum_one").cast("long").alias("ord"), F.col("score").alias("threshold"),
                      F.try_divide(F.col("cum_neg").cast("double"), F.col("N").cast("double")).alias("fpr"),
                      F.try_divide(F.col("cum_pos").cast("double"), F.col("P").cast("double")).alias("tpr"))
     anchor = totals.select(*by, F.lit(0).alias("ord"), F.lit(None).cast("double").alias("threshold"),
@@ -56,7 +56,7 @@ def pr_curve(df: DataFrame, known: str = "known", score: str = "score", by: Sequ
     the final point (recall 0, precision 1) with a null threshold and ``ord = 0``."""
     cum, totals = _cumulated(df, known, score, by, positive, n_buckets)
     tp, fp = F.col("cum_pos").cast("double"), F.col("cum_neg").cast("double")
-    pts = cum.select(*by, F.col("cum_one").cast("int").alias("ord"), F.col("score").alias("threshold"),
+    pts = cum.select(*by, F.col("cum_one").cast("long").alias("ord"), F.col("score").alias("threshold"),
                      F.try_divide(tp, F.col("P").cast("double")).alias("recall"),
                      F.coalesce(F.try_divide(tp, tp + fp), F.lit(0.0)).alias("precision"))
     end = totals.select(*by, F.lit(0).alias("ord"), F.lit(None).cast("double").alias("threshold"),

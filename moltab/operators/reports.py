@@ -20,11 +20,13 @@ def all_reg_report(preds: DataFrame, known: str = "known", pred: str = "predicti
 
 def all_class_report(preds: DataFrame, known: str = "known", pred: str = "prediction",
                      score: str | None = "prob1", by: Sequence[str] = ("model",),
-                     synthetic: str | None = None) -> DataFrame:
+                     synthetic: str | None = None, prob_cols: dict | None = None) -> DataFrame:
     """Per model and class: tpr, fpr, tnr, fnr, f_half, f1, f2, mcc, precision,
-    recall (+ roc_auc, pr_auc for the positive class), rounded to 2.  With a
-    ``synthetic`` flag column both passes ("all" rows and "real" rows only)
-    run as one job through a grouping column instead of twice."""
+    recall (+ roc_auc, pr_auc of the class's own probability), rounded to 2.
+    ``score`` is the probability of class 1, class 0 has the rest; more classes are
+    given as ``prob_cols`` (class to column).  With a ``synthetic`` flag column both
+    passes ("all" rows and "real" rows only) run as one job through a grouping
+    column instead of twice."""
     by = list(by)
     d = preds.withColumn("subset", F.lit("all"))
     if synthetic:
@@ -33,11 +35,15 @@ def all_class_report(preds: DataFrame, known: str = "known", pred: str = "predic
     rates = metrics.with_rates(cm)
     cols = ["tpr", "fpr", "tnr", "fnr", "f_half", "f1", "f2", "mcc", "precision", "recall"]
     out = rates.select(*by, "subset", F.col("label").alias("class"), *[round_half_away(c, 2).alias(c) for c in cols])
-    if score is not None:
-        from moltab.operators.curves import curve_summary
-        au = curve_summary(d, known, score, by=by + ["subset"], positive=1)
-        out = out.join(au.select(*by, "subset", round_half_away("roc_auc", 2).alias("roc_auc"),
-                                 round_half_away("pr_auc", 2).alias("pr_auc")), by + ["subset"], "left")
+    if score is not None and prob_cols is None:
+        d = d.withColumn("_prob0", 1 - F.col(score).cast("double"))
+        prob_cols = {1: score, 0: "_prob0"}
+    if prob_cols:
+        from moltab.operators.curves import roc_pr_all_classes
+        au = roc_pr_all_classes(d, known, prob_cols, by=by + ["subset"])
+        out = out.join(au.select(*by, "subset", "class", round_half_away("roc_auc", 2).alias("roc_auc"),
+                                 round_half_away("pr_auc", 2).alias("pr_auc")),
+                       by + ["subset", "class"], "left")
     return out
 
 

@@ -287,7 +287,7 @@ ALTERNATIVES = ("two-sided", "greater", "less")
 
 
 def permutation_test(df: DataFrame, key: str, cols: Sequence[str], target: str, method: str = "pearson",
-                     n_perm: int = 1000, seed: int = 105791, alternative: str = "two-sided") -> DataFrame:
+                     n_perm: int = 1000, seed: int = 2024, alternative: str = "two-sided") -> DataFrame:
     """Permutation p-values for the correlation of every feature with ``target``.
 
     ``(feature, n, r, p_value)`` with p = (1 + #{T_b ≥ T_obs}) / (B + 1)
@@ -376,7 +376,7 @@ def corr_select(df: DataFrame, cols: Sequence[str], target: str, method: str = "
     if not sel:
         return out.withColumn("p_value", F.lit(None).cast("double")).withColumn("significant", F.lit(None).cast("boolean"))
     pv = permutation_test(df, key, sel, target, method, int(perm.get("n_perm", 1000)),
-                          int(perm.get("seed", 105791)), perm.get("alternative", "two-sided"))
+                          int(perm.get("seed", 2024)), perm.get("alternative", "two-sided"))
     lvl = float(perm.get("sig_level", 0.05))
     return out.join(pv.select("feature", "p_value"), "feature", "left").withColumn(
         "significant", F.col("p_value") < lvl)

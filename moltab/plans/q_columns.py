@@ -66,7 +66,9 @@ def q_constant_cols(spark, sf):
     return columns.constant_cols(feat_view(spark, sf), FEATS)
 
 
-register("constant_cols", _stats_sql("feature, min = max AS keep"))(q_constant_cols)
+register("constant_cols", _stats_sql(
+    "feature, coalesce(min = max, false) AS is_constant, NOT coalesce(min = max, false) AS keep"))(
+    q_constant_cols)
 
 
 def q_skip_sparse(spark, sf):

@@ -215,7 +215,7 @@ def q_roc_curve(spark, sf):
 
 register("roc_curve", f"""
 WITH v AS {CLF_SQL}, cu AS {sql_curve_cte('v', 'known', 'score', ['l_returnflag'])}
-SELECT l_returnflag, CAST(cum_one AS INTEGER) AS ord, round(score, 6) AS threshold,
+SELECT l_returnflag, CAST(cum_one AS BIGINT) AS ord, round(score, 6) AS threshold,
   {r('CAST(cum_neg AS DOUBLE) / nullif(N, 0)')} AS fpr, {r('CAST(cum_pos AS DOUBLE) / nullif(P, 0)')} AS tpr FROM cu
 UNION ALL
 SELECT DISTINCT l_returnflag, 0, CAST(NULL AS DOUBLE), 0.0, 0.0 FROM v
@@ -228,7 +228,7 @@ def q_pr_curve(spark, sf):
 
 register("pr_curve", f"""
 WITH v AS {CLF_SQL}, cu AS {sql_curve_cte('v', 'known', 'score', ['l_returnflag'])}
-SELECT l_returnflag, CAST(cum_one AS INTEGER) AS ord, round(score, 6) AS threshold,
+SELECT l_returnflag, CAST(cum_one AS BIGINT) AS ord, round(score, 6) AS threshold,
   {r('CAST(cum_pos AS DOUBLE) / nullif(P, 0)')} AS recall,
   {r('coalesce(CAST(cum_pos AS DOUBLE) / nullif(cum_pos + cum_neg, 0), 0.0)')} AS precision FROM cu
 UNION ALL

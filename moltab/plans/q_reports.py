@@ -3,6 +3,7 @@ sources and sinks (§2.1, §2.3-2.7, §2.12)."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from moltab.functions.rng import sql_hash32, sql_key, sql_lit
@@ -84,10 +85,10 @@ ORD_REG_SQL = """(WITH s AS (SELECT l_orderkey, sum(l_extendedprice) AS s1,
 
 
 def _write_reg_folds(spark, sf):
-    v = splits.kfold(ord_reg_view(spark, sf), "row_id", 5, seed=3, by=["model"])
+    v = splits.kfold(ord_reg_view(spark, sf), "row_id", 12, seed=3, by=["model"])
     out = scratch_path(spark, "reg-folds")
     io.write_predictions(v.select("model", "fold", F.lit(0).cast("long").alias("pos"),
-                                  F.col("row_id").cast("double").alias("index"), "known", "prediction"), out)
+                                  F.col("row_id").alias("index"), "known", "prediction"), out)
     return out
 
 
@@ -106,29 +107,31 @@ register("all_reg_report", _sql_reg_metrics(ORD_REG_SQL, "model"))(q_all_reg_rep
 
 def q_src_folds_reg(spark, sf):
     out = _write_reg_folds(spark, sf)
-    d = io.read_fold_predictions_reg(spark, f"{out}/model=m2")
-    return round_doubles(d.select("index", "known", "prediction", "fold"))
+    both = None
+    for m in ("m1", "m2"):
+        d = io.read_fold_predictions_reg(spark, f"{out}/model={m}").withColumn("model", F.lit(m))
+        both = d if both is None else both.unionByName(d)
+    return round_doubles(both.select("model", "index", "known", "prediction", "fold"))
 
 
 H_REG = sql_hash32(sql_key("row_id"), sql_lit(3), sql_lit("kfold"))
-register("src_folds_reg", f"""SELECT CAST(row_id AS BIGINT) AS index, round(known, 6) AS known,
+register("src_folds_reg", f"""SELECT model, CAST(row_id AS BIGINT) AS index, round(known, 6) AS known,
   round(prediction, 6) AS prediction,
-  CAST(ntile(5) OVER (ORDER BY {H_REG}, row_id) - 1 AS INTEGER) AS fold FROM {ORD_REG_SQL} WHERE model = 'm2'""")(
+  CAST(ntile(12) OVER (PARTITION BY model ORDER BY {H_REG}, row_id) - 1 AS INTEGER) AS fold FROM {ORD_REG_SQL}""")(
     q_src_folds_reg)
 
 
 def q_sink_predictions(spark, sf):
     out = _write_reg_folds(spark, sf)
     d = spark.read.option("header", True).schema(
-        "pos LONG, index DOUBLE, known DOUBLE, prediction DOUBLE, model STRING, fold INT").csv(out)
-    # partition pruning: only model=m1, fold=2 directories are listed
-    return round_doubles(d.where((F.col("model") == "m1") & (F.col("fold") == 2))
-                         .select("model", "fold", "index", "known", "prediction"))
+        "pos LONG, index LONG, known DOUBLE, prediction DOUBLE, model STRING, fold INT").csv(out)
+    return round_doubles(d.select("model", "fold", "index", "known", "prediction"))
 
 
-register("sink_predictions", f"""SELECT * FROM (SELECT model, CAST(ntile(5) OVER (PARTITION BY model ORDER BY {H_REG}, row_id) - 1 AS INTEGER) AS fold,
-  CAST(row_id AS DOUBLE) AS index, round(known, 6) AS known, round(prediction, 6) AS prediction FROM {ORD_REG_SQL})
-WHERE model = 'm1' AND fold = 2""")(q_sink_predictions)
+register("sink_predictions", f"""SELECT model,
+  CAST(ntile(12) OVER (PARTITION BY model ORDER BY {H_REG}, row_id) - 1 AS INTEGER) AS fold,
+  CAST(row_id AS BIGINT) AS index, round(known, 6) AS known, round(prediction, 6) AS prediction
+FROM {ORD_REG_SQL}""")(q_sink_predictions)
 
 
 def _orders_clf(spark, sf):
@@ -145,14 +148,14 @@ ORD_CLF_SQL = """(SELECT o_orderkey AS row_id, o_orderpriority,
 
 
 def q_src_folds_clf(spark, sf):
-    v = splits.kfold(_orders_clf(spark, sf), "row_id", 5, seed=11)
+    v = splits.kfold(_orders_clf(spark, sf), "row_id", 12, seed=11)
     # every order whose priority is 3-MEDIUM is also written, flipped, into the next fold
-    dup = v.where(F.col("o_orderpriority") == "3-MEDIUM").withColumn("fold", (F.col("fold") + 1) % 5) \
+    dup = v.where(F.col("o_orderpriority") == "3-MEDIUM").withColumn("fold", (F.col("fold") + 1) % 12) \
         .withColumn("prediction", 1 - F.col("prediction"))
     allv = v.unionByName(dup)
     out = scratch_path(spark, "clf-folds")
     io.write_predictions(allv.select("fold", F.lit(0).cast("long").alias("pos"),
-                                     F.col("row_id").cast("double").alias("m_index"),
+                                     F.col("row_id").alias("m_index"),
                                      F.col("known").cast("double").alias("known"),
                                      F.col("prediction").cast("double").alias("prediction"),
                                      (1 - F.col("score")).alias("prob0"), F.col("score").alias("prob1")), out)
@@ -160,12 +163,12 @@ def q_src_folds_clf(spark, sf):
 
 
 H_CLF = sql_hash32(sql_key("row_id"), sql_lit(11), sql_lit("kfold"))
-register("src_folds_clf", f"""WITH f AS (SELECT *, CAST(ntile(5) OVER (ORDER BY {H_CLF}, row_id) - 1 AS INTEGER) AS fold
+register("src_folds_clf", f"""WITH f AS (SELECT *, CAST(ntile(12) OVER (ORDER BY {H_CLF}, row_id) - 1 AS INTEGER) AS fold
   FROM {ORD_CLF_SQL}),
 a AS (SELECT row_id, fold, known, prediction, score FROM f
-      UNION ALL SELECT row_id, (fold + 1) % 5, known, 1 - prediction, score FROM f WHERE o_orderpriority = '3-MEDIUM'),
+      UNION ALL SELECT row_id, (fold + 1) % 12, known, 1 - prediction, score FROM f WHERE o_orderpriority = '3-MEDIUM'),
 k AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY fold) AS rn FROM a)
-SELECT CAST(row_id AS INTEGER) AS m_index, CAST(known AS INTEGER) AS known, CAST(prediction AS INTEGER) AS prediction,
+SELECT CAST(row_id AS BIGINT) AS m_index, CAST(known AS INTEGER) AS known, CAST(prediction AS INTEGER) AS prediction,
   round(1 - score, 6) AS prob0, round(score, 6) AS prob1 FROM k WHERE rn = 1""")(q_src_folds_clf)
 
 
@@ -181,13 +184,16 @@ register("src_csv", "SELECT c_custkey AS row_id, c_name, c_acctbal, c_mktsegment
 
 
 def q_src_csv_noheader(spark, sf):
-    s = table(spark, sf, "supplier").orderBy("s_suppkey")
+    s = table(spark, sf, "supplier")
     out_x = scratch_path(spark, "x")
     out_y = scratch_path(spark, "y")
-    # one file each, written in key order: the positional pairing of the two files
-    io.write_table(s.select("s_nationkey", "s_acctbal").coalesce(1), out_x, fmt="csv", header=False)
-    io.write_table(s.select((F.col("s_acctbal") > 0).cast("double").alias("t")).coalesce(1), out_y,
-                   fmt="csv", header=False)
+    # several files each, written in key order: files are named by range, and the two
+    # sides are cut at different places, so pairing them needs the true file order
+    t = F.col("s_acctbal") > 0
+    io.write_table(s.repartitionByRange(5, "s_suppkey").sortWithinPartitions("s_suppkey")
+                   .select("s_nationkey", "s_acctbal"), out_x, fmt="csv", header=False)
+    io.write_table(s.repartitionByRange(3, "s_suppkey").sortWithinPartitions("s_suppkey")
+                   .select(t.cast("double").alias("t")), out_y, fmt="csv", header=False)
     d = io.read_aligned(spark, out_x, "f0 INT, f1 DOUBLE", out_y, "t DOUBLE")
     return d.select("row_id", "f0", "f1", "t")
 
@@ -197,14 +203,13 @@ register("src_csv_noheader", """SELECT row_number() OVER (ORDER BY s_suppkey) -
 
 
 def q_src_parquet(spark, sf):
-    c = table(spark, sf, "orders").where(F.col("o_orderstatus") == "F").select("o_orderkey", "o_totalprice")
+    c = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
     out = scratch_path(spark, "pq")
     io.write_table(c, out)
-    return io.read_parquet(spark, out).where(F.col("o_totalprice") > 100000)
+    return io.read_parquet(spark, out)
 
 
-register("src_parquet", """SELECT o_orderkey, o_totalprice FROM orders
-WHERE o_orderstatus = 'F' AND o_totalprice > 100000""")(q_src_parquet)
+register("src_parquet", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")(q_src_parquet)
 
 
 def q_src_pred_files(spark, sf):
@@ -254,7 +259,9 @@ def q_sink_guard(spark, sf):
     try:
         io.write_table(c.limit(1), out)
         refused = False
-    except Exception:  # noqa: BLE001  (AnalysisException: path already exists)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_ALREADY_EXISTS":
+            raise
         refused = True
     return io.read_parquet(spark, out).withColumn("refused", F.lit(refused))
 
@@ -319,13 +326,15 @@ cm AS (SELECT l_returnflag, subset, label,
   sum(CASE WHEN known <> label AND prediction = label THEN 1 ELSE 0 END) AS fp,
   sum(CASE WHEN known = label AND prediction <> label THEN 1 ELSE 0 END) AS fn,
   sum(CASE WHEN known = label AND prediction = label THEN 1 ELSE 0 END) AS tp FROM v CROSS JOIN lab GROUP BY ALL),
-cu AS {sql_curve_cte('v', 'known', 'score', ['l_returnflag', 'subset'])},
-au AS {sql_curve_summary('cu', ['l_returnflag', 'subset'])}
+vc AS (SELECT l_returnflag, subset, 1 AS class, known AS is_pos, score AS s FROM v WHERE known IS NOT NULL
+  UNION ALL SELECT l_returnflag, subset, 0, 1 - known, 1 - score FROM v WHERE known IS NOT NULL),
+cu AS {sql_curve_cte('vc', 'is_pos', 's', ['l_returnflag', 'subset', 'class'])},
+au AS {sql_curve_summary('cu', ['l_returnflag', 'subset', 'class'])}
 SELECT cm.l_returnflag, cm.subset, label AS class, {_sql_class_report()}, {_fb(0.5)} AS f_half, {_fb(1.0)} AS f1,
   {_fb(2.0)} AS f2,
   (round((CAST(tp AS DOUBLE) * tn - CAST(fp AS DOUBLE) * fn) / nullif(sqrt(CAST(tp + fp AS DOUBLE) * (tp + fn) * (tn + fp) * (tn + fn)), 0), 2)) AS mcc,
   (round(roc_auc, 2)) AS roc_auc, (round(pr_auc, 2)) AS pr_auc
-FROM cm LEFT JOIN au ON au.l_returnflag = cm.l_returnflag AND au.subset = cm.subset""")(q_all_class_report)
+FROM cm LEFT JOIN au ON au.l_returnflag = cm.l_returnflag AND au.subset = cm.subset AND au.class = label""")(q_all_class_report)
 
 
 def q_fold_mean_std(spark, sf):

@@ -40,9 +40,13 @@ def get_spark(master: str | None = None, app: str = "moltab",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's checkpoint folder; create a local one only if unset."""
+    """Return the cluster's checkpoint folder.  Unset: a local one is made if the
+    master is local; on a cluster that is an error, since nobody else could read it."""
     path = spark.conf.get(_CKPT_KEY, None) or spark.sparkContext.getConf().get(_CKPT_KEY, None)
     if not path:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"set {_CKPT_KEY} to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="moltab-ckpt-")
         spark.conf.set(_CKPT_KEY, path)
     if spark.sparkContext.getCheckpointDir() is None:

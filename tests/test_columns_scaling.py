@@ -13,7 +13,7 @@ def test_label_two_class(spark):
 def test_constant_cols(spark):
     df = spark.createDataFrame([(1, 2, i) for i in range(1, 6)], "A int, B int, C int")
     keep = {r.feature: r.keep for r in columns.constant_cols(df, ["A", "B", "C"]).collect()}
-    assert keep == {"A": True, "B": True, "C": False}
+    assert keep == {"A": False, "B": False, "C": True}
 
 
 def test_select_columns_single_pass(spark):

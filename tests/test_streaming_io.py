@@ -47,3 +47,44 @@ def test_write_guard(spark):
     with pytest.raises(Exception):
         io.write_table(d, out)
     assert io.read_parquet(spark, out).agg(F.count("*")).first()[0] == 3
+
+
+def test_twelve_folds_are_read_and_a_limit_raises(spark):
+    import pytest
+    out = scratch_path(spark, "folds12")
+    rows = [(f, 0, 2 ** 54 + f, 1.0, 1.0, 0.3, 0.7) for f in range(12)]
+    io.write_predictions(spark.createDataFrame(
+        rows, "fold int, pos long, m_index long, known double, prediction double, prob0 double, prob1 double"), out)
+    got = [r.m_index for r in io.read_fold_predictions_clf(spark, out).collect()]
+    assert got == [2 ** 54 + f for f in range(12)]     # exact and sorted
+    with pytest.raises(ValueError):
+        io.read_fold_predictions_clf(spark, out, max_folds=10)
+
+
+def test_aligned_files_pair_in_file_order(spark):
+    import pytest
+    x, y, short = (scratch_path(spark, n) for n in "xyz")
+    rows = spark.range(1000).withColumn("t", F.col("id") * 2)
+    # a small first file and a large last one: a scan reads the large one first
+    key = F.when(F.col("id") < 10, 0).when(F.col("id") < 60, 1).otherwise(2)
+    rows.repartitionByRange(3, key).sortWithinPartitions("id").select("id") \
+        .write.option("header", False).csv(x)
+    rows.repartitionByRange(2, "id").sortWithinPartitions("id").select("t") \
+        .write.option("header", False).csv(y)
+    got = io.read_aligned(spark, x, "id LONG", y, "t LONG").collect()
+    assert len(got) == 1000 and all(r.t == 2 * r.id == 2 * r.row_id for r in got)
+    rows.limit(5).select("t").write.option("header", False).csv(short)
+    with pytest.raises(ValueError):
+        io.read_aligned(spark, x, "id LONG", short, "t LONG")
+
+
+def test_class_report_uses_each_class_own_probability(spark):
+    from moltab.operators.curves import curve_summary
+    from moltab.operators.reports import all_class_report
+    df = spark.createDataFrame([("m", int(i % 5 == 0), int(i % 3 == 0), (i * 37 % 100) / 100) for i in range(200)],
+                               "model string, known int, prediction int, prob1 double")
+    rep = {r["class"]: r for r in all_class_report(df).collect()}
+    own = df.withColumn("neg", 1 - F.col("known")).withColumn("p0", 1 - F.col("prob1"))
+    for cls, known, p in ((1, "known", "prob1"), (0, "neg", "p0")):
+        want = curve_summary(own, known, p, by=["model"], positive=1).first()
+        assert abs(rep[cls].pr_auc - want.pr_auc) <= 0.0051
