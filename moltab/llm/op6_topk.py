@@ -12,7 +12,8 @@ query, so only ``k`` rows per query and task are shuffled to the final merge.
 The query set is stated (ids divisible by ``every``) and meets the candidates
 in blocks.  Vectors that are null or hold null or non-finite components take no
 part; vectors of different lengths never meet (a query sees candidates of its own
-length).  Repeated ids: a query does not see candidates with its own id.  A
+length).  Repeated rows are separate candidates and one query; a query does not see
+candidates with its own id.  A
 component of 2**31 or more after scaling raises, since scores could leave 64 bits.
 An empty table gives an empty result.
 """
@@ -155,7 +156,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id",
                 [pa.array(q_ids[a]), pa.array(e), pa.array(s)], names=["query_id", "vec_id", "score"])
 
     found = pairs.select("dim", "c_ids", "c_data", "q_ids", "q_data") \
-        .mapInArrow(run, "query_id long, vec_id long, score long").distinct()
+        .mapInArrow(run, "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k) \
         .select("query_id", "rank", "vec_id", "score")
