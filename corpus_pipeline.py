@@ -18,7 +18,7 @@ from moltab.llm.common import staged, table
 from moltab.session import scratch_path
 
 #: Wanted token mass of a domain as a multiple of what it has.
-MULTIPLES = {"good": 1.1, "plain": 1.0, "toxic": 0.1}
+MULTIPLES = {"good": 1.05, "plain": 1.0, "toxic": 0.5}
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,19 +1,20 @@
 """Mixing to target weights: soft domain membership and least-squares rates (native).
 
 1. A hashed-word naive-Bayes classifier is counted from the label table (at most
-   ``sample_rows`` labelled documents, those with the smallest id hash) and gives
-   every document a posterior over the domains ``good``, ``plain`` and ``toxic``.
+   ``sample_rows`` labelled documents, those with the smallest id hash), calibrated on
+   the same rows, and gives every document a posterior over the domains ``good``, ``plain`` and ``toxic``.
 2. Nonnegative document rates are fitted so that the expected domain token totals
    ``sum_i rate_i * n_i * p_ik`` meet the targets: projected gradient on the
-   least-squares misfit, rows scaled by the domain's own mass, steps measured in
-   token-weighted norm, starting from rate 1.  An iteration is one aggregation that
+   least-squares misfit, weighted by the inverse of the domains' token-weighted Gram
+   matrix (a step of length one is then safe; the Gram matrix of the rows not yet
+   at zero gives a longer step, taken where it descends), starting from rate 1.  An iteration is one aggregation that
    returns one number per domain; a rate is the projection path replayed per row,
    so no per-document state is shuffled or collected.
 
 The classifier's word weights (one array of ``buckets`` numbers per factor) and the
 residuals are all that reaches the driver.
 
-Null text: no tokens, posterior equal to the priors.  Label rows of a document that
+Null text: no tokens, the posterior of no evidence.  Label rows of a document that
 disagree count as their maximum.  Without labels all posteriors are the same and
 the fit ends at the least-squares optimum, which cannot meet arbitrary targets; the
 result says so in ``Fit.worst``.  Repeated rows get equal rates.  An empty table
@@ -34,23 +35,24 @@ from moltab.llm.common import staged, table, tmp
 
 DOMAINS = ("good", "plain", "toxic")
 #: Target shares of the corpus's tokens.
-SHARES = {"good": 0.6, "plain": 0.38, "toxic": 0.02}
+SHARES = {"good": 0.8, "plain": 0.15, "toxic": 0.05}
 BUCKETS = 1 << 14
 #: Weight of the background distribution, in words.
 PRIOR_WORDS = 20_000.0
-#: Log odds are divided by this many times the root of the word count, which keeps
-#: the posteriors soft on long texts.
-SOFT = 1.0
+#: A bucket has a weight only if its share of a class is so many standard deviations
+#: off; words that tell nothing then add nothing, however long the text.
+LEAST_Z = 4.0
 BREAKS = "\n\t\r.,;:!?\"'()"
 
 
 @dataclass(frozen=True)
 class Classifier:
-    """Log odds of a word bucket, as text of an array, and prior log odds."""
+    """Log odds of a word bucket, as text of an array, and the logistic line
+    ``(slope, offset)`` that turns a text's sum into a posterior."""
     toxic: str
     quality: str
-    prior_toxic: float
-    prior_quality: float
+    line_toxic: tuple[float, float]
+    line_quality: tuple[float, float]
     buckets: int
 
 
@@ -83,48 +85,86 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000
     sample = lab.orderBy(F.md5(F.col("k").cast("string").cast("binary")), "k").limit(sample_rows)
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("body")) \
         .join(F.broadcast(sample), "k")
-    words = rows.select("toxic", "quality", F.explode(_words(F.col("body"))).alias("w")).where("w <> ''")
+    words = rows.select("toxic", "quality", F.explode(F.array_distinct(_words(F.col("body")))).alias("w")) \
+        .where("w <> ''")
     n = words.groupBy(_bucket(F.col("w"), buckets).alias("b")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t"), F.sum("quality").alias("q"))
     counts = {r["b"]: (r["n"], r["t"], r["q"]) for r in n.collect()}   # at most `buckets` rows
     total = [sum(c[i] for c in counts.values()) for i in range(3)]
-    seen = sample.agg(F.count(F.lit(1)), F.sum("toxic"), F.sum("quality")).first()
-
     def weights(i: int) -> str:
         out = []
         for b in range(buckets):
             c = counts.get(b, (0, 0, 0))
             back = PRIOR_WORDS * c[0] / max(total[0], 1)
+            share = total[i] / max(total[0], 1)
+            if abs(c[i] - c[0] * share) < LEAST_Z * math.sqrt(c[0] * share * (1 - share) + 1):
+                out.append("0")
+                continue
             yes = (c[i] + back) / (total[i] + PRIOR_WORDS)
             no = (c[0] - c[i] + back) / (total[0] - total[i] + PRIOR_WORDS)
             out.append(f"{math.log(yes / no):.6f}" if yes > 0 and no > 0 else "0")
         return ",".join(out)
 
-    odds = lambda yes: math.log(((yes or 0) + 0.5) / (seen[0] - (yes or 0) + 0.5))
-    return Classifier(weights(1), weights(2), odds(seen[1]), odds(seen[2]), buckets)
-
-
-def membership(text: Column, c: Classifier) -> Column:
-    """Struct ``n, good, plain, toxic`` of a text: words and domain posteriors."""
+    wt, wq = weights(1), weights(2)
+    # calibration: sums in steps of a quarter, at most 481 bins a factor
+    sums = rows.select("toxic", "quality", _scores(F.col("body"), wt, wq, buckets).alias("s"))
+    lines = []
+    for factor, name in (("t", "toxic"), ("q", "quality")):
+        bins = sums.groupBy((F.round(F.greatest(F.lit(-60.0), F.least(F.lit(60.0), F.col("s")[factor])) * 4)
+                             / 4).alias("x")).agg(F.count(F.lit(1)).alias("n"), F.sum(name).alias("y"))
+        lines.append(_logistic([(r["x"], r["n"], r["y"]) for r in bins.collect()]))
+    return Classifier(wt, wq, lines[0], lines[1], buckets)
+
+
+def _logistic(bins: list[tuple[float, int, int]]) -> tuple[float, float]:
+    """Slope and offset of a one-variable logistic fit (Newton steps, slight ridge)."""
+    a, b = 0.0, 0.0
+    for _ in range(50):
+        ga, gb, haa, hab, hbb = 0.01 * (a - 1), 0.01 * b, 0.01, 0.0, 0.01
+        for x, n, y in bins:
+            p = 1 / (1 + math.exp(-max(-40.0, min(40.0, a * x + b))))
+            ga, gb = ga + (n * p - y) * x, gb + n * p - y
+            w = n * p * (1 - p)
+            haa, hab, hbb = haa + w * x * x, hab + w * x, hbb + w
+        det = haa * hbb - hab * hab
+        da, db = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det
+        size = max(1.0, abs(da), abs(db) / 2)
+        a, b = a - da / size, b - db / size
+    return a, b
+
+
+def _scores(text: Column, toxic: str, quality: str, buckets: int) -> Column:
+    """Struct ``n, t, q``: words, and the sums of the distinct words' log odds."""
     table_ = lambda s: F.split(F.lit(s), ",").cast("array<double>")  # noqa: E731  folded to a constant
-    wt, wq = table_(c.toxic), table_(c.quality)
-    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("t"), F.lit(0.0).alias("q"))
+    wt, wq = table_(toxic), table_(quality)
+    zero = F.struct(F.lit(0.0).alias("t"), F.lit(0.0).alias("q"))
 
     def add(acc: Column, w: Column) -> Column:
-        at = _bucket(w, c.buckets) + 1
+        at = _bucket(w, buckets) + 1
         return F.when(w == "", acc).otherwise(F.struct(
-            (acc["n"] + 1).alias("n"), (acc["t"] + F.element_at(wt, at)).alias("t"),
-            (acc["q"] + F.element_at(wq, at)).alias("q")))
+            (acc["t"] + F.element_at(wt, at)).alias("t"), (acc["q"] + F.element_at(wq, at)).alias("q")))
+
+    def of(words: Column) -> Column:
+        n = (F.size(words) - F.size(F.filter(words, lambda w: w == ""))).cast("long")
+        return F.aggregate(F.array_distinct(words), zero, add, lambda a: F.struct(
+            n.alias("n"), a["t"].alias("t"), a["q"].alias("q")))
 
-    def done(a: Column) -> Column:
-        soft = F.greatest(F.lit(1.0), F.lit(SOFT) * F.sqrt(a["n"].cast("double")) / 8.0)
-        prob = lambda s, prior: 1.0 / (1.0 + F.exp(-F.least(
-            F.lit(60.0), F.greatest(F.lit(-60.0), F.lit(prior) + s / soft))))
-        t, q = prob(a["t"], c.prior_toxic), prob(a["q"], c.prior_quality)
-        return F.struct(a["n"].alias("n"), ((1 - t) * q).alias("good"),
-                        ((1 - t) * (1 - q)).alias("plain"), t.alias("toxic"))
+    # a one-element array binds the words, so that they are cut once
+    return F.transform(F.array(_words(text)), of)[0]
 
-    return F.aggregate(_words(text), zero, add, done)
+
+def membership(text: Column, c: Classifier) -> Column:
+    """Struct ``n, good, plain, toxic`` of a text: words and domain posteriors."""
+    def prob(s: Column, line: tuple[float, float]) -> Column:
+        z = F.lit(line[0]) * s + F.lit(line[1])
+        return 1.0 / (1.0 + F.exp(-F.least(F.lit(60.0), F.greatest(F.lit(-60.0), z))))
+
+    def of(s: Column) -> Column:
+        t, q = prob(s["t"], c.line_toxic), prob(s["q"], c.line_quality)
+        return F.struct(s["n"].alias("n"), ((1 - t) * q).alias("good"), ((1 - t) * (1 - q)).alias("plain"),
+                        t.alias("toxic"))
+
+    return F.transform(F.array(_scores(text, c.toxic, c.quality, c.buckets)), of)[0]
 
 
 def replay(steps, p: list[Column], start: Column | None = None) -> Column:
@@ -144,8 +184,8 @@ def replay(steps, p: list[Column], start: Column | None = None) -> Column:
     return F.aggregate(path, start, step)
 
 
-def fit_rates(members: DataFrame, targets: dict[str, float], tolerance: float = 1e-4,
-              max_steps: int = 400, restage: int = 16) -> Fit:
+def fit_rates(members: DataFrame, targets: dict[str, float], tolerance: float = 1e-3,
+              max_steps: int = 100, restage: int = 16) -> Fit:
     """Projected gradient over ``(n, good, plain, toxic)`` rows; ``targets`` are token
     totals per domain.  Raises when ``max_steps`` pass without settling."""
     now = staged(members.select("n", *DOMAINS), "mix-members")
@@ -153,33 +193,76 @@ def fit_rates(members: DataFrame, targets: dict[str, float], tolerance: float =
     gram = now.agg(*[F.coalesce(F.sum(F.col("n") * F.col(DOMAINS[a]) * F.col(DOMAINS[b])), F.lit(0.0))
                      for a in range(size) for b in range(size)]).first()
     g = [[gram[a * size + b] for b in range(size)] for a in range(size)]
-    mass = [max(g[k][k], 1e-12) for k in range(size)]
-    # Lipschitz bound of the row-scaled problem
-    top = max(sum(abs(g[a][b]) / math.sqrt(mass[a] * mass[b]) for b in range(size)) for a in range(size))
-    steps, recent, totals, worst, last = [], [], [0.0] * size, math.inf, None
     goal = [float(targets[d]) for d in DOMAINS]
+    rates = [F.col(d) for d in DOMAINS]
+
+    def inverse(m) -> list[list[float]]:
+        ridge = 1e-7 * max(max(m[k][k] for k in range(size)), 1e-12)
+        return _inverse([[m[a][b] + (ridge if a == b else 0.0) for b in range(size)] for a in range(size)])
+
+    def times(m, v) -> list[float]:
+        return [sum(m[a][b] * v[b] for b in range(size)) for a in range(size)]
+
+    def look(current, path):
+        """Totals, and the Gram matrix of the rows whose rate is not zero."""
+        live = [F.when(F.col("now") > 0, F.col("n") * F.col(DOMAINS[a]) * F.col(DOMAINS[b])).otherwise(0.0)
+                for a in range(size) for b in range(a, size)]
+        got = current.withColumn("now", replay(path, rates, F.col("r"))).agg(
+            *[F.coalesce(F.sum(F.col("n") * F.col("now") * F.col(d)), F.lit(0.0)) for d in DOMAINS],
+            *[F.coalesce(F.sum(x), F.lit(0.0)) for x in live]).first()
+        m, at = [[0.0] * size for _ in range(size)], size
+        for a in range(size):
+            for b in range(a, size):
+                m[a][b] = m[b][a] = got[at]
+                at += 1
+        return list(got[:size]), m
+
+    weight = inverse(g)
     current = now.withColumn("r", F.lit(1.0))
-    speed, look = 1.0, None
+    steps, recent = [], []
+    totals, live = look(current, recent)
+    bold = True
     for _ in range(max_steps):
-        rate = replay(recent, [F.col(d) for d in DOMAINS], F.col("r"))
-        got = current.withColumn("now", rate).agg(
-            *[F.coalesce(F.sum(F.col("n") * F.col("now") * F.col(d)), F.lit(0.0)) for d in DOMAINS]).first()
-        totals = list(got)
-        miss = [(totals[k] - goal[k]) for k in range(size)]
+        miss = [totals[k] - goal[k] for k in range(size)]
         worst = max(abs(miss[k]) / max(goal[k], 1e-12) for k in range(size))
-        moved = math.inf if last is None else max(
-            abs(totals[k] - last[k]) / max(goal[k], 1e-12) for k in range(size))
-        if worst <= tolerance or moved <= tolerance / 100:
-            return Fit(tuple(steps), dict(zip(DOMAINS, totals)), dict(zip(DOMAINS, goal)), worst)
-        last = totals
-        step = tuple(miss[k] / mass[k] / max(top, 1e-12) for k in range(size))
+        if worst <= tolerance:
+            break
+        # the metric of the live rows is the longer step; where it does not descend,
+        # the metric of all rows always does
+        step = tuple(times(inverse(live) if bold else weight, miss))
+        new, new_live = look(current, [*recent, step])
+        after = [new[k] - goal[k] for k in range(size)]
+        down = sum(x * y for x, y in zip(after, times(weight, after)))
+        before = sum(x * y for x, y in zip(miss, times(weight, miss)))
+        if bold and down > 0.9 * before:
+            bold = False
+            continue
+        if down > (1 - 1e-4) * before:   # the least-squares optimum
+            break
         steps.append(step)
         recent.append(step)
+        totals, live, bold = new, new_live, True
         if len(recent) == restage:
-            current = staged(current.select("n", *DOMAINS, replay(
-                recent, [F.col(d) for d in DOMAINS], F.col("r")).alias("r")), "mix-rates")
+            current = staged(current.select("n", *DOMAINS, replay(recent, rates, F.col("r")).alias("r")),
+                             "mix-rates")
             recent = []
-    raise RuntimeError(f"rates did not settle in {max_steps} steps (misfit {worst:.3g})")
+    else:
+        warnings.warn(f"rates did not settle in {max_steps} steps: misfit {worst:.3g}", stacklevel=2)
+    return Fit(tuple(steps), dict(zip(DOMAINS, totals)), dict(zip(DOMAINS, goal)), worst)
+
+
+def _inverse(m: list[list[float]]) -> list[list[float]]:
+    """Inverse of a small positive definite matrix (Gauss-Jordan)."""
+    n = len(m)
+    rows = [[*m[i], *(float(i == j) for j in range(n))] for i in range(n)]
+    for c in range(n):
+        best = max(range(c, n), key=lambda r: abs(rows[r][c]))
+        rows[c], rows[best] = rows[best], rows[c]
+        rows[c] = [x / rows[c][c] for x in rows[c]]
+        for r in range(n):
+            if r != c:
+                rows[r] = [x - rows[r][c] * y for x, y in zip(rows[r], rows[c])]
+    return [r[n:] for r in rows]
 
 
 def fit_mixture(docs: DataFrame, labels: DataFrame, shares: dict[str, float] | None = None,
