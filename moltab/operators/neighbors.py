@@ -1,105 +1,150 @@
 """Exact k-nearest neighbours without a cross join.
 
-Candidates come from a *band join* on a 1-D projection ``p = x·u``:
-|p_i − p_j| ≤ ‖x_i − x_j‖, so every true neighbour of i within radius r lies
-in the band ``|p_j − p_i| ≤ r``.
-
-1. Order points and queries together by ``p`` (distributed running count)
-   and take, for every query, the ``k`` points on each side in that order:
-   an equi-join on position windows.  Their k-th smallest distance ``r_i`` is an upper bound
-   of the true k-th neighbour distance.
-2. Band join: each query emits the grid cells of width ``w`` covering
-   ``[p_i − r_i, p_i + r_i]``; points join on (group, cell); exact distances;
-   ``row_number() ≤ k`` per query with ties broken by id.
-
-No pair outside a band is formed and no group holds all points; the result
-is exact.  ``by`` restricts neighbours to the same group (e.g. one class).
+1. *Leaves.* Points go to the nearest of a bounded set of sampled pivots; a leaf knows
+   its size and the true radius around its pivot.
+2. *Radius.* A query takes leaves by their farthest possible point until they hold k
+   points: that distance bounds its k-th neighbour.
+3. *Pruning.* The query visits only leaves whose nearest possible point is within that
+   bound (triangle inequality), so the result is exact whatever the pivots.
+4. *Blocks.* Leaves and their visitors are packed into blocks of bounded size; a task
+   holds one pair of blocks, computes distances with numpy and returns at most k rows a
+   query, which a last ranking merges.
+
+``by`` restricts neighbours to the same group (e.g. one class).  Equal vectors cost no
+more than others: a block returns the k smallest (distance, key) whatever the ties.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from moltab.operators.ordered import running_sum
-
 
 def sq_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, v: acc + v)
 
 
-def _proj(vec: Column, dim: int, seed: int) -> Column:
-    import numpy as np
-    u = np.random.default_rng(seed).normal(size=dim)
-    u = u / np.linalg.norm(u)
-    w = F.array(*[F.lit(float(x)) for x in u])
-    return F.aggregate(F.zip_with(vec, w, lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
+#: Pivots sampled from the points, and rows per block.
+PIVOTS = 256
+BLOCK_ROWS = 1024
 
 
 def knn(queries: DataFrame, points: DataFrame, key: str, vec: str, k: int, by: Sequence[str] = (),
-        dim: int | None = None, exclude_self: bool = False, seed: int = 17) -> DataFrame:
-    """``(q, p, dist, rank)``: the k nearest ``points`` of every query (Euclidean).
+        dim: int | None = None, exclude_self: bool = False) -> DataFrame:
+    """``(by…, q, p, dist, rank)``: the k nearest ``points`` of every query (Euclidean,
+    ties to the smaller key).
 
     ``vec`` is an ``ARRAY<DOUBLE>`` column.  With ``exclude_self`` a point
     is not its own neighbour (same key), as in SMOTE and leave-self-out kNN.
     """
     by = list(by)
-    if dim is None:
-        dim = len(points.select(vec).first()[0])
-    pq = queries.select(*by, F.col(key).alias("q"), F.col(vec).alias("qv")).withColumn("qp", _proj(F.col("qv"), dim, seed))
-    pp = points.select(*by, F.col(key).alias("p"), F.col(vec).alias("pv")).withColumn("pp", _proj(F.col("pv"), dim, seed))
-
-    # 1. initial radius from neighbours in projection order (queries and points ranked together)
-    both = (pq.select(*by, F.col("q").alias("id"), F.col("qp").alias("proj"), F.lit(0).alias("is_pt"))
-            .unionByName(pp.select(*by, F.col("p").alias("id"), F.col("pp").alias("proj"), F.lit(1).alias("is_pt"))))
-    # running count of points in projection order: a point's position, and for a
-    # query the number of points before it
-    ranked = running_sum(both, "proj", ["is_pt"], by=by, tiebreak=["is_pt", "id"], prefix="pos_")
-    pts_pos = ranked.where("is_pt = 1").select(*by, F.col("id").alias("p"), F.col("pos_is_pt").alias("pos"))
-    q_pos = ranked.where("is_pt = 0").select(*by, F.col("id").alias("q"), F.col("pos_is_pt").alias("qpos"))
-    win = F.explode(F.sequence(F.col("qpos") - k, F.col("qpos") + k + 1)).alias("pos")
-    near = q_pos.select(*by, "q", win).join(pts_pos, by + ["pos"])
-    if exclude_self:
-        near = near.where(F.col("q") != F.col("p"))
-    d0 = (near.join(pq, by + ["q"]).join(pp, by + ["p"])
-          .select(*by, "q", F.sqrt(sq_distance(F.col("qv"), F.col("pv"))).alias("d")))
-    wq = Window.partitionBy(*by, "q").orderBy("d")
-    radius = (d0.withColumn("_r", F.row_number().over(wq)).where(F.col("_r") <= k)
-              .groupBy(*by, "q").agg(F.max("d").alias("r"), F.count(F.lit(1)).alias("_n")))
-    # fewer than k found (tiny groups): fall back to an unbounded radius
-    radius = radius.withColumn("r", F.when(F.col("_n") >= k, F.col("r")).otherwise(F.lit(float("inf"))))
-
-    # 2. band join on projection cells whose width is the median search radius,
-    #    so a query spans about three cells whatever the dimension
-    width = _cell_width(pp, radius, by)
-    qb = pq.join(radius, by + ["q"]).crossJoin(F.broadcast(width)) if not by else \
-        pq.join(radius, by + ["q"]).join(width, by)
-    lo = F.floor((F.col("qp") - F.col("r")) / F.col("_w"))
-    hi = F.floor((F.col("qp") + F.col("r")) / F.col("_w"))
-    span = F.when(F.col("r") == F.lit(float("inf")), F.sequence(F.col("_cmin"), F.col("_cmax"))) \
-        .otherwise(F.sequence(F.greatest(lo, F.col("_cmin")).cast("long"), F.least(hi, F.col("_cmax")).cast("long")))
-    qcells = qb.select(*by, "q", "qv", "qp", "r", F.explode(span).alias("cell"))
-    pw = pp.crossJoin(F.broadcast(width)) if not by else pp.join(width, by)
-    pcells = pw.select(*by, "p", "pv", "pp", F.floor(F.col("pp") / F.col("_w")).cast("long").alias("cell"))
-    cand = qcells.join(pcells, by + ["cell"]).where(F.abs(F.col("pp") - F.col("qp")) <= F.col("r"))
-    if exclude_self:
-        cand = cand.where(F.col("q") != F.col("p"))
-    dist = cand.select(*by, "q", "p", F.sqrt(sq_distance(F.col("qv"), F.col("pv"))).alias("dist"))
+    spark = points.sparkSession
+    kinds = dict(points.dtypes)
+    sample = points.select(F.col(vec).cast("array<double>").alias("v")) \
+        .orderBy(F.xxhash64(F.col(key))).limit(PIVOTS).collect()
+    if not sample:
+        return queries.select(*by, F.col(key).alias("q")).where(F.lit(False)) \
+            .select(*by, "q", F.col("q").alias("p"), F.lit(0.0).alias("dist"), F.lit(1).alias("rank"))
+    dim = dim or len(sample[0]["v"])
+    pivots = spark.sparkContext.broadcast(np.array([r["v"] for r in sample], dtype=np.float64))
+
+    def nearest(batches):
+        import numpy as np
+        import pandas as pd
+        c = pivots.value
+        for b in batches:
+            x = np.array(b["v"].tolist(), dtype=np.float64).reshape(-1, c.shape[1])
+            best, near = np.zeros(len(x), np.int32), np.full(len(x), np.inf)
+            for j in range(len(c)):
+                d = np.sqrt(((x - c[j]) ** 2).sum(axis=1))
+                closer = d < near
+                best[closer], near[closer] = j, d[closer]
+            yield pd.DataFrame({**{n: b[n] for n in b.columns}, "leaf": best, "away": near})
+
+    own = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), f"id {kinds[key]}", "v array<double>"])
+    flat = lambda df: df.select(*by, F.col(key).alias("id"), F.col(vec).cast("array<double>").alias("v"))
+    leafed = flat(points).mapInPandas(nearest, own + ", leaf int, away double")
+    leaves = leafed.groupBy(*by, "leaf").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("radius"))
+    group = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by] or [F.lit("")]
+    tag = F.concat_ws("\x1f", *group)
+    # at most PIVOTS entries per group
+    known = leaves.groupBy(tag.alias("tag")).agg(F.collect_list(F.struct("leaf", "n", "radius")).alias("leaves"))
+    need = k + 1 if exclude_self else k
+
+    def visit(batches):
+        import numpy as np
+        import pandas as pd
+        c = pivots.value
+        for b in batches:
+            x = np.array(b["v"].tolist(), dtype=np.float64).reshape(-1, c.shape[1])
+            rows, at = [], []
+            for i, have in enumerate(b["leaves"]):
+                leaf = np.array([h["leaf"] for h in have])
+                n = np.array([h["n"] for h in have])
+                r = np.array([h["radius"] for h in have])
+                d = np.sqrt(((c[leaf] - x[i]) ** 2).sum(axis=1))
+                order = np.argsort(d + r)
+                reach = np.searchsorted(np.cumsum(n[order]), need)
+                bound = (d + r)[order[reach]] if reach < len(order) else np.inf
+                for j in leaf[d - r <= bound * (1 + 1e-9) + 1e-12]:
+                    rows.append(i)
+                    at.append(j)
+            out = b.drop(columns=["leaves"]).iloc[rows].reset_index(drop=True)
+            out["leaf"] = np.array(at, dtype=np.int32)
+            yield pd.DataFrame(out)
+
+    seen = flat(queries).withColumn("tag", tag).join(known, "tag").drop("tag") \
+        .mapInPandas(visit, own + ", leaf int")
+
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        """Rows of a leaf in key order, ``BLOCK_ROWS`` or so to a block."""
+        keys = [*by, "leaf"]
+        size = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("cuts")) \
+            .select(*[F.col(c).alias(f"_{c}") for c in keys], "cuts")
+        even = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
+        cut = df.join(size, even).select(*keys, "id", "v",
+                                         F.pmod(F.xxhash64("id"), F.col("cuts")).alias("cut"))
+        packed = cut.groupBy(*keys, "cut").agg(F.array_sort(F.collect_list(F.struct("id", "v"))).alias("s"))
+        return packed.select(*[F.col(c).alias(f"{name}_{c}") for c in keys], F.col("s")["id"].alias(f"{name}_ids"),
+                             F.flatten(F.col("s")["v"]).alias(f"{name}_v"))
+
+    qb, pb = blocks(seen, "q"), blocks(leafed.drop("away"), "p")
+    pairs = qb.join(pb, [F.col(f"q_{c}").eqNullSafe(F.col(f"p_{c}")) for c in [*by, "leaf"]])
+
+    def search(batches):
+        import numpy as np
+        import pandas as pd
+        for b in batches:
+            for row in b.itertuples(index=False):
+                q_ids, p_ids = np.asarray(row.q_ids), np.asarray(row.p_ids)
+                q = np.asarray(row.q_v, dtype=np.float64).reshape(len(q_ids), -1)
+                p = np.asarray(row.p_v, dtype=np.float64).reshape(len(p_ids), -1)
+                d = np.zeros((len(q), len(p)))
+                for j in range(q.shape[1]):
+                    d += (q[:, j, None] - p[None, :, j]) ** 2
+                d = np.sqrt(d)
+                if exclude_self:
+                    code, _ = pd.factorize(np.concatenate([q_ids, p_ids]))
+                    d[code[:len(q_ids), None] == code[None, len(q_ids):]] = np.inf
+                least = min(k, len(p))
+                edge = np.partition(d, least - 1, axis=1)[:, least - 1]
+                i, j = np.nonzero((d <= edge[:, None]) & np.isfinite(d))
+                order = np.lexsort((j, d[i, j], i))     # points stand in key order
+                i, j = i[order], j[order]
+                keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+                i, j = i[keep], j[keep]
+                out = {c: pd.Series([getattr(row, f"q_{c}")] * len(i), dtype=object) for c in by}
+                yield pd.DataFrame({**out, "q": pd.Series(q_ids[i], dtype=object),
+                                    "p": pd.Series(p_ids[j], dtype=object), "dist": d[i, j]})
+
+    found = pairs.select(*[F.col(f"q_{c}") for c in by], "q_ids", "q_v", "p_ids", "p_v") \
+        .mapInPandas(search, "".join(f"`{c}` {kinds[c]}, " for c in by)
+                     + f"q {dict(queries.dtypes)[key]}, p {kinds[key]}, dist double")
     w = Window.partitionBy(*by, "q").orderBy("dist", "p")
-    return dist.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def _cell_width(pp: DataFrame, radius: DataFrame, by: list[str]) -> DataFrame:
-    """Cell width = median finite radius of the group (≥ range / n); one row per group."""
-    g = pp.groupBy(*by).agg(F.min("pp").alias("_lo"), F.max("pp").alias("_hi"), F.count(F.lit(1)).alias("_n"))
-    med = radius.where(F.col("r") < F.lit(float("inf"))).groupBy(*by).agg(
-        F.percentile_approx("r", 0.5, 1000).alias("_med"))
-    j = g.join(med, by, "left") if by else g.crossJoin(med)
-    w = F.greatest(F.coalesce(F.col("_med"), F.lit(0.0)), (F.col("_hi") - F.col("_lo")) / F.col("_n"), F.lit(1e-12))
-    return j.select(*by, w.alias("_w"), F.floor(F.col("_lo") / w).cast("long").alias("_cmin"),
-                    F.floor(F.col("_hi") / w).cast("long").alias("_cmax"))
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def knn_predict(train: DataFrame, test: DataFrame, key: str, vec: str, label: str, k: int,
