@@ -42,7 +42,6 @@ PRIOR_WORDS = 20_000.0
 #: A bucket has a weight only if its share of a class is so many standard deviations
 #: off; words that tell nothing then add nothing, however long the text.
 LEAST_Z = 4.0
-BREAKS = "\n\t\r.,;:!?\"'()"
 
 
 @dataclass(frozen=True)
@@ -67,8 +66,11 @@ class Fit:
 
 
 def _words(text: Column) -> Column:
-    flat = F.translate(F.lower(F.coalesce(text, F.lit(""))), BREAKS, " " * len(BREAKS))
-    return F.split(flat, " ")
+    """Lower-case words between blanks and line ends (marks stay with their word)."""
+    flat = F.lower(F.coalesce(text, F.lit("")))
+    for c in "\n\t\r":
+        flat = F.replace(flat, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(flat, " "), "")
 
 
 def _bucket(word: Column, buckets: int) -> Column:
@@ -85,8 +87,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000
     sample = lab.orderBy(F.md5(F.col("k").cast("string").cast("binary")), "k").limit(sample_rows)
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("body")) \
         .join(F.broadcast(sample), "k")
-    words = rows.select("toxic", "quality", F.explode(F.array_distinct(_words(F.col("body")))).alias("w")) \
-        .where("w <> ''")
+    words = rows.select("toxic", "quality", F.explode(F.array_distinct(_words(F.col("body")))).alias("w"))
     n = words.groupBy(_bucket(F.col("w"), buckets).alias("b")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t"), F.sum("quality").alias("q"))
     counts = {r["b"]: (r["n"], r["t"], r["q"]) for r in n.collect()}   # at most `buckets` rows
@@ -137,17 +138,20 @@ def _scores(text: Column, toxic: str, quality: str, buckets: int) -> Column:
     """Struct ``n, t, q``: words, and the sums of the distinct words' log odds."""
     table_ = lambda s: F.split(F.lit(s), ",").cast("array<double>")  # noqa: E731  folded to a constant
     wt, wq = table_(toxic), table_(quality)
+    tells = ",".join(str(int((a, b) != ("0", "0"))) for a, b in zip(toxic.split(","), quality.split(",")))
+    tells = F.split(F.lit(tells), ",").cast("array<int>")
     zero = F.struct(F.lit(0.0).alias("t"), F.lit(0.0).alias("q"))
+    at = lambda w: _bucket(w, buckets) + 1
 
     def add(acc: Column, w: Column) -> Column:
-        at = _bucket(w, buckets) + 1
-        return F.when(w == "", acc).otherwise(F.struct(
-            (acc["t"] + F.element_at(wt, at)).alias("t"), (acc["q"] + F.element_at(wq, at)).alias("q")))
+        return F.struct((acc["t"] + F.element_at(wt, at(w))).alias("t"),
+                        (acc["q"] + F.element_at(wq, at(w))).alias("q"))
 
     def of(words: Column) -> Column:
-        n = (F.size(words) - F.size(F.filter(words, lambda w: w == ""))).cast("long")
-        return F.aggregate(F.array_distinct(words), zero, add, lambda a: F.struct(
-            n.alias("n"), a["t"].alias("t"), a["q"].alias("q")))
+        # most words tell nothing and leave before the sums
+        telling = F.array_distinct(F.filter(words, lambda w: F.element_at(tells, at(w)) == 1))
+        return F.aggregate(telling, zero, add, lambda a: F.struct(
+            F.size(words).cast("long").alias("n"), a["t"].alias("t"), a["q"].alias("q")))
 
     # a one-element array binds the words, so that they are cut once
     return F.transform(F.array(_words(text)), of)[0]
@@ -188,7 +192,7 @@ def fit_rates(members: DataFrame, targets: dict[str, float], tolerance: float =
               max_steps: int = 100, restage: int = 16) -> Fit:
     """Projected gradient over ``(n, good, plain, toxic)`` rows; ``targets`` are token
     totals per domain.  Raises when ``max_steps`` pass without settling."""
-    now = staged(members.select("n", *DOMAINS), "mix-members")
+    now = members.select("n", *DOMAINS)
     size = len(DOMAINS)
     gram = now.agg(*[F.coalesce(F.sum(F.col("n") * F.col(DOMAINS[a]) * F.col(DOMAINS[b])), F.lit(0.0))
                      for a in range(size) for b in range(size)]).first()
@@ -272,6 +276,12 @@ def fit_mixture(docs: DataFrame, labels: DataFrame, shares: dict[str, float] | N
     each domain's present expected total."""
     c = fit_classifier(docs, labels, sample_rows, key=key, text=text)
     members = staged(docs.select(membership(F.col(text), c).alias("m")).select("m.*"), "mix-members")
+    return c, fit_targets(members, shares, multiples)
+
+
+def fit_targets(members: DataFrame, shares: dict[str, float] | None = None,
+                multiples: dict[str, float] | None = None) -> Fit:
+    """Rates over ``(n, good, plain, toxic)`` rows for ``shares`` or ``multiples``."""
     sums = members.agg(*[F.coalesce(F.sum(F.col("n") * F.col(d)), F.lit(0.0)) for d in DOMAINS]).first()
     if multiples is not None:
         targets = {d: sums[k] * multiples[d] for k, d in enumerate(DOMAINS)}
@@ -280,7 +290,7 @@ def fit_mixture(docs: DataFrame, labels: DataFrame, shares: dict[str, float] | N
     fit = fit_rates(members, targets)
     if fit.worst > 0.01:
         warnings.warn(f"targets cannot be met: misfit {fit.worst:.3g}", stacklevel=2)
-    return c, fit
+    return fit
 
 
 def with_rates(docs: DataFrame, c: Classifier, fit: Fit, text: str = "text") -> tuple[DataFrame, str, str]:
@@ -307,7 +317,10 @@ def mix(docs: DataFrame, c: Classifier, fit: Fit, key: str = "doc_id", text: str
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    c, fit = fit_mixture(docs, table(spark, sf_dir, "labels"))
-    rated, m, r = with_rates(docs, c, fit)
-    return rated.select("doc_id", F.col(m)["n"].alias("n_tokens"),
-                        *[F.col(m)[d].alias(f"p_{d}") for d in DOMAINS], F.col(r).alias("rate"))
+    c = fit_classifier(docs, table(spark, sf_dir, "labels"))
+    members = staged(docs.select("doc_id", membership(F.col("text"), c).alias("m")).select("doc_id", "m.*"),
+                     "mix-members")
+    fit = fit_targets(members)
+    return members.select("doc_id", F.col("n").alias("n_tokens"),
+                          *[F.col(d).alias(f"p_{d}") for d in DOMAINS],
+                          replay(fit.steps, [F.col(d) for d in DOMAINS]).alias("rate"))
