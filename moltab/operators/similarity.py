@@ -153,9 +153,39 @@ def similarity_search(reference: DataFrame, targets: DataFrame, key: str, bits:
     return out
 
 
+def dice_summary(df: DataFrame, bits: str) -> DataFrame:
+    """``(n, mean, std)`` of the full n×n Dice matrix (diagonal included), exactly and
+    without forming pairs.
+
+    With rows grouped by their number of bits, the sum of common bits over two classes
+    is a sum of products of bit counts, the sum of squared common bits one of products
+    of bit co-occurrences.  Both tables are bounded by the fingerprint, not by the
+    rows.  A row without bits has similarity 0 with every row, itself included.
+    """
+    rows = df.select(F.array_distinct(F.coalesce(bits, F.array().cast("array<int>"))).alias("b")) \
+        .withColumn("l", F.size("b"))
+    one = rows.select("l", F.explode("b").alias("u")).groupBy("l", "u").agg(
+        F.count(F.lit(1)).cast("double").alias("c"))
+    two = rows.select("l", "b", F.explode("b").alias("u")).select("l", "u", F.explode("b").alias("v")) \
+        .groupBy("l", "u", "v").agg(F.count(F.lit(1)).cast("double").alias("c"))
+
+    def moment(t: DataFrame, keys: list[str], power: int) -> DataFrame:
+        other = t.select(*keys, F.col("l").alias("m"), F.col("c").alias("d"))
+        scale = F.pow(2.0 / (F.col("l") + F.col("m")), F.lit(power))
+        return t.join(other, keys).agg(F.coalesce(F.sum(F.col("c") * F.col("d") * scale), F.lit(0.0)).alias(f"s{power}"))
+
+    total = rows.agg(F.count(F.lit(1)).alias("n"))
+    both = total.crossJoin(F.broadcast(moment(one, ["u"], 1))).crossJoin(F.broadcast(moment(two, ["u", "v"], 2)))
+    cells = F.col("n").cast("double") * F.col("n")
+    mean = F.try_divide(F.col("s1"), cells)
+    return both.select("n", mean.alias("mean"), F.sqrt(F.greatest(
+        F.try_divide(F.col("s2"), cells) - mean * mean, F.lit(0.0))).alias("std"))
+
+
 def similarity_summary(pairs: DataFrame, n_items: DataFrame | int, sim: str = "sim") -> DataFrame:
-    """Mean and population std of the full n×n similarity matrix (diagonal = 1)
-    from an i<j pair table; absent pairs count as 0 (below the join threshold)."""
+    """Mean and population std of the n×n similarity matrix in which everything below
+    the threshold of the i<j pair table is set to 0 (diagonal 1).  Not the mean of
+    the full matrix; see ``dice_summary`` for that."""
     agg = pairs.agg(F.coalesce(F.sum(sim), F.lit(0.0)).alias("_s"),
                     F.coalesce(F.sum(F.col(sim) * F.col(sim)), F.lit(0.0)).alias("_s2"))
     if isinstance(n_items, int):

@@ -291,15 +291,19 @@ register("sim_self_join", f"""SELECT * FROM (SELECT a.vec_id AS i, b.vec_id AS j
 
 
 def q_sim_cross_join(spark, sf):
+    """The three matrices of two sets (even and odd labels): within each and between."""
     e = emb_bits(spark, sf)
-    a = e.where(F.col("label") == 0)
-    b = e.where(F.col("label") == 1)
-    return round_doubles(sim.similarity_pairs(a, "vec_id", "bits", b=b, min_sim=0.55, metric="dice"))
+    a, b = e.where(F.col("label") % 2 == 0), e.where(F.col("label") % 2 == 1)
+    part = lambda name, x, y=None: sim.similarity_pairs(
+        x, "vec_id", "bits", b=y, min_sim=0.6, metric="dice").withColumn("part", F.lit(name))
+    return round_doubles(part("within_1", a).unionByName(part("within_2", b)).unionByName(part("between", a, b)))
 
 
-register("sim_cross_join", f"""SELECT a.vec_id AS i, b.vec_id AS j, round({_sql_dice('a.bits', 'b.bits')}, 6) AS sim
-  FROM {EMB_SQL} a JOIN {EMB_SQL} b ON a.label = 0 AND b.label = 1
-  WHERE len(a.bits) > 0 AND len(b.bits) > 0 AND {_sql_dice('a.bits', 'b.bits')} >= 0.55""")(q_sim_cross_join)
+register("sim_cross_join", f"""WITH e AS {EMB_SQL}
+SELECT CASE WHEN a.label % 2 <> b.label % 2 THEN 'between' WHEN a.label % 2 = 0 THEN 'within_1'
+    ELSE 'within_2' END AS part, a.vec_id AS i, b.vec_id AS j, round({_sql_dice('a.bits', 'b.bits')}, 6) AS sim
+FROM e a JOIN e b ON (a.label % 2 = b.label % 2 AND a.vec_id < b.vec_id) OR (a.label % 2 = 0 AND b.label % 2 = 1)
+WHERE len(a.bits) > 0 AND len(b.bits) > 0 AND {_sql_dice('a.bits', 'b.bits')} >= 0.6""")(q_sim_cross_join)
 
 
 def q_sim_search(spark, sf):
@@ -312,16 +316,26 @@ register("sim_search", f"""SELECT b.vec_id AS number, a.vec_id AS fp_reference,
 FROM {EMB_SQL} a, {EMB_SQL} b WHERE a.vec_id = 0 AND {_sql_tani('a.bits', 'b.bits')} >= 0.5""")(q_sim_search)
 
 
-def q_sim_summary(spark, sf):
+def q_sim_summary_above(spark, sf):
     e = emb_bits(spark, sf)
     pairs = sim.similarity_pairs(e, "vec_id", "bits", min_sim=0.5)
     return round_doubles(sim.similarity_summary(pairs, e))
 
 
-register("sim_summary", f"""WITH p AS (SELECT {_sql_tani('a.bits', 'b.bits')} AS s FROM {EMB_SQL} a JOIN {EMB_SQL} b
+register("sim_summary_above", f"""WITH p AS (SELECT {_sql_tani('a.bits', 'b.bits')} AS s FROM {EMB_SQL} a JOIN {EMB_SQL} b
    ON a.vec_id < b.vec_id WHERE len(a.bits) > 0 AND len(b.bits) > 0 AND {_sql_tani('a.bits', 'b.bits')} >= 0.5),
 n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM embeddings),
 a AS (SELECT coalesce(sum(s), 0) AS s1, coalesce(sum(s * s), 0) AS s2 FROM p)
 SELECT CAST(n AS BIGINT) AS n, round((2 * s1 + n) / (n * n), 6) AS mean,
   round(sqrt(greatest((2 * s2 + n) / (n * n) - ((2 * s1 + n) / (n * n)) * ((2 * s1 + n) / (n * n)), 0)), 6) AS std
-FROM a, n""")(q_sim_summary)
+FROM a, n""")(q_sim_summary_above)
+
+
+def q_sim_summary(spark, sf):
+    return round_doubles(sim.dice_summary(emb_bits(spark, sf), "bits"))
+
+
+register("sim_summary", f"""WITH p AS (SELECT CASE WHEN len(a.bits) + len(b.bits) = 0 THEN 0
+    ELSE {_sql_dice('a.bits', 'b.bits')} END AS s FROM {EMB_SQL} a CROSS JOIN {EMB_SQL} b)
+SELECT (SELECT count(*) FROM embeddings) AS n, round(avg(s), 6) AS mean, round(stddev_pop(s), 6) AS std
+FROM p""")(q_sim_summary)
