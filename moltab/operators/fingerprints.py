@@ -40,10 +40,15 @@ def tokenize(df: DataFrame, text: str, pattern: str = SMILES_PATTERN, out: str =
     return df.withColumn(out, tokens(text, pattern))
 
 
+def _run(tok: Column, i: Column, offsets) -> Column:
+    """Tokens at ``i + offset``, joined by a space (no intermediate array)."""
+    return F.concat_ws(" ", *[F.element_at(tok, i + d) for d in offsets])
+
+
 def _ngrams(tok: Column, n: int) -> Column:
     """All contiguous n-grams of a token array, joined by a space."""
     return F.when(F.size(tok) >= n, F.transform(F.sequence(F.lit(1), F.size(tok) - n + 1),
-                                                 lambda i: F.array_join(F.slice(tok, i, n), " "))) \
+                                                 lambda i: _run(tok, i, range(n)))) \
         .otherwise(F.array().cast("array<string>"))
 
 
@@ -52,7 +57,8 @@ def ngram_features(tok: Column, n_max: int) -> Column:
 
 
 def _bits(feats: Column, n_bits: int) -> Column:
-    return F.array_sort(F.array_distinct(F.transform(feats, lambda g: bucket_of(g, n_bits))))
+    # a feature that repeats is hashed once
+    return F.array_sort(F.array_distinct(F.transform(F.array_distinct(feats), lambda g: bucket_of(g, n_bits))))
 
 
 def _with_tokens(df: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
@@ -114,8 +120,7 @@ def path_fp(df: DataFrame, key: str, text: str, length: int = 4, n_bits: int = 1
     tok = _tok()
     paths = F.when(F.size(tok) >= length, F.transform(
         F.sequence(F.lit(1), F.size(tok) - length + 1),
-        lambda i: F.least(F.array_join(F.slice(tok, i, length), " "),
-                          F.array_join(F.reverse(F.slice(tok, i, length)), " "))
+        lambda i: F.least(_run(tok, i, range(length)), _run(tok, i, range(length - 1, -1, -1)))
     )).otherwise(F.array().cast("array<string>"))
     return _with_tokens(df, key, text, pattern).select(key, _bits(paths, n_bits).alias(out))
 
@@ -125,11 +130,12 @@ def pattern_fp(df: DataFrame, key: str, text: str, dictionary: Sequence[tuple] =
     """Dictionary fingerprint: on-bits ``k`` whose pattern occurs more than ``min_count`` times.
 
     The dictionary is a fixed literal list (like a key table), so it becomes one
-    projection with one ``regexp_count`` per key: no join, no shuffle.
+    projection with one pattern test per key: no join, no shuffle.
     """
     t = F.col(text)
-    flags = [F.when(F.regexp_count(t, F.lit(p)) > F.lit(int(mc)), F.lit(int(k)))
-             for k, p, mc, *_ in dictionary if p != "?"]
+    # one occurrence is enough where the count does not matter: stop at the first
+    hit = lambda p, mc: t.rlike(p) if int(mc) == 0 else F.regexp_count(t, F.lit(p)) > F.lit(int(mc))
+    flags = [F.when(hit(p, mc), F.lit(int(k))) for k, p, mc, *_ in dictionary if p != "?"]
     return df.select(key, F.filter(F.array(*flags), lambda x: x.isNotNull()).alias(out))
 
 
