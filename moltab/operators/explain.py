@@ -27,9 +27,9 @@ def row_bit_legend(fps: DataFrame, key: str, bits: str, importance: DataFrame,
                    bit: str = "bit", value: str = "importance") -> DataFrame:
     """Per row: its on-bits that carry importance, by importance desc (then bit),
     as the legend text ``"bit (0.1234), …"``.  The importance table has at most
-    one row per bit (bounded by the fingerprint width) and is broadcast."""
+    one row per bit; Spark broadcasts it if its size allows."""
     ex = fps.select(key, F.explode(bits).alias(bit))
-    j = ex.join(F.broadcast(importance.select(bit, value)), bit)
+    j = ex.join(importance.select(bit, value), bit)
     g = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.col(value)).alias("_neg"), F.col(bit),
                                                                F.col(value)))).alias("_l"))
     text = F.transform("_l", lambda s: F.format_string("%d (%.4f)", s[bit], s[value]))

@@ -236,7 +236,6 @@ class BayesRidgeSpec:
     tol: float = 1e-6
 
     def fit(self, df: DataFrame, weight_col: str | None = None) -> BayesRidgeModel:
-        from pyspark.ml.stat import Summarizer  # noqa: F401
         p = len(df.select(FEATURES).first()[0])
         x = vector_to_array(FEATURES)
         y = F.col(LABEL).cast("double")

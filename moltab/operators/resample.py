@@ -16,6 +16,26 @@ from moltab.operators.neighbors import knn
 from moltab.operators.ordered import row_number
 
 
+#: Synthetic rows made by one task step.
+DRAWS_PER_BLOCK = 100_000
+
+
+def _minority(df: DataFrame, label: str) -> DataFrame:
+    """Rows of the classes that are smaller than the largest one."""
+    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
+    nmax = counts.agg(F.max("_nc").alias("_nmax"))
+    return df.join(counts.crossJoin(F.broadcast(nmax)).where("_nc < _nmax").select(label), label, "left_semi")
+
+
+def _draw_numbers(small: DataFrame, *cols: str) -> DataFrame:
+    """``_m`` = 0 .. ``_need`` - 1 per class, in blocks that are spread over the tasks."""
+    first = small.select(*cols, "_need", F.explode(F.sequence(
+        F.lit(0).cast("long"), F.col("_need") - 1, F.lit(DRAWS_PER_BLOCK).cast("long"))).alias("_lo"))
+    spread = first.repartition(*cols[:1], "_lo")
+    return spread.select(*cols, F.explode(F.sequence(
+        "_lo", F.least(F.col("_lo") + DRAWS_PER_BLOCK, F.col("_need")) - 1)).alias("_m"))
+
+
 def smote(df: DataFrame, key: str, vec: str, label: str, k: int = 5, seed: int = 42) -> DataFrame:
     """Input rows plus synthetic rows; ``is_synthetic`` flags the new ones, whose key is
     ``'syn-<class>-<m>'`` (the key column is cast to string)."""
@@ -27,17 +47,18 @@ def smote(df: DataFrame, key: str, vec: str, label: str, k: int = 5, seed: int =
         raise ValueError("SMOTE needs at least 2 rows in every minority class")
     kk = F.least(F.lit(k), F.col("_nc") - 1)
     # neighbours inside each class
-    nn = knn(df, df, key, vec, k, by=[label], exclude_self=True)
-    pos = row_number(df.withColumn("_h", hash32(F.col(key), seed, "smote")), "_h", tiebreak=[key],
+    minor = _minority(df, label)
+    nn = knn(minor, minor, key, vec, k, by=[label], exclude_self=True)
+    pos = row_number(minor.withColumn("_h", hash32(F.col(key), seed, "smote")), "_h", tiebreak=[key],
                      by=[label], out="_pos")
     # (class, m) for m < need: one generated row per synthetic sample
-    gen = small.select(label, "_nc", kk.alias("_k"), F.explode(F.sequence(F.lit(0), F.col("_need") - 1)).alias("_m"))
+    gen = _draw_numbers(small.withColumn("_k", kk), label, "_nc", "_k")
     gen = gen.withColumn("_pos", (F.col("_m") % F.col("_nc")) + 1) \
         .withColumn("_rank", (F.floor(u01(F.col(label), F.col("_m"), seed, "nn") * F.col("_k")) + 1).cast("int")) \
         .withColumn("_gap", u01(F.col(label), F.col("_m"), seed, "gap"))
     base = gen.join(pos.select(label, "_pos", F.col(key).alias("q"), F.col(vec).alias("_x")), [label, "_pos"])
     nb = base.join(nn.select(label, "q", F.col("rank").alias("_rank"), "p"), [label, "q", "_rank"])
-    nb = nb.join(df.select(label, F.col(key).alias("p"), F.col(vec).alias("_xn")), [label, "p"])
+    nb = nb.join(minor.select(label, F.col(key).alias("p"), F.col(vec).alias("_xn")), [label, "p"])
     new = nb.select(F.concat_ws("-", F.lit("syn"), F.col(label).cast("string"), F.col("_m").cast("string")).alias(key),
                     F.zip_with("_x", "_xn", lambda a, b: a + F.col("_gap") * (b - a)).alias(vec),
                     label, F.lit(True).alias("is_synthetic"))
@@ -69,8 +90,9 @@ def smotenc(df: DataFrame, key: str, numeric: list[str], categorical: list[str],
     base = coded.select(key, label, *numeric, *categorical, F.array(*vec_parts).alias("_v"))
     syn = smote(base.select(key, "_v", label), key, "_v", label, k=k, seed=seed).where("is_synthetic")
     # categorical vote among the neighbours of each synthetic row's base row
-    nn = knn(base, base, key, "_v", k, by=[label], exclude_self=True)
-    pos = row_number(base.withColumn("_h", hash32(F.col(key), seed, "smote")), "_h", tiebreak=[key],
+    minor = _minority(base, label)
+    nn = knn(minor, minor, key, "_v", k, by=[label], exclude_self=True)
+    pos = row_number(minor.withColumn("_h", hash32(F.col(key), seed, "smote")), "_h", tiebreak=[key],
                      by=[label], out="_pos")
     syn = syn.withColumn("_m", F.element_at(F.split(F.col(key), "-"), -1).cast("long"))
     counts = base.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
@@ -117,8 +139,9 @@ def smoten(df: DataFrame, key: str, categorical: list[str], label: str, k: int =
             emb_cols += [F.col(f"_p_{c}_{i}") for i in range(len(classes))]
     base = coded.select(key, label, *categorical, F.array(*emb_cols).alias("_v"))
     syn = smote(base.select(key, "_v", label), key, "_v", label, k=k, seed=seed).where("is_synthetic")
-    nn = knn(base, base, key, "_v", k, by=[label], exclude_self=True)
-    pos = row_number(base.withColumn("_h", hash32(F.col(key), seed, "smote")), "_h", tiebreak=[key],
+    minor = _minority(base, label)
+    nn = knn(minor, minor, key, "_v", k, by=[label], exclude_self=True)
+    pos = row_number(minor.withColumn("_h", hash32(F.col(key), seed, "smote")), "_h", tiebreak=[key],
                      by=[label], out="_pos")
     syn = syn.withColumn("_m", F.element_at(F.split(F.col(key), "-"), -1).cast("long"))
     counts = base.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))

@@ -60,15 +60,15 @@ def split_temporal(df: DataFrame, col: str, test_value=None, out: str = "is_test
 def split_by_ids(df: DataFrame, key: str, ids: Iterable | DataFrame) -> tuple[DataFrame, DataFrame]:
     """(train, test): test = rows whose key is in ``ids`` (semi join), train = the rest (anti join).
 
-    A literal id list is broadcast (its size is what the caller passed); an id
-    DataFrame is joined normally and AQE decides.
+    Ids come as a DataFrame or, where they are few, as a list; the join strategy is
+    Spark's choice by their size.
     """
     if isinstance(ids, DataFrame):
         idf = ids.select(F.col(ids.columns[0]).alias(key)).distinct()
     else:
         spark = df.sparkSession
         vals = list(ids)
-        idf = F.broadcast(spark.createDataFrame([(v,) for v in vals], f"{key} {df.schema[key].dataType.simpleString()}"))
+        idf = spark.createDataFrame([(v,) for v in vals], f"{key} {df.schema[key].dataType.simpleString()}")
     return df.join(idf, key, "left_anti"), df.join(idf, key, "left_semi")
 
 
