@@ -19,8 +19,9 @@ joined.  A table bucket is never expanded into all pairs:
    twice the limit, and only to those at least d(x, leader) - limit from it: these
    pairs are made per leader;
 4. members that are both not linked to the leader are paired inside the bucket if
-   their components differ; buckets with more than ``crowd`` of them are first split
-   by a further collection key, ``split_depth`` times at most.
+   their components differ; buckets with more than ``crowd`` of them outside their
+   largest component are first split by a further collection key, ``split_depth``
+   times at most.
 
 Every link is confirmed on the full sets (64-bit shingle hashes).
 
@@ -197,12 +198,13 @@ def _links(docs: DataFrame, classes: DataFrame, near: Near, key: str, text: str)
     shared = subs.groupBy("i", "u").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("i", "u")
     held = subs.join(shared, ["i", "u"]).groupBy("c", "n") \
         .agg(F.array_sort(F.collect_list(F.struct("i", "u"))).alias("held"))   # at most `groups`
-    # tensor: every two of them, in order
+    # tensor: every two of them, in order; ``path`` has a bit for each collection used
     first = held.select("c", "n", "held", F.posexplode("held").alias("p", "x"))
-    both = first.select("c", "n", "held", "x", F.explode(F.slice(
+    both = first.select("c", "n", "x", F.explode(F.slice(
         "held", F.col("p") + 2, F.size("held"))).alias("y"))
+    bit = lambda i: F.expr(f"shiftleft(1L, {i})")
     keys = both.select(F.xxhash64("x.i", "x.u", "y.i", "y.u").alias("k"), F.col("y.i").alias("last"),
-                       "c", "n", "held")
+                       bit("x.i").bitwiseOR(bit("y.i")).alias("path"), "c", "n")
     lead = keys.groupBy("k").agg(F.min("c").alias("a"), F.count(F.lit(1)).alias("m")) \
         .where("m > 1").select("k", "a")
     members = staged(keys.join(lead, "k"), "near-members")
@@ -241,11 +243,13 @@ def _links(docs: DataFrame, classes: DataFrame, near: Near, key: str, text: str)
 
     # 4. members that are not linked to their leader, against each other
     inside = None
-    level = rest.select("k", "last", "c", "n", "held", "comp", "d", "a")
+    level = rest.select("k", "last", "path", "c", "n", "comp", "d") \
+        .join(classes.select("c", "subs"), "c")
     for depth in range(near.split_depth + 1):
-        crowd = level.groupBy("k").agg(F.count(F.lit(1)).alias("m"),
-                                       F.min("comp").alias("lo"), F.max("comp").alias("hi")) \
-            .where("lo <> hi").select("k", (F.col("m") > near.crowd).alias("crowded"))
+        by_comp = level.groupBy("k", "comp").agg(F.count(F.lit(1)).alias("m"))
+        crowd = by_comp.groupBy("k").agg(F.sum("m").alias("rows"), F.max("m").alias("most"),
+                                         F.max_by("comp", F.struct("m", "comp")).alias("major")) \
+            .where("rows > most").select("k", "major", (F.col("rows") - F.col("most") > near.crowd).alias("crowded"))
         level = staged(level.join(crowd, "k"), "near-level")
         whole = F.lit(True) if depth == near.split_depth else ~F.col("crowded")
         small = _inner_pairs(level.where(whole), near)
@@ -253,24 +257,32 @@ def _links(docs: DataFrame, classes: DataFrame, near: Near, key: str, text: str)
         big = level.where(~whole)
         if depth == near.split_depth or big.limit(1).count() == 0:
             break
-        more = F.filter("held", lambda h: h["i"] > F.col("last"))
-        level = big.withColumn("z", F.explode(more)).select(
-            F.xxhash64("k", "z.i", "z.u").alias("k"), F.col("z.i").alias("last"),
-            "c", "n", "held", "comp", "d", "a")
+        later = F.posexplode(F.slice("subs", F.col("last") + 2, F.size("subs")))
+        level = big.select("*", later.alias("p", "u")).withColumn("i", F.col("last") + 1 + F.col("p")).select(
+            F.xxhash64("k", "i", "u").alias("k"), F.col("i").alias("last"),
+            F.col("path").bitwiseOR(bit("i")).alias("path"), "c", "n", "subs", "comp", "d")
     late = staged(_verified(cross.unionByName(inside).distinct(), sets, near).where("linked"), "near-late")
     return links.unionByName(late.select("a", "b"))
 
 
 def _inner_pairs(rows: DataFrame, near: Near) -> DataFrame:
-    x = rows.select("k", F.col("c").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"),
-                    F.col("d").alias("dx"))
+    """Pairs of a bucket's rows whose components differ, each pair only in the bucket of
+    the first collections it has in common (every other bucket would repeat it).  One
+    side of a pair is outside the bucket's largest component, so rows of that
+    component never meet each other."""
+    x = rows.where("comp <> major").select("k", "last", "path", "major", F.col("c").alias("x"), F.col("n").alias("nx"),
+                    F.col("comp").alias("cx"), F.col("d").alias("dx"), F.col("subs").alias("sx"))
     y = rows.select("k", F.col("c").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"),
-                    F.col("d").alias("dy"))
+                    F.col("d").alias("dy"), F.col("subs").alias("sy"))
     apart = F.abs(F.col("dx") - F.col("dy")) > near.limit + 1e-9   # same leader: both d are to it
+    earlier = F.lit(False)
+    for i in range(near.groups):
+        earlier = earlier | ((F.lit(i) < F.col("last")) & (F.col("path").bitwiseAND(1 << i) == 0)
+                             & (F.col("sx")[i] == F.col("sy")[i]))
     return x.join(y, "k").where(
-        (F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy"))
-        & _near_size(F.col("nx"), F.col("ny"), 1 - near.limit) & ~F.coalesce(apart, F.lit(False))) \
-        .select(F.col("x").alias("a"), F.col("y").alias("b"))
+        ((F.col("x") < F.col("y")) | (F.col("cy") == F.col("major"))) & (F.col("cx") != F.col("cy"))
+        & _near_size(F.col("nx"), F.col("ny"), 1 - near.limit) & ~F.coalesce(apart, F.lit(False))
+        & ~earlier).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 #: The contract's measure: three words, similarity 0.85.
