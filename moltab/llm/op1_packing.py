@@ -23,6 +23,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,8 @@ from pyspark.sql import functions as F
 from moltab.llm.common import importable, table
 
 END_ID = 2
-#: Words remembered per worker (ids of a word, as bytes).
-MAX_WORDS = 500_000
+#: Words remembered per worker and generation; words seen again move to the new one.
+MAX_WORDS = 300_000
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long, loss_tokens long, sequence_tokens long")
 #: Texts tokenised at a time, in characters.
@@ -161,8 +162,10 @@ class Packer:
 
 class WordIds(dict):
     """Ids of texts as little-endian 32-bit bytes.  White space never joins tokens
-    of this tokenizer family, so a text's ids are those of its words in turn; the
-    words a slice of texts has not seen yet are encoded in one library call."""
+    of this tokenizer family, so a text's ids are those of its words in turn.  A word of
+    letters is one pre-token: the library's model is asked directly, once for all
+    spellings of its case and for what ends in a mark; other words that a slice of
+    texts has not shown before are encoded in one library call."""
 
     def __init__(self, path: str):
         super().__init__()
@@ -172,27 +175,72 @@ class WordIds(dict):
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
+        self.model, self.normal = self.lib.model, self.lib.normalizer
+        self.ends = {m: self._ids(self.lib.encode(m, add_special_tokens=False).ids) for m in ".,;:!?"}
+        self.old: dict[str, bytes] = {}
+        self.roots: dict[str, bytes] = {}
+        self.old_roots: dict[str, bytes] = {}
+
+    @staticmethod
+    def _ids(ids: list[int]) -> bytes:
+        return pack(f"<{len(ids)}I", *ids)
+
+    def _letters(self, word: str) -> bytes | None:
+        """Ids of a word of letters; None if its normal form is not one."""
+        low = word.lower() if word.isascii() else self.normal.normalize_str(word)
+        ids = self.roots.get(low)
+        if ids is None and low.isalpha():
+            ids = self.old_roots.get(low)
+            if ids is None:
+                form = low if low.isascii() else low.encode().decode("latin-1").translate(_BYTE_LETTERS)
+                ids = self._ids([t.id for t in self.model.tokenize(form)])
+            self.roots[low] = ids
+        return ids
 
     def learn(self, words: set[str]) -> None:
         new = words.difference(self)
         if len(self) + len(new) > MAX_WORDS:
+            self.old = dict(self)
             self.clear()
             new = words
-        todo = list(new)
+        if len(self.roots) > MAX_WORDS:
+            self.old_roots, self.roots = self.roots, {}
+        todo, old = [], self.old
+        for w in new:
+            if w in old:
+                ids = old[w]
+            elif w.isalpha():
+                ids = self._letters(w)
+            elif w and w[-1] in self.ends and w[:-1].isalpha():
+                ids = self._letters(w[:-1])
+                ids = ids and ids + self.ends[w[-1]]
+            else:
+                ids = None
+            if ids is None:
+                todo.append(w)
+            else:
+                self[w] = ids
         for at in range(0, len(todo), 20_000):
             part = todo[at:at + 20_000]
             for w, e in zip(part, self.lib.encode_batch(part, add_special_tokens=False)):
-                self[w] = np.array(e.ids, dtype="<u4").tobytes()
+                self[w] = self._ids(e.ids)
 
     def texts(self, texts: list[str]) -> Iterator[bytes]:
-        split = [t.translate(_BREAKS).split(" ") for t in texts]
+        split = []
+        for t in texts:
+            for c in _BREAKS:
+                t = t.replace(c, " ")
+            split.append(t.split(" "))
         self.learn(set().union(*split))
         for words in split:
             yield b"".join(map(self.__getitem__, words))
 
 
+#: The printable letter that byte-level vocabularies use for each byte.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 #: ASCII white space, cut like a blank.
-_BREAKS = {c: " " for c in (9, 10, 11, 12, 13)}
+_BREAKS = "\t\n\v\f\r"
 _WORDS: dict[str, WordIds] = {}
 
 
