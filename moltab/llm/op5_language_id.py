@@ -40,7 +40,7 @@ WORD_MARK = "▁"
 UNKNOWN, FLOOR = 1e-8, 1e-9
 #: Words longer than this are scored by the scalar recursion.
 SHORT = 40
-MAX_WORDS = 300_000
+MAX_WORDS = 500_000
 SLICE_CHARS = 1 << 21
 
 
@@ -296,6 +296,7 @@ class WordScores(dict):
 
     def clear(self) -> None:
         super().clear()
+        self.words: dict[str, int] = {}      # row of a word by itself
         self.table = np.zeros((1024, len(self.model.langs) + 1))
         self.used = 0
 
@@ -304,20 +305,22 @@ class WordScores(dict):
         if len(self) + len(new) > MAX_WORDS:
             self.clear()
             new = tokens
-        parts: dict[str, int] = {}
-        split = {t: words_of(t) for t in new}
-        for ws in split.values():
-            for w in ws:
-                parts.setdefault(w, len(parts))
-        score = self.lattice.log_likelihood(list(parts), self.model.probs) if parts else None
-        while self.used + len(new) > len(self.table):
+        split = {t: [WORD_MARK + t] if t.isalpha() else words_of(t) for t in new}
+        fresh = list({w for ws in split.values() for w in ws}.difference(self.words))
+        more = [t for t, ws in split.items() if len(ws) != 1]
+        while self.used + len(fresh) + len(more) > len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        if fresh:
+            to = self.used + len(fresh)
+            self.table[self.used:to, :-1] = self.lattice.log_likelihood(fresh, self.model.probs)
+            self.table[self.used:to, -1] = 1
+            self.words.update(zip(fresh, range(self.used, to)))
+            self.used = to
         for t, ws in split.items():
-            if ws:
-                self.table[self.used, :-1] = score[[parts[w] for w in ws]].sum(axis=0)
-                self.table[self.used, -1] = len(ws)
-            else:
-                self.table[self.used] = 0.0
+            if len(ws) == 1:     # most tokens: a word and its marks share a row
+                self[t] = self.words[ws[0]]
+                continue
+            self.table[self.used] = self.table[[self.words[w] for w in ws]].sum(axis=0) if ws else 0.0
             self[t] = self.used
             self.used += 1
 
