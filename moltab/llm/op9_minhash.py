@@ -19,9 +19,10 @@ joined.  A table bucket is never expanded into all pairs:
    twice the limit, and only to those at least d(x, leader) - limit from it: these
    pairs are made per leader;
 4. members that are both not linked to the leader are paired inside the bucket if
-   their components differ; buckets with more than ``crowd`` of them outside their
-   largest component are first split by a further collection key, ``split_depth``
-   times at most.
+   their components differ.  Buckets with more than ``crowd`` of them outside their
+   largest component are not paired row by row: their classes are joined by an exact
+   prefix filter on the full sets (two sets of the wanted similarity share an element
+   among the rarest of each), which finds every link the bucket's pairs would give.
 
 Every link is confirmed on the full sets (64-bit shingle hashes).
 
@@ -54,7 +55,6 @@ class Near:
     groups: int = 20
     width: int = 3
     crowd: int = 64
-    split_depth: int = 2
 
     @property
     def limit(self) -> float:
@@ -242,25 +242,16 @@ def _links(docs: DataFrame, classes: DataFrame, near: Near, key: str, text: str)
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
     # 4. members that are not linked to their leader, against each other
-    inside = None
-    level = rest.select("k", "last", "path", "c", "n", "comp", "d") \
-        .join(classes.select("c", "subs"), "c")
-    for depth in range(near.split_depth + 1):
-        by_comp = level.groupBy("k", "comp").agg(F.count(F.lit(1)).alias("m"))
-        crowd = by_comp.groupBy("k").agg(F.sum("m").alias("rows"), F.max("m").alias("most"),
-                                         F.max_by("comp", F.struct("m", "comp")).alias("major")) \
-            .where("rows > most").select("k", "major", (F.col("rows") - F.col("most") > near.crowd).alias("crowded"))
-        level = staged(level.join(crowd, "k"), "near-level")
-        whole = F.lit(True) if depth == near.split_depth else ~F.col("crowded")
-        small = _inner_pairs(level.where(whole), near)
-        inside = small if inside is None else inside.unionByName(small)
-        big = level.where(~whole)
-        if depth == near.split_depth or big.limit(1).count() == 0:
-            break
-        later = F.posexplode(F.slice("subs", F.col("last") + 2, F.size("subs")))
-        level = big.select("*", later.alias("p", "u")).withColumn("i", F.col("last") + 1 + F.col("p")).select(
-            F.xxhash64("k", "i", "u").alias("k"), F.col("i").alias("last"),
-            F.col("path").bitwiseOR(bit("i")).alias("path"), "c", "n", "subs", "comp", "d")
+    level = rest.select("k", "last", "path", "c", "n", "comp", "d")
+    by_comp = level.groupBy("k", "comp").agg(F.count(F.lit(1)).alias("m"))
+    crowd = by_comp.groupBy("k").agg(F.sum("m").alias("rows"), F.max("m").alias("most"),
+                                     F.max_by("comp", F.struct("m", "comp")).alias("major")) \
+        .where("rows > most").select("k", "major", (F.col("rows") - F.col("most") > near.crowd).alias("crowded"))
+    level = staged(level.join(crowd, "k"), "near-level")
+    inside = _inner_pairs(level.where("not crowded").join(classes.select("c", "subs"), "c"), near)
+    crowded = level.where("crowded").select("c", "n", "comp").distinct()
+    if crowded.limit(1).count():
+        inside = inside.unionByName(_prefix_pairs(crowded, sets, near))
     late = staged(_verified(cross.unionByName(inside).distinct(), sets, near).where("linked"), "near-late")
     return links.unionByName(late.select("a", "b"))
 
@@ -285,6 +276,82 @@ def _inner_pairs(rows: DataFrame, near: Near) -> DataFrame:
         & ~earlier).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
+#: Slots of one of the two rows of the frequency table of ``_prefix_pairs``.
+SLOTS = 1 << 19
+
+
+def _slots(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    x = _mix(s)
+    return (x & np.uint64(SLOTS - 1)).view(np.int64), (x >> np.uint64(45)).view(np.int64)
+
+
+def _prefix_pairs(rows: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
+    """All pairs of ``rows`` (``c, n, comp``) whose components differ and whose sets can
+    have the wanted similarity.
+
+    Similarity t needs t * n common elements, so under any one order of the elements two
+    sets share one among the first ``n - ceil(t * n) + 1`` of each.  The order is that of
+    a table of counts of fixed size (elements of few sets come first; what shares a slot
+    only costs time), then of the element.  A pair's common elements in both prefixes and
+    the lengths left behind the last of them bound its overlap from above.
+    """
+    spark = rows.sparkSession
+    mine = staged(sets.join(rows.hint("shuffle_hash"), "c"), "near-crowd")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(2 * SLOTS, dtype=np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                i, j = _slots(np.frombuffer(x.as_buffer(), dtype=np.uint64))
+                np.add.at(total, i, 1)
+                np.add.at(total, j + SLOTS, 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["i", "n"])
+
+    # at most 2 * SLOTS rows reach the driver
+    got = mine.select("s").mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+    table_ = np.zeros(2 * SLOTS, dtype=np.int64)
+    table_[got["i"].to_numpy()] = got["n"].to_numpy()
+    sent = spark.sparkContext.broadcast(table_)
+
+    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = sent.value
+        for batch in batches:
+            for c, comp, x in zip(*batch.columns):
+                s = np.frombuffer(x.as_buffer(), dtype=np.uint64)
+                i, j = _slots(s)
+                f = np.minimum(often[i], often[j + SLOTS])
+                first = np.lexsort((s, f))[:len(s) + (-near.num * len(s)) // near.den + 1]
+                at = np.flatnonzero(f[first] > 1)   # what only one set holds joins nothing
+                h = s[first[at]].view(np.int64)
+                one = lambda v: pa.array(np.full(len(at), v.as_py(), dtype=np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [one(c), pa.array(np.full(len(at), len(s))), one(comp), pa.array(h), pa.array(at)],
+                    names=["c", "n", "comp", "h", "p"])
+
+    heads = staged(mine.select("c", "comp", "s").mapInArrow(
+        prefix, "c long, n long, comp long, h long, p long"), "near-heads")
+    by_comp = heads.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("m"))
+    mixed = by_comp.groupBy("h").agg(F.sum("m").alias("rows"), F.max("m").alias("most"),
+                                     F.max_by("comp", F.struct("m", "comp")).alias("major")) \
+        .where("rows > most").select("h", "major")
+    heads = heads.join(mixed, "h")
+    side = lambda i: [F.col(n).alias(f"{n}{i}") for n in ("c", "n", "comp", "p")]
+    x = heads.where("comp <> major").select("h", "major", *side(1))
+    met = x.join(heads.select("h", *side(2)), "h").where(
+        ((F.col("c1") < F.col("c2")) | (F.col("comp2") == F.col("major"))) & (F.col("comp1") != F.col("comp2"))
+        & _near_size(F.col("n1"), F.col("n2"), 1 - near.limit))
+    low = F.col("c1") < F.col("c2")
+    of = lambda n, a, b: F.when(low, F.col(n + a)).otherwise(F.col(n + b))
+    pairs = met.select(of("c", "1", "2").alias("a"), of("c", "2", "1").alias("b"),
+                       of("n", "1", "2").alias("na"), of("n", "2", "1").alias("nb"),
+                       of("p", "1", "2").alias("pa"), of("p", "2", "1").alias("pb")) \
+        .groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("m"), F.max("pa").alias("pa"),
+                                           F.max("pb").alias("pb"))
+    most = F.col("m") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
+    return pairs.where(most * (near.num + near.den) >= near.num * (F.col("na") + F.col("nb"))).select("a", "b")
+
+
 #: The contract's measure: three words, similarity 0.85.
 CONTRACT = Near(words=3, num=85, den=100, groups=16)
 

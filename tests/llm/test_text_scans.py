@@ -218,3 +218,23 @@ def test_near_duplicates_equal_brute_force(spark, near):
             assert (r.n_shingles, r.component_id) == want[r.doc_id]
             assert r.kept == (r.doc_id == r.component_id)
     assert mh.near_duplicates(frame(spark, docs).limit(0), near).count() == 0
+
+
+def test_crowded_buckets_lose_no_link(spark):
+    """Pairs at the limit are found however many others share their bucket."""
+    rnd = random.Random(9)
+    near = mh.Near(words=1, num=50, den=100, groups=12, width=1, crowd=4)
+    docs = []
+    passage = [f"p{i}" for i in range(38)]
+    for g in range(120):     # a hot passage, and pairs just at or just below the limit
+        own, both = [f"x{g}y{i}" for i in range(22)], 1 + rnd.randint(0, 1)
+        docs.append((2 * g, " ".join(passage + own)))
+        docs.append((2 * g + 1, " ".join(passage + own[:both] + [f"z{g}y{i}" for i in range(22 - both)])))
+    want = brute_components(docs, near)
+    assert len({c for _, c in want.values()}) < len(docs)
+    loose = {r.doc_id: r.component_id for r in mh.near_duplicates(
+        frame(spark, docs), mh.Near(words=1, num=50, den=100, groups=12, width=1, crowd=10**9)).collect()}
+    crowded = {r.doc_id: r.component_id for r in mh.near_duplicates(frame(spark, docs), near).collect()}
+    assert crowded == loose
+    # 0.3 % of the pairs at the limit agree in fewer than two of 12 collections
+    assert sum(c != want[d][1] for d, c in crowded.items()) <= 2
