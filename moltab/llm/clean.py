@@ -25,11 +25,15 @@ def keep_identified(docs: DataFrame, vocab: str, least: float = 0.5) -> DataFram
 
 
 def keep_representatives(docs: DataFrame, near: Near = Near()) -> DataFrame:
-    """One document of each near-duplicate group: the smallest id.  Rows without an id
-    stay; of several rows of one id the least one stays."""
-    ids = near_duplicates(docs.select("doc_id", "text"), near) \
-        .where("kept and doc_id is not null").select("doc_id").distinct()
-    one = docs.join(ids, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("k")) \
+    """One document of each near-duplicate group: the smallest id.  Different texts under
+    one id are documents of their own; rows without an id stay."""
+    own = tmp("own")
+    rows = docs.where("doc_id is not null").withColumn(own, F.xxhash64("doc_id", "text"))
+    of = near_duplicates(rows.select(own, "text"), near, key=own) \
+        .select(F.col("doc_id").alias(own), "component_id").distinct()
+    first = rows.select(own, "doc_id").distinct().join(of, own).groupBy("component_id") \
+        .agg(F.min_by(own, F.struct("doc_id", own)).alias(own)).select(own)
+    one = rows.join(first, own, "left_semi").groupBy(F.col(own).alias("k"), F.col("doc_id").alias("i")) \
         .agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("r")).select("r.*")
     return one.unionByName(docs.where("doc_id is null"))
 

@@ -8,7 +8,8 @@ fewer than two of its collections agree: at the default (16 collections of 3) si
 pairs in a million at s = 0.85, none to speak of above.
 
 Documents with equal sets are one class, represented by the smallest id, before any
-table is built.  Collection keys held by one class only are dropped before keys are
+table is built.  A class is named by that id ``c`` and by ``v``, the first eight bytes of
+its set's hash, which tells the versions of one id apart.  Collection keys held by one class only are dropped before keys are
 joined.  A table bucket is never expanded into all pairs:
 
 1. every member is compared with the bucket's leader (its smallest id); classes
@@ -28,7 +29,8 @@ Every link is confirmed on the full sets (64-bit shingle hashes).
 
 Null and wordless texts have an empty set, link with nothing and are kept.  A null
 id has a null component and is kept.  Rows that share an id count as versions of one
-document.  An empty table gives an empty result; other columns are not read.
+document: what is near any version is linked to the id, and all versions that have words
+share a component.  An empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -86,6 +88,14 @@ def shingle_set(text: bytes | None, words: int) -> np.ndarray:
     return np.unique(s)
 
 
+def _digest(s: np.ndarray) -> bytes:
+    return blake2b(s.tobytes(), digest_size=16).digest()
+
+
+def _version(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "big", signed=True)
+
+
 def _hashers(near: Near) -> tuple[np.ndarray, np.ndarray]:
     k = np.arange(1, near.groups * near.width + 1, dtype=np.uint64)
     return _mix(k * _MULT) | np.uint64(1), _mix(k + np.uint64(1 << 40))
@@ -103,7 +113,7 @@ def collection_keys(s: np.ndarray, near: Near, a: np.ndarray, b: np.ndarray) ->
 
 
 def _fingerprints(docs: DataFrame, near: Near, key: str, text: str) -> DataFrame:
-    """``doc_id, n, set_hash, subs`` per row."""
+    """``doc_id, n, set_hash, v, subs`` per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _hashers(near)
@@ -112,39 +122,44 @@ def _fingerprints(docs: DataFrame, near: Near, key: str, text: str) -> DataFrame
             for t in batch.column(1):
                 s = shingle_set(t.as_py(), near.words)
                 n.append(len(s))
-                digest.append(blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                digest.append(_digest(s) if len(s) else None)
                 subs.append(collection_keys(s, near, a, b) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()),
-                 pa.array(subs, pa.list_(pa.int64()))], names=["doc_id", "n", "set_hash", "subs"])
+                 pa.array([d and _version(d) for d in digest], pa.int64()),
+                 pa.array(subs, pa.list_(pa.int64()))], names=["doc_id", "n", "set_hash", "v", "subs"])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t"))
-    return rows.mapInArrow(run, "doc_id long, n long, set_hash binary, subs array<long>")
+    return rows.mapInArrow(run, "doc_id long, n long, set_hash binary, v long, subs array<long>")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, near: Near, key: str, text: str) -> DataFrame:
-    """``c, s``: the full set of every id of ``ids`` (column ``c``)."""
+    """``c, v, s``: the full set of every version of the ids of ``ids`` (column ``c``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):   # sets leave in small batches
                 part = batch.slice(at, 256)
+                found = [(c, _version(_digest(s)), s.tobytes()) for c, t in zip(part.column(0), part.column(1))
+                         if len(s := shingle_set(t.as_py(), near.words))]
+                found = list({(f[0].as_py(), f[1]): f for f in found}.values())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([shingle_set(t.as_py(), near.words).tobytes()
-                                               for t in part.column(1)], pa.binary())],
-                    names=["c", "s"])
+                    [pa.array([f[0].as_py() for f in found], pa.int64()),
+                     pa.array([f[1] for f in found], pa.int64()),
+                     pa.array([f[2] for f in found], pa.binary())], names=["c", "v", "s"])
 
     rows = docs.select(F.col(key).cast("long").alias("c"), F.col(text).cast("binary").alias("t"))
-    return rows.join(ids.hint("shuffle_hash"), "c", "left_semi").mapInArrow(run, "c long, s binary")
+    known = rows.join(ids.hint("shuffle_hash"), "c", "left_semi")
+    return known.mapInArrow(run, "c long, v long, s binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
-    """``a, b, d, linked`` for distinct pairs: Jaccard distance of the full sets."""
+    """``a, va, b, vb, d, linked`` for distinct pairs: Jaccard distance of the full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             d, linked = [], []
-            for x, y in zip(batch.column(2), batch.column(3)):
+            for x, y in zip(batch.column(4), batch.column(5)):
                 x = np.frombuffer(x.as_buffer(), dtype=np.uint64)
                 y = np.frombuffer(y.as_buffer(), dtype=np.uint64)
                 if len(x) > len(y):
@@ -155,13 +170,24 @@ def _verified(pairs: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
                 d.append(1.0 - both / union)
                 linked.append(near.den * both >= near.num * union)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(d, pa.float64()), pa.array(linked, pa.bool_())],
-                names=["a", "b", "d", "linked"])
+                [*batch.columns[:4], pa.array(d, pa.float64()), pa.array(linked, pa.bool_())],
+                names=["a", "va", "b", "vb", "d", "linked"])
+
+    x = sets.select(F.col("c").alias("a"), F.col("v").alias("va"), F.col("s").alias("x"))
+    y = sets.select(F.col("c").alias("b"), F.col("v").alias("vb"), F.col("s").alias("y"))
+    return pairs.join(x, ["a", "va"]).join(y, ["b", "vb"]).select("a", "va", "b", "vb", "x", "y") \
+        .mapInArrow(run, "a long, va long, b long, vb long, d double, linked boolean")
+
 
-    x = sets.select(F.col("c").alias("a"), F.col("s").alias("x"))
-    y = sets.select(F.col("c").alias("b"), F.col("s").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y") \
-        .mapInArrow(run, "a long, b long, d double, linked boolean")
+def _pair(**columns: tuple[str, str]) -> list[Column]:
+    """Columns of both sides of a pair, the side of the smaller id first; ``ab`` names
+    the ids, the others are named ``<name>a, <name>b``."""
+    x, y = columns.pop("ab")
+    low = F.col(x) < F.col(y)
+    first = lambda p, q: F.when(low, F.col(p)).otherwise(F.col(q))
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b"),
+            *[c for n, (p, q) in columns.items()
+              for c in (first(p, q).alias(f"{n}a"), first(q, p).alias(f"{n}b"))]]
 
 
 def _near_size(n: Column, m: Column, share: float) -> Column:
@@ -176,11 +202,17 @@ def near_duplicates(docs: DataFrame, near: Near = Near(), key: str = "doc_id",
     rows = staged(_fingerprints(docs, near, key, text), "near-rows")
     one = rows.where("set_hash is not null").groupBy("set_hash") \
         .agg(F.min("doc_id").alias("c")).where("c is not null")
-    full = rows.where("doc_id is not null").select(F.col("set_hash").alias("h"), "doc_id", "n", "subs")
+    full = rows.where("doc_id is not null").select(F.col("set_hash").alias("h"), "doc_id", "n", "v", "subs")
     classes = staged(one.join(full, (F.col("set_hash") == F.col("h")) & (F.col("c") == F.col("doc_id")))
-                     .select("c", "n", "subs").dropDuplicates(["c", "n"]), "near-classes")
+                     .select("c", "v", "n", "subs").dropDuplicates(["c", "v"]), "near-classes")
     links = _links(docs, classes, near, key, text)
-    found = components(links.select("a", "b"))
+    # classes that hold versions of one id belong together
+    of_id = rows.where("doc_id is not null").select(F.col("set_hash").alias("h"), "doc_id") \
+        .join(one, F.col("set_hash") == F.col("h")).select("doc_id", "c")
+    several = of_id.groupBy("doc_id").agg(F.min("c").alias("b"), F.max("c").alias("hi")) \
+        .where("b <> hi").select("doc_id", "b")
+    ties = of_id.join(several, "doc_id").where("c <> b").select(F.col("c").alias("a"), "b")
+    found = components(links.select("a", "b").unionByName(ties))
     top = one.join(found, F.col("c") == F.col("node"), "left") \
         .select(F.col("set_hash").alias("h"), F.coalesce("component", "c").alias("component_id"))
     return rows.join(top, F.col("set_hash") == F.col("h"), "left").select(
@@ -194,27 +226,29 @@ def _links(docs: DataFrame, classes: DataFrame, near: Near, key: str, text: str)
     """Confirmed links ``a, b`` between classes, enough of them to give the components
     of all links."""
     # collection keys that more than one class holds
-    subs = classes.select("c", "n", F.posexplode("subs").alias("i", "u"))
+    subs = classes.select("c", "v", "n", F.posexplode("subs").alias("i", "u"))
     shared = subs.groupBy("i", "u").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("i", "u")
-    held = subs.join(shared, ["i", "u"]).groupBy("c", "n") \
+    held = subs.join(shared, ["i", "u"]).groupBy("c", "v", "n") \
         .agg(F.array_sort(F.collect_list(F.struct("i", "u"))).alias("held"))   # at most `groups`
     # tensor: every two of them, in order; ``path`` has a bit for each collection used
-    first = held.select("c", "n", "held", F.posexplode("held").alias("p", "x"))
-    both = first.select("c", "n", "x", F.explode(F.slice(
+    first = held.select("c", "v", "n", "held", F.posexplode("held").alias("p", "x"))
+    both = first.select("c", "v", "n", "x", F.explode(F.slice(
         "held", F.col("p") + 2, F.size("held"))).alias("y"))
     bit = lambda i: F.expr(f"shiftleft(1L, {i})")
     keys = both.select(F.xxhash64("x.i", "x.u", "y.i", "y.u").alias("k"), F.col("y.i").alias("last"),
-                       bit("x.i").bitwiseOR(bit("y.i")).alias("path"), "c", "n")
-    lead = keys.groupBy("k").agg(F.min("c").alias("a"), F.count(F.lit(1)).alias("m")) \
-        .where("m > 1").select("k", "a")
+                       bit("x.i").bitwiseOR(bit("y.i")).alias("path"), "c", "v", "n")
+    lead = keys.groupBy("k").agg(F.min("c").alias("a"), F.min_by("v", "c").alias("va"),
+                                 F.count(F.lit(1)).alias("m")) \
+        .where("m > 1").select("k", "a", "va")
     members = staged(keys.join(lead, "k"), "near-members")
     sets = staged(_sets(docs, members.select("c").distinct(), near, key, text), "near-sets")
-    sizes = classes.select(F.col("c").alias("a"), F.col("n").alias("na"))
+    sizes = classes.select(F.col("c").alias("a"), F.col("v").alias("va"), F.col("n").alias("na"))
 
     # 1. members against leaders; similarities down to twice the distance limit count later
-    pairs = members.where("c <> a").select("a", F.col("c").alias("b"), "n").distinct() \
-        .join(sizes, "a").where(_near_size(F.col("n"), F.col("na"), 1 - 2 * near.limit)) \
-        .select("a", "b").distinct()
+    pairs = members.where("c <> a") \
+        .select("a", "va", F.col("c").alias("b"), F.col("v").alias("vb"), "n").distinct() \
+        .join(sizes, ["a", "va"]).where(_near_size(F.col("n"), F.col("na"), 1 - 2 * near.limit)) \
+        .select("a", "va", "b", "vb").distinct()
     led = staged(_verified(pairs, sets, near), "near-led")
     links = led.where("linked").select("a", "b")
 
@@ -224,32 +258,34 @@ def _links(docs: DataFrame, classes: DataFrame, near: Near, key: str, text: str)
         .withColumn("comp", F.coalesce("component", "c")).drop("node", "component")
     open_ = at.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")) \
         .where("lo <> hi").select("k")
-    d = led.select("a", F.col("b").alias("c"), "d", "linked")
-    rest = staged(at.join(open_, "k").where("c <> a").join(d, ["a", "c"], "left")
+    d = led.select("a", "va", F.col("b").alias("c"), F.col("vb").alias("v"), "d", "linked")
+    rest = staged(at.join(open_, "k").where("c <> a or v <> va").join(d, ["a", "va", "c", "v"], "left")
                   .where(~F.coalesce(F.col("linked"), F.lit(False))).drop("linked"), "near-rest")
 
     # 3. members near a leader, against those linked to it
     comp_of = lambda df, c: df.join(comp, F.col(c) == F.col("node"), "left") \
         .withColumn(f"comp_{c}", F.coalesce("component", c)).drop("node", "component")
     edge = rest.where(F.col("d") <= 2 * near.limit + 1e-9) \
-        .select("a", F.col("c").alias("x"), F.col("n").alias("nx"), F.col("d").alias("dx"),
-                F.col("comp").alias("comp_x")).distinct()
-    core = comp_of(led.where("linked").select("a", F.col("b").alias("y"), F.col("d").alias("dy")), "y")
-    core = core.join(sizes.select(F.col("a").alias("y"), F.col("na").alias("ny")), "y")
-    cross = edge.join(core, "a").where(
+        .select("a", "va", F.col("c").alias("x"), F.col("v").alias("vx"), F.col("n").alias("nx"),
+                F.col("d").alias("dx"), F.col("comp").alias("comp_x")).distinct()
+    core = comp_of(led.where("linked").select("a", "va", F.col("b").alias("y"), F.col("vb").alias("vy"),
+                                              F.col("d").alias("dy")), "y")
+    core = core.join(sizes.select(F.col("a").alias("y"), F.col("va").alias("vy"), F.col("na").alias("ny")),
+                     ["y", "vy"])
+    cross = edge.join(core, ["a", "va"]).where(
         (F.col("comp_x") != F.col("comp_y")) & (F.col("dy") >= F.col("dx") - near.limit - 1e-9)
         & _near_size(F.col("nx"), F.col("ny"), 1 - near.limit)) \
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        .select(*_pair(ab=("x", "y"), v=("vx", "vy")))
 
     # 4. members that are not linked to their leader, against each other
-    level = rest.select("k", "last", "path", "c", "n", "comp", "d")
+    level = rest.select("k", "last", "path", "c", "v", "n", "comp", "d")
     by_comp = level.groupBy("k", "comp").agg(F.count(F.lit(1)).alias("m"))
     crowd = by_comp.groupBy("k").agg(F.sum("m").alias("rows"), F.max("m").alias("most"),
                                      F.max_by("comp", F.struct("m", "comp")).alias("major")) \
         .where("rows > most").select("k", "major", (F.col("rows") - F.col("most") > near.crowd).alias("crowded"))
     level = staged(level.join(crowd, "k"), "near-level")
-    inside = _inner_pairs(level.where("not crowded").join(classes.select("c", "subs"), "c"), near)
-    crowded = level.where("crowded").select("c", "n", "comp").distinct()
+    inside = _inner_pairs(level.where("not crowded").join(classes.select("c", "v", "subs"), ["c", "v"]), near)
+    crowded = level.where("crowded").select("c", "v", "n", "comp").distinct()
     if crowded.limit(1).count():
         inside = inside.unionByName(_prefix_pairs(crowded, sets, near))
     late = staged(_verified(cross.unionByName(inside).distinct(), sets, near).where("linked"), "near-late")
@@ -261,9 +297,9 @@ def _inner_pairs(rows: DataFrame, near: Near) -> DataFrame:
     the first collections it has in common (every other bucket would repeat it).  One
     side of a pair is outside the bucket's largest component, so rows of that
     component never meet each other."""
-    x = rows.where("comp <> major").select("k", "last", "path", "major", F.col("c").alias("x"), F.col("n").alias("nx"),
+    x = rows.where("comp <> major").select("k", "last", "path", "major", F.col("c").alias("x"), F.col("v").alias("vx"), F.col("n").alias("nx"),
                     F.col("comp").alias("cx"), F.col("d").alias("dx"), F.col("subs").alias("sx"))
-    y = rows.select("k", F.col("c").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"),
+    y = rows.select("k", F.col("c").alias("y"), F.col("v").alias("vy"), F.col("n").alias("ny"), F.col("comp").alias("cy"),
                     F.col("d").alias("dy"), F.col("subs").alias("sy"))
     apart = F.abs(F.col("dx") - F.col("dy")) > near.limit + 1e-9   # same leader: both d are to it
     earlier = F.lit(False)
@@ -273,7 +309,7 @@ def _inner_pairs(rows: DataFrame, near: Near) -> DataFrame:
     return x.join(y, "k").where(
         ((F.col("x") < F.col("y")) | (F.col("cy") == F.col("major"))) & (F.col("cx") != F.col("cy"))
         & _near_size(F.col("nx"), F.col("ny"), 1 - near.limit) & ~F.coalesce(apart, F.lit(False))
-        & ~earlier).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        & ~earlier).select(*_pair(ab=("x", "y"), v=("vx", "vy")))
 
 
 #: Slots of one of the two rows of the frequency table of ``_prefix_pairs``.
@@ -286,7 +322,7 @@ def _slots(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefix_pairs(rows: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
-    """All pairs of ``rows`` (``c, n, comp``) whose components differ and whose sets can
+    """All pairs of ``rows`` (``c, v, n, comp``) whose components differ and whose sets can
     have the wanted similarity.
 
     Similarity t needs t * n common elements, so under any one order of the elements two
@@ -296,7 +332,7 @@ def _prefix_pairs(rows: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
     the lengths left behind the last of them bound its overlap from above.
     """
     spark = rows.sparkSession
-    mine = staged(sets.join(rows.hint("shuffle_hash"), "c"), "near-crowd")
+    mine = staged(sets.join(rows.hint("shuffle_hash"), ["c", "v"]), "near-crowd")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(2 * SLOTS, dtype=np.int64)
@@ -317,39 +353,35 @@ def _prefix_pairs(rows: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = sent.value
         for batch in batches:
-            for c, comp, x in zip(*batch.columns):
+            for c, v, comp, x in zip(*batch.columns):
                 s = np.frombuffer(x.as_buffer(), dtype=np.uint64)
                 i, j = _slots(s)
                 f = np.minimum(often[i], often[j + SLOTS])
                 first = np.lexsort((s, f))[:len(s) + (-near.num * len(s)) // near.den + 1]
                 at = np.flatnonzero(f[first] > 1)   # what only one set holds joins nothing
                 h = s[first[at]].view(np.int64)
-                one = lambda v: pa.array(np.full(len(at), v.as_py(), dtype=np.int64))
+                one = lambda x: pa.array(np.full(len(at), x.as_py(), dtype=np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [one(c), pa.array(np.full(len(at), len(s))), one(comp), pa.array(h), pa.array(at)],
-                    names=["c", "n", "comp", "h", "p"])
+                    [one(c), one(v), pa.array(np.full(len(at), len(s))), one(comp), pa.array(h), pa.array(at)],
+                    names=["c", "v", "n", "comp", "h", "p"])
 
-    heads = staged(mine.select("c", "comp", "s").mapInArrow(
-        prefix, "c long, n long, comp long, h long, p long"), "near-heads")
+    heads = staged(mine.select("c", "v", "comp", "s").mapInArrow(
+        prefix, "c long, v long, n long, comp long, h long, p long"), "near-heads")
     by_comp = heads.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("m"))
     mixed = by_comp.groupBy("h").agg(F.sum("m").alias("rows"), F.max("m").alias("most"),
                                      F.max_by("comp", F.struct("m", "comp")).alias("major")) \
         .where("rows > most").select("h", "major")
     heads = heads.join(mixed, "h")
-    side = lambda i: [F.col(n).alias(f"{n}{i}") for n in ("c", "n", "comp", "p")]
+    side = lambda i: [F.col(n).alias(f"{n}{i}") for n in ("c", "v", "n", "comp", "p")]
     x = heads.where("comp <> major").select("h", "major", *side(1))
     met = x.join(heads.select("h", *side(2)), "h").where(
         ((F.col("c1") < F.col("c2")) | (F.col("comp2") == F.col("major"))) & (F.col("comp1") != F.col("comp2"))
         & _near_size(F.col("n1"), F.col("n2"), 1 - near.limit))
-    low = F.col("c1") < F.col("c2")
-    of = lambda n, a, b: F.when(low, F.col(n + a)).otherwise(F.col(n + b))
-    pairs = met.select(of("c", "1", "2").alias("a"), of("c", "2", "1").alias("b"),
-                       of("n", "1", "2").alias("na"), of("n", "2", "1").alias("nb"),
-                       of("p", "1", "2").alias("pa"), of("p", "2", "1").alias("pb")) \
-        .groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("m"), F.max("pa").alias("pa"),
+    pairs = met.select(*_pair(ab=("c1", "c2"), v=("v1", "v2"), n=("n1", "n2"), p=("p1", "p2"))) \
+        .groupBy("a", "va", "b", "vb", "na", "nb").agg(F.count(F.lit(1)).alias("m"), F.max("pa").alias("pa"),
                                            F.max("pb").alias("pb"))
     most = F.col("m") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
-    return pairs.where(most * (near.num + near.den) >= near.num * (F.col("na") + F.col("nb"))).select("a", "b")
+    return pairs.where(most * (near.num + near.den) >= near.num * (F.col("na") + F.col("nb"))).select("a", "va", "b", "vb")
 
 
 #: The contract's measure: three words, similarity 0.85.

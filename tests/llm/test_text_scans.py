@@ -238,3 +238,21 @@ def test_crowded_buckets_lose_no_link(spark):
     assert crowded == loose
     # 0.3 % of the pairs at the limit agree in fewer than two of 12 collections
     assert sum(c != want[d][1] for d, c in crowded.items()) <= 2
+
+
+def test_versions_of_one_id(spark):
+    from moltab.llm.clean import keep_representatives
+    rnd = random.Random(10)
+    text = lambda: [rnd.choice("abcdefgh") + rnd.choice("aeiou") + rnd.choice("klmnop") for _ in range(80)]
+    docs, apart = [], []
+    for g in range(12):      # two texts of equal set size under id 10 g, a near copy of each elsewhere
+        one, two = text(), text()
+        docs += [(10 * g, " ".join(one)), (10 * g, " ".join(two)),
+                 (10 * g + 1, " ".join(one + ["end"])), (10 * g + 2, " ".join(two + ["end"]))]
+        apart += [(10 * g, " ".join(one)), (10 * g, " ".join(two))]
+    docs += [(5, docs[2][1]), (5, " ".join(text())), (5, docs[2][1])]    # one version copies another document
+    rows = mh.near_duplicates(frame(spark, docs), mh.CONTRACT).collect()
+    want = brute_components(docs, mh.CONTRACT)
+    assert sorted((r.doc_id, r.component_id) for r in rows) == sorted((d, want[d][1]) for d, _ in docs)
+    kept = keep_representatives(frame(spark, docs).select("doc_id", "text"), mh.CONTRACT).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted(apart + [docs[-2]])
