@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moltab.llm.common import table
+from moltab.llm.common import table, tmp
 
 #: Multiplier of the published generator, as two 32-bit halves.
 LCG_HI, LCG_LO = 0x27BB2EE6, 0x87B0B0FD
@@ -100,10 +100,18 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, key: str = "doc_id",
                     (F.col("base") + F.col("rn") - 1).cast("long").alias("slot"), "grown_shard"))
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str, key: str = "doc_id") -> None:
-    """Write the documents as one folder per shard (``shard=K/``)."""
-    at = placed.select(F.col("doc_id").alias(key), "shard").distinct()
-    docs.join(at, key).write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, placed: DataFrame, path: str, key: str = "doc_id") -> str:
+    """Write the documents, null keys among them, as one folder per shard (``shard=K/``).
+    Returns the folder column's name, which has leading underscores if ``docs`` has a
+    column of that name."""
+    name = "shard"
+    while name in {c.lower() for c in docs.columns}:
+        name = "_" + name
+    k, zero = tmp("key"), F.lit(0).cast("long")
+    at = placed.select(F.coalesce("doc_id", zero).alias(k), F.col("shard").alias(name)).distinct()
+    docs.withColumn(k, F.coalesce(F.col(key).cast("long"), zero)).join(at, k).drop(k) \
+        .write.partitionBy(name).parquet(path)
+    return name
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

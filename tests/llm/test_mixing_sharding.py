@@ -53,6 +53,16 @@ def test_written_shards_hold_every_document(spark):
     assert back.count() == 50 and back.where(F.col("doc_id") == 3).first()["shard"] == jump(3, 4)
 
 
+def test_written_shards_hold_null_keys_and_a_shard_column(spark):
+    from moltab.session import scratch_path
+    docs = frame(spark, [(i, f"t{i}") for i in range(20)] + [(None, "a"), (None, "b"), (0, "c")])
+    path = scratch_path(spark, "shards")
+    name = shard.write_shards(docs, shard.shard_documents(docs, n_shards=4), path)
+    back = spark.read.parquet(path).collect()
+    assert sorted(r.text for r in back) == sorted(r.text for r in docs.collect())
+    assert all(r["shard"] == 1 and r[name] == jump(r.doc_id or 0, 4) for r in back)
+
+
 # ---------------------------------------------------------------- mixing
 
 def corpus(n=600, seed=1):
