@@ -19,6 +19,8 @@ from moltab.session import scratch_path
 
 #: Wanted token mass of a domain as a multiple of what it has.
 MULTIPLES = {"good": 1.05, "plain": 1.0, "toxic": 0.5}
+#: A document less likely toxic than this occurs at least once.
+KEEP = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +36,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classifier, fit = op4_mixing.fit_mixture(docs, table(spark, sf_dir, "labels"), multiples=MULTIPLES)
+    classifier, fit = op4_mixing.fit_mixture(docs, table(spark, sf_dir, "labels"), multiples=MULTIPLES,
+                                             keep=KEEP)
     return op4_mixing.mix(docs, classifier, fit)
 
 

@@ -9,7 +9,8 @@
    matrix (a step of length one is then safe; the Gram matrix of the rows not yet
    at zero gives a longer step, taken where it descends), starting from rate 1.  An iteration is one aggregation that
    returns one number per domain; a rate is the projection path replayed per row,
-   so no per-document state is shuffled or collected.
+   so no per-document state is shuffled or collected.  With ``keep`` given, documents
+   whose toxic posterior is below it have a rate of at least 1.
 
 The classifier's word weights (one array of ``buckets`` numbers per factor) and the
 residuals are all that reaches the driver.
@@ -58,11 +59,13 @@ class Classifier:
 @dataclass(frozen=True)
 class Fit:
     """``steps[t][k]``: what a unit of posterior k takes off a rate in step t;
-    ``worst``: largest relative misfit; ``totals`` and ``targets`` by domain."""
+    ``worst``: largest relative misfit; ``totals`` and ``targets`` by domain; ``keep``:
+    toxic posterior below which no rate is under 1."""
     steps: tuple[tuple[float, ...], ...]
     totals: dict[str, float]
     targets: dict[str, float]
     worst: float
+    keep: float | None = None
 
 
 def _words(text: Column) -> Column:
@@ -171,8 +174,14 @@ def membership(text: Column, c: Classifier) -> Column:
     return F.transform(F.array(_scores(text, c.toxic, c.quality, c.buckets)), of)[0]
 
 
-def replay(steps, p: list[Column], start: Column | None = None) -> Column:
-    """The projected path of a rate: each step subtracts and clips at zero."""
+def least_rate(p: list[Column], keep: float | None) -> Column:
+    if keep is None:
+        return F.lit(0.0)
+    return F.when(p[DOMAINS.index("toxic")] < keep, F.lit(1.0)).otherwise(F.lit(0.0))
+
+
+def replay(steps, p: list[Column], start: Column | None = None, keep: float | None = None) -> Column:
+    """The projected path of a rate: each step subtracts and clips at the least rate."""
     start = F.lit(1.0) if start is None else start
     if not steps:
         return start
@@ -183,13 +192,13 @@ def replay(steps, p: list[Column], start: Column | None = None) -> Column:
         move = s[0] * p[0]
         for k in range(1, len(p)):
             move = move + s[k] * p[k]
-        return F.greatest(F.lit(0.0), r - move)
+        return F.greatest(least_rate(p, keep), r - move)
 
     return F.aggregate(path, start, step)
 
 
 def fit_rates(members: DataFrame, targets: dict[str, float], tolerance: float = 1e-3,
-              max_steps: int = 100, restage: int = 16) -> Fit:
+              max_steps: int = 100, restage: int = 16, keep: float | None = None) -> Fit:
     """Projected gradient over ``(n, good, plain, toxic)`` rows; ``targets`` are token
     totals per domain.  Raises when ``max_steps`` pass without settling."""
     now = members.select("n", *DOMAINS)
@@ -208,10 +217,10 @@ def fit_rates(members: DataFrame, targets: dict[str, float], tolerance: float =
         return [sum(m[a][b] * v[b] for b in range(size)) for a in range(size)]
 
     def look(current, path):
-        """Totals, and the Gram matrix of the rows whose rate is not zero."""
-        live = [F.when(F.col("now") > 0, F.col("n") * F.col(DOMAINS[a]) * F.col(DOMAINS[b])).otherwise(0.0)
+        """Totals, and the Gram matrix of the rows whose rate is above the least."""
+        live = [F.when(F.col("now") > least_rate(rates, keep), F.col("n") * F.col(DOMAINS[a]) * F.col(DOMAINS[b])).otherwise(0.0)
                 for a in range(size) for b in range(a, size)]
-        got = current.withColumn("now", replay(path, rates, F.col("r"))).agg(
+        got = current.withColumn("now", replay(path, rates, F.col("r"), keep)).agg(
             *[F.coalesce(F.sum(F.col("n") * F.col("now") * F.col(d)), F.lit(0.0)) for d in DOMAINS],
             *[F.coalesce(F.sum(x), F.lit(0.0)) for x in live]).first()
         m, at = [[0.0] * size for _ in range(size)], size
@@ -247,12 +256,12 @@ def fit_rates(members: DataFrame, targets: dict[str, float], tolerance: float =
         recent.append(step)
         totals, live, bold = new, new_live, True
         if len(recent) == restage:
-            current = staged(current.select("n", *DOMAINS, replay(recent, rates, F.col("r")).alias("r")),
+            current = staged(current.select("n", *DOMAINS, replay(recent, rates, F.col("r"), keep).alias("r")),
                              "mix-rates")
             recent = []
     else:
         warnings.warn(f"rates did not settle in {max_steps} steps: misfit {worst:.3g}", stacklevel=2)
-    return Fit(tuple(steps), dict(zip(DOMAINS, totals)), dict(zip(DOMAINS, goal)), worst)
+    return Fit(tuple(steps), dict(zip(DOMAINS, totals)), dict(zip(DOMAINS, goal)), worst, keep)
 
 
 def _inverse(m: list[list[float]]) -> list[list[float]]:
@@ -271,23 +280,24 @@ def _inverse(m: list[list[float]]) -> list[list[float]]:
 
 def fit_mixture(docs: DataFrame, labels: DataFrame, shares: dict[str, float] | None = None,
                 multiples: dict[str, float] | None = None, key: str = "doc_id",
-                text: str = "text", sample_rows: int = 20_000) -> tuple[Classifier, Fit]:
+                text: str = "text", sample_rows: int = 20_000,
+                keep: float | None = None) -> tuple[Classifier, Fit]:
     """Classifier and rates for target ``shares`` of all tokens, or for ``multiples`` of
     each domain's present expected total."""
     c = fit_classifier(docs, labels, sample_rows, key=key, text=text)
     members = staged(docs.select(membership(F.col(text), c).alias("m")).select("m.*"), "mix-members")
-    return c, fit_targets(members, shares, multiples)
+    return c, fit_targets(members, shares, multiples, keep)
 
 
 def fit_targets(members: DataFrame, shares: dict[str, float] | None = None,
-                multiples: dict[str, float] | None = None) -> Fit:
+                multiples: dict[str, float] | None = None, keep: float | None = None) -> Fit:
     """Rates over ``(n, good, plain, toxic)`` rows for ``shares`` or ``multiples``."""
     sums = members.agg(*[F.coalesce(F.sum(F.col("n") * F.col(d)), F.lit(0.0)) for d in DOMAINS]).first()
     if multiples is not None:
         targets = {d: sums[k] * multiples[d] for k, d in enumerate(DOMAINS)}
     else:
         targets = {d: sum(sums) * (shares or SHARES)[d] for d in DOMAINS}
-    fit = fit_rates(members, targets)
+    fit = fit_rates(members, targets, keep=keep)
     if fit.worst > 0.01:
         warnings.warn(f"targets cannot be met: misfit {fit.worst:.3g}", stacklevel=2)
     return fit
@@ -298,18 +308,17 @@ def with_rates(docs: DataFrame, c: Classifier, fit: Fit, text: str = "text") ->
     generated names are returned with it."""
     m, r = tmp("member"), tmp("rate")
     out = docs.withColumn(m, membership(F.col(text), c))
-    return out.withColumn(r, replay(fit.steps, [F.col(m)[d] for d in DOMAINS])), m, r
+    return out.withColumn(r, replay(fit.steps, [F.col(m)[d] for d in DOMAINS], keep=fit.keep)), m, r
 
 
 def mix(docs: DataFrame, c: Classifier, fit: Fit, key: str = "doc_id", text: str = "text",
         seed: str = "mix") -> DataFrame:
     """Draw the mixture: each row occurs ``floor(rate + u)`` times, ``u`` in [0, 1) being a
-    hash of its key, and at least once where the rate is 0.5 or more."""
+    hash of its key, so that the drawn totals are the fitted ones in expectation."""
     rated, _, r = with_rates(docs, c, fit, text)
     u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string"))
                                  .cast("binary")), 1, 8), 16, 10).cast("double") / 2 ** 32
     copies = F.floor(F.col(r) + u)
-    copies = F.when(F.col(r) >= 0.5, F.greatest(copies, F.lit(1).cast("long"))).otherwise(copies)
     n = tmp("copy")
     return rated.withColumn(n, F.explode(F.array_repeat(F.lit(1), copies.cast("int")))) \
         .select(*[F.col(f"`{c_}`") for c_ in docs.columns])

@@ -136,6 +136,19 @@ def test_copies_follow_the_rates(spark):
         assert int(x) <= n.get(d, 0) <= int(x) + 1 and (x < 0.5 or n[d] >= 1)
 
 
+def test_drawn_totals_meet_the_targets(spark):
+    docs, labels = corpus(4000)
+    df, lab = frame(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    c, fit = mix.fit_mixture(df, lab, multiples={"good": 1.05, "plain": 1.0, "toxic": 0.5}, keep=0.5)
+    assert fit.worst <= 1e-3
+    rated, m, _ = mix.with_rates(df, c, fit)
+    of = {x.doc_id: x.m for x in rated.select("doc_id", F.col(m).alias("m")).collect()}
+    n = {x.doc_id: x["count"] for x in mix.mix(df, c, fit).groupBy("doc_id").count().collect()}
+    for d, most in (("good", 0.03), ("plain", 0.03), ("toxic", 0.15)):
+        assert sum(k * of[i].n * of[i][d] for i, k in n.items()) == pytest.approx(fit.targets[d], rel=most)
+    assert all(i in n for i, x in of.items() if x.toxic < 0.5)
+
+
 # ---------------------------------------------------------------- components
 
 def test_components_equal_union_find(spark):
