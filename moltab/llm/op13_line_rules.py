@@ -11,8 +11,8 @@ Beside that stand the base counts of the whole text; a document that fails them
 (``base_failed``) is rejected whatever remains of it.
 
 A line of many documents is one key.  Its count is combined before the shuffle, and where
-the removed lines meet the documents again, lines held by more than one occurrence in
-``HOT`` are broadcast (there are at most ``HOT`` of them), so no task gets a hot line.
+the removed lines meet the documents again, the hottest lines, of which there can only be
+a bounded number, are broadcast, so no task gets a hot line.
 
 A document is an (id, host, text): rows that repeat all three are one document, each with
 its own result; different texts under one id are documents of their own, and so is one
@@ -34,10 +34,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moltab.llm.common import importable, staged, table, tmp
+from moltab.llm.common import importable, join_hot, staged, table, tmp
 
-#: A key with more than one in so many of all rows is hot; there are at most so many.
-HOT = 1024
 #: Words of a window of the base rule.
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
@@ -141,9 +139,7 @@ def _removed(rows: DataFrame, rules: Rules) -> DataFrame:
     per_line = held.groupBy("h", "doc").agg(F.max("w").alias("w")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     above = staged(per_line.where(F.col("n") > rules.most_docs), "line-limits")
     places = rows.agg(F.sum(F.size("lines")).alias("n")).first()["n"] or 0
-    hot = above.where(F.col("n") * HOT > F.lit(places)).select("h")      # fewer than HOT rows
-    cold = above.where(F.col("n") * HOT <= F.lit(places)).select("h")
-    return held.join(F.broadcast(hot), "h").unionByName(held.join(cold, "h"))
+    return join_hot(held, above, ["h"], "n", places)
 
 
 def line_rules(docs: DataFrame, rules: Rules = Rules(), key: str = "doc_id", host: str = "source",
