@@ -13,8 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moltab.operators.columns import to_long
+from moltab.operators.concordance import kendall_tau
 from moltab.operators.ordered import average_rank, running_sum
+from moltab.operators.permutation import permutation_test
 
 METHODS = ("pearson", "spearman", "kendall")
 
@@ -82,143 +83,6 @@ def corr_matrix(df: DataFrame, cols: Sequence[str], method: str = "pearson") ->
     return row.selectExpr(f"stack({len(pairs)}, {stack}) as (f1, f2, r)")
 
 
-# ------------------------------------------------------------ Kendall tau-b
-
-def kendall_tau(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
-    """Tie-corrected Kendall tau-b per group: ``(by…, n, tau)``.
-
-    Work is on distinct cells ``(x, y) → count``, so a hot value is one row.
-    Cells are range-bucketed by y into blocks (equal y share a block).  Pairs
-    inside a block are counted exactly per block (Fenwick sweep in numpy,
-    ``applyInPandas``).  For pairs across blocks the sign in y is the block
-    order, so each cell only needs the x-histogram of all higher blocks:
-    ``#(x' > x) − #(x' < x)`` by binary search (cogrouped ``applyInPandas``).
-    Tie terms come from grouped counts.  Exact for any data; no pair of rows
-    is ever materialised.
-    """
-    by = list(by)
-    cells = (df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-             .groupBy(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
-             .agg(F.count(F.lit(1)).alias("_c")))
-    return _kendall_blocks(cells, by)
-
-
-def _kendall_blocks(cells: DataFrame, by: list[str]) -> DataFrame:
-    import numpy as np
-    import pandas as pd
-
-    spark = cells.sparkSession
-    nb = max(2, int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
-    probs = [i / nb for i in range(1, nb)]
-    # y-blocks: range buckets of distinct y values inside each group
-    ybounds = cells.groupBy(*by).agg(F.percentile_approx("_y", probs, 10000).alias("_yb"))
-    c2 = (cells.join(ybounds, by, "left") if by else cells.crossJoin(F.broadcast(ybounds)))
-    c2 = c2.withColumn("_blk", F.size(F.filter("_yb", lambda b: b < F.col("_y")))).drop("_yb")
-
-    blk_x = c2.groupBy(*by, "_blk", "_x").agg(F.sum("_c").alias("_cx"))
-    # x-histogram of every block, re-emitted once per lower block it serves;
-    # the block count is fixed, so this grows with distinct x, not with rows
-    lower = spark.range(nb).select(F.col("id").cast("int").alias("_tb"))
-    served = blk_x.crossJoin(F.broadcast(lower)).where(F.col("_tb") < F.col("_blk"))
-    served = served.groupBy(*by, "_tb", F.col("_x").alias("_hx")).agg(F.sum("_cx").alias("_hc"))
-
-    schema_s = ", ".join([f"{b} {cells.schema[b].dataType.simpleString()}" for b in by] +
-                         ["_s double", "_pairs double"])
-
-    def cross_part(key, pdf_cells, pdf_hist):
-        # pdf_cells: cells of block b; pdf_hist: x histogram of all higher blocks
-        if len(pdf_cells) == 0:
-            return pd.DataFrame([list(key) + [0.0, 0.0]], columns=by + ["_s", "_pairs"])
-        hx = pdf_hist.sort_values("_hx")
-        xs = hx["_hx"].to_numpy()
-        cum = np.concatenate([[0.0], np.cumsum(hx["_hc"].to_numpy(dtype=float))])
-        tot = cum[-1]
-        cx = pdf_cells["_x"].to_numpy()
-        cc = pdf_cells["_c"].to_numpy(dtype=float)
-        lt = cum[np.searchsorted(xs, cx, side="left")]      # x' < x
-        le = cum[np.searchsorted(xs, cx, side="right")]     # x' <= x
-        gt = tot - le
-        # higher block means y' > y: concordant if x' > x, discordant if x' < x
-        s = float(np.sum(cc * (gt - lt)))
-        return pd.DataFrame([list(key) + [s, 0.0]], columns=by + ["_s", "_pairs"])
-
-    key_cols = by + ["_tb"]
-    left = c2.withColumnRenamed("_blk", "_tb").select(*key_cols, "_x", "_c")
-    cross = (left.groupBy(*key_cols).cogroup(served.groupBy(*key_cols))
-             .applyInPandas(lambda k, a, b: cross_part(k[:-1], a, b), schema=schema_s))
-
-    def in_block(key, pdf):
-        k = list(key[:-1])
-        x = pdf["_x"].to_numpy()
-        y = pdf["_y"].to_numpy()
-        c = pdf["_c"].to_numpy(dtype=float)
-        s = _kendall_s_local(x, y, c)
-        return pd.DataFrame([k + [s, 0.0]], columns=by + ["_s", "_pairs"])
-
-    inner = c2.groupBy(*by, "_blk").applyInPandas(in_block, schema=schema_s)
-
-    s_tot = cross.unionByName(inner).groupBy(*by).agg(F.sum("_s").alias("_S"))
-    # tie terms from grouped counts
-    n = cells.groupBy(*by).agg(F.sum("_c").cast("double").alias("_n"))
-    tx = (cells.groupBy(*by, "_x").agg(F.sum("_c").cast("double").alias("_t"))
-          .groupBy(*by).agg(F.sum(F.col("_t") * (F.col("_t") - 1) / 2).alias("_n1")))
-    ty = (cells.groupBy(*by, "_y").agg(F.sum("_c").cast("double").alias("_t"))
-          .groupBy(*by).agg(F.sum(F.col("_t") * (F.col("_t") - 1) / 2).alias("_n2")))
-    if by:
-        j = n.join(tx, by).join(ty, by).join(s_tot, by, "left")
-    else:
-        j = n.crossJoin(tx).crossJoin(ty).crossJoin(s_tot)
-    n0 = F.col("_n") * (F.col("_n") - 1) / 2
-    den = F.sqrt((n0 - F.col("_n1")) * (n0 - F.col("_n2")))
-    return j.select(*by, F.col("_n").cast("long").alias("n"),
-                    F.try_divide(F.coalesce(F.col("_S"), F.lit(0.0)), F.when(den > 0, den)).alias("tau"))
-
-
-def _kendall_s_local(x, y, c):
-    """Σ_{i<j} c_i c_j sign(x_i-x_j) sign(y_i-y_j) over distinct cells, O(m log m)."""
-    import numpy as np
-
-    m = len(x)
-    if m < 2:
-        return 0.0
-    # order by x, then count with a Fenwick tree over y ranks
-    order = np.lexsort((y, x))
-    x, y, c = x[order], y[order], c[order]
-    yr = np.searchsorted(np.unique(y), y) + 1
-    size = int(yr.max()) + 1
-    tree = np.zeros(size + 1)
-
-    def add(i, v):
-        while i <= size:
-            tree[i] += v
-            i += i & -i
-
-    def pref(i):
-        s = 0.0
-        while i > 0:
-            s += tree[i]
-            i -= i & -i
-        return s
-
-    total = 0.0
-    s = 0.0
-    i = 0
-    while i < m:
-        j = i
-        while j < m and x[j] == x[i]:
-            j += 1
-        # all earlier cells have strictly smaller x
-        for t in range(i, j):
-            below = pref(yr[t] - 1)
-            above = total - pref(yr[t])
-            s += c[t] * (below - above)
-        for t in range(i, j):
-            add(yr[t], c[t])
-            total += c[t]
-        i = j
-    return float(s)
-
-
 # ------------------------------------------------------------ quantiles, describe, histogram
 
 def exact_quantiles(long: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
@@ -281,79 +145,7 @@ def histogram(df: DataFrame, cols: Sequence[str], bins: int = 20, by: Sequence[s
     return j.groupBy(*by, "feature", b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
 
 
-# ------------------------------------------------------------ selection and permutation tests
-
-ALTERNATIVES = ("two-sided", "greater", "less")
-
-
-def permutation_test(df: DataFrame, key: str, cols: Sequence[str], target: str, method: str = "pearson",
-                     n_perm: int = 1000, seed: int = 2024, alternative: str = "two-sided") -> DataFrame:
-    """Permutation p-values for the correlation of every feature with ``target``.
-
-    ``(feature, n, r, p_value)`` with p = (1 + #{T_b ≥ T_obs}) / (B + 1)
-    (Phipson & Smyth 2010); T = |r| two-sided, r for ``greater``, −r for ``less``.
-
-    Permutation b maps the row at position i of a fixed hash order of the keys
-    to the target of the row at position i of the hash(key, b) order — an
-    exact permutation of the non-null targets, shared by all features.  The
-    n·B permuted targets are joined to the long feature table and reduced by a
-    partial aggregation per (feature, b) holding Σx, Σx², Σy_b, Σy_b², Σx·y_b,
-    so the n·p·B products are never shuffled.  For Spearman, x is ranked per
-    feature and y over all rows with a target.
-    """
-    from moltab.functions.rng import hash32
-
-    _check_method(method)
-    if method == "kendall":
-        raise ValueError("permutation test supports pearson and spearman")
-    if alternative not in ALTERNATIVES:
-        raise ValueError(f"alternative must be one of {ALTERNATIVES}")
-    spark = df.sparkSession
-    base = df.select(key, *[F.col(c).cast("double").alias(c) for c in cols],
-                     F.col(target).cast("double").alias("_y")).where(F.col("_y").isNotNull())
-    long = base.unpivot([key, "_y"], list(cols), "feature", "value").where(F.col("value").isNotNull())
-    ytab = base.select(key, "_y")
-    if method == "spearman":
-        long = average_rank(long, "value", by=["feature"], out="_rx").drop("value").withColumnRenamed("_rx", "value")
-        ytab = average_rank(ytab, "_y", out="_ry").select(key, F.col("_ry").alias("_y"))
-        long = long.drop("_y").join(ytab, key)
-    x, y = F.col("value"), F.col("_y")
-
-    def corr_from(sx, sxx, sy, syy, sxy, n):
-        cov = sxy / n - (sx / n) * (sy / n)
-        vx = sxx / n - (sx / n) * (sx / n)
-        vy = syy / n - (sy / n) * (sy / n)
-        den = F.sqrt(vx * vy)
-        return F.try_divide(cov, F.when(den > 1e-300, den))
-
-    obs = long.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), pearson_agg(x, y).alias("r"))
-    # permuted targets: (key, b, y_b)
-    bs = spark.range(1, n_perm + 1).select(F.col("id").cast("int").alias("b"))
-    kpos = running_sum(ytab.withColumn("_hk", hash32(F.col(key), "key")).withColumn("_one", F.lit(1)),
-                       "_hk", ["_one"], tiebreak=[key], prefix="_pos").select(key, F.col("_pos_one").alias("_p"))
-    with_b = ytab.crossJoin(F.broadcast(bs))  # B is a parameter, not data
-    ppos = running_sum(with_b.withColumn("_hp", hash32(F.col(key), seed, F.col("b"))).withColumn("_one", F.lit(1)),
-                       "_hp", ["_one"], by=["b"], tiebreak=[key], prefix="_pos") \
-        .select("b", F.col("_pos_one").alias("_p"), F.col("_y").alias("_yb"))
-    yb = kpos.crossJoin(F.broadcast(bs)).join(ppos, ["b", "_p"]).select(key, "b", "_yb")
-    prod = long.select(key, "feature", "value").join(yb, key)
-    v, w = F.col("value"), F.col("_yb")
-    rb = prod.groupBy("feature", "b").agg(
-        F.count(F.lit(1)).cast("double").alias("_n"), F.sum(v).alias("_sx"), F.sum(v * v).alias("_sxx"),
-        F.sum(w).alias("_sy"), F.sum(w * w).alias("_syy"), F.sum(v * w).alias("_sxy"))
-    rb = rb.select("feature", corr_from(F.col("_sx"), F.col("_sxx"), F.col("_sy"), F.col("_syy"),
-                                        F.col("_sxy"), F.col("_n")).alias("rb"))
-    res = rb.join(obs, "feature")
-    if alternative == "two-sided":
-        hit = F.abs(F.col("rb")) >= F.abs(F.col("r")) - F.lit(1e-12)
-    elif alternative == "greater":
-        hit = F.col("rb") >= F.col("r") - F.lit(1e-12)
-    else:
-        hit = -F.col("rb") >= -F.col("r") - F.lit(1e-12)
-    cnt = res.groupBy("feature").agg(F.count_if(hit).alias("_hits"))
-    return obs.join(cnt, "feature", "left").select(
-        "feature", "n", "r", ((1 + F.coalesce(F.col("_hits"), F.lit(0))) / F.lit(float(n_perm + 1))).alias("p_value"))
-
+# ------------------------------------------------------------ selection
 
 def corr_select(df: DataFrame, cols: Sequence[str], target: str, method: str = "spearman",
                 thresh: float = 0.4, max_null_frac: float = 0.7, perm: dict | None = None,
@@ -375,7 +167,7 @@ def corr_select(df: DataFrame, cols: Sequence[str], target: str, method: str = "
     sel = [r["feature"] for r in out.where("selected").select("feature").collect()]  # ≤ column count
     if not sel:
         return out.withColumn("p_value", F.lit(None).cast("double")).withColumn("significant", F.lit(None).cast("boolean"))
-    pv = permutation_test(df, key, sel, target, method, int(perm.get("n_perm", 1000)),
+    pv = permutation_test(df, key, sel, target, method, int(perm.get("n_perm", 10_000)),
                           int(perm.get("seed", 2024)), perm.get("alternative", "two-sided"))
     lvl = float(perm.get("sig_level", 0.05))
     return out.join(pv.select("feature", "p_value"), "feature", "left").withColumn(

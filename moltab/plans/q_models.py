@@ -17,7 +17,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from moltab.operators import explain, models, resample, stats
+from moltab.functions.rng import sql_hash32, sql_key, sql_lit
 from moltab.operators.neighbors import knn
+from moltab.operators.permutation import permutation_test, sql_permuted
 from moltab.operators.splits import class_weights, split_random
 from moltab.plans import training
 from moltab.plans.common import round_doubles
@@ -292,22 +294,103 @@ SELECT feature, round(CAST(count(*) FILTER (WHERE v IS NULL) AS DOUBLE) / count(
 FROM l GROUP BY feature""")(q_corr_select)
 
 
+PERM_FEATS = ["f_len", "f_digits", "f_lines", "f_upper"]
+N_PERM, PERM_SEED = 10_000, 2024
+_FEATS_SQL = """(SELECT doc_id, n_chars / 1000.0 AS f_len, CAST(lang = 'en' AS DOUBLE) AS f_en, CAST(lang = 'fr' AS DOUBLE) AS f_fr,
+  CAST(lang = 'de' AS DOUBLE) AS f_de, len(regexp_extract_all(text, '[0-9]')) / 100.0 AS f_digits,
+  len(regexp_extract_all(text, '\n')) / 10.0 AS f_lines, len(regexp_extract_all(text, '[A-Z]')) / 100.0 AS f_upper,
+  CAST(quality AS DOUBLE) AS y FROM documents JOIN labels USING (doc_id))"""
+
+
+def _perm_sql(feats: list[str], rank: bool, two_sided: bool, select: str) -> str:
+    """p-values of correlations: the places of the permutations as arithmetic, one grouped
+    sum per (feature, permutation)."""
+    tied = lambda c: f"(rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0)"
+    value = tied if rank else (lambda c: c)
+    x = ", ".join(f"{value(c)} AS {c}" for c in feats)
+    corr = "covar_pop(x, y) / nullif(sqrt(var_pop(x) * var_pop(y)), 0)"
+    size = (lambda c: f"abs({c})") if two_sided else (lambda c: c)
+    return f"""WITH pos AS (
+  SELECT {x}, {value("y")} AS y, row_number() OVER (ORDER BY {sql_hash32(sql_key("doc_id"), sql_lit("key"))}, doc_id) - 1 AS i,
+    count(*) OVER () AS n FROM {_FEATS_SQL}),
+long AS (UNPIVOT (SELECT {", ".join(feats)}, y, i FROM pos) ON {", ".join(feats)} INTO NAME feature VALUE x),
+obs AS (SELECT feature, count(*) AS n, {corr} AS r FROM long GROUP BY feature),
+perm AS MATERIALIZED ({sql_permuted("SELECT i, n FROM pos", PERM_SEED, N_PERM)}),
+moved AS (SELECT b, perm.i, y FROM perm JOIN pos ON pos.i = perm.p),
+each AS (SELECT feature, b, {corr} AS rb FROM moved JOIN (SELECT feature, x, i FROM long) l USING (i) GROUP BY feature, b),
+p AS (SELECT feature, obs.n, r, (1 + count(*) FILTER (WHERE {size("rb")} >= {size("r")} - 1e-12)) / {float(N_PERM + 1)} AS p
+      FROM obs JOIN each USING (feature) GROUP BY feature, obs.n, r)
+{select}"""
+
+
 def q_perm_test(spark, sf):
-    d = clf_data(spark, sf)
-    return stats.permutation_test(d, "doc_id", ["f_len", "f_digits", "f_lines", "f_upper"], "quality",
-                                  "spearman", n_perm=199, seed=2024)
+    return round_doubles(permutation_test(clf_data(spark, sf), "doc_id", PERM_FEATS, "quality", "spearman",
+                                          n_perm=N_PERM, seed=PERM_SEED))
 
 
-register("perm_test")(q_perm_test)
+register("perm_test", _perm_sql(PERM_FEATS, True, True, """SELECT feature, n, round(r, 6) AS r,
+  CASE WHEN r IS NOT NULL THEN round(p, 6) END AS p_value FROM p"""))(q_perm_test)
 
 
-def q_perm_test_all(spark, sf):
-    d = clf_data(spark, sf)
-    return stats.corr_select(d, CLF_FEATS, "quality", "pearson", thresh=0.0,
-                             perm={"n_perm": 99, "sig_level": 0.05}, key="doc_id")
+def q_perm_test_greater(spark, sf):
+    return round_doubles(permutation_test(clf_data(spark, sf), "doc_id", PERM_FEATS, "quality", "pearson",
+                                          n_perm=N_PERM, seed=PERM_SEED, alternative="greater"))
+
+
+register("perm_test_greater", _perm_sql(PERM_FEATS, False, False, """SELECT feature, n, round(r, 6) AS r,
+  CASE WHEN r IS NOT NULL THEN round(p, 6) END AS p_value FROM p"""))(q_perm_test_greater)
 
 
-register("perm_test_all")(q_perm_test_all)
+def q_perm_test_all(spark, sf):
+    d = clf_data(spark, sf)
+    return round_doubles(stats.corr_select(d, CLF_FEATS, "quality", "pearson", thresh=0.0, key="doc_id",
+                                           perm={"n_perm": N_PERM, "sig_level": 0.05, "seed": PERM_SEED}))
+
+
+register("perm_test_all", _perm_sql(CLF_FEATS, False, True, """SELECT feature, 0.0::DOUBLE AS null_frac, n, round(r, 6) AS r,
+  coalesce(abs(r) > 0, false) AS selected, CASE WHEN r IS NOT NULL THEN round(p, 6) END AS p_value,
+  CASE WHEN r IS NOT NULL THEN p < 0.05 END AS significant FROM p"""))(q_perm_test_all)
+
+
+def q_perm_test_kendall(spark, sf):
+    return round_doubles(permutation_test(clf_data(spark, sf), "doc_id", ["f_lines"], "quality", "kendall",
+                                          n_perm=N_PERM, seed=PERM_SEED))
+
+
+register("perm_test_kendall", f"""WITH pos AS (
+  SELECT f_lines AS x, y, row_number() OVER (ORDER BY {sql_hash32(sql_key("doc_id"), sql_lit("key"))}, doc_id) - 1 AS i,
+    count(*) OVER () AS n FROM {_FEATS_SQL}),
+perm AS MATERIALIZED ({sql_permuted("SELECT i, n FROM pos", PERM_SEED, N_PERM)}),
+ties AS (SELECT (SELECT sum(t * (t - 1) / 2.0) FROM (SELECT count(*) AS t FROM pos GROUP BY x)) AS tx,
+                (SELECT sum(t * (t - 1) / 2.0) FROM (SELECT count(*) AS t FROM pos GROUP BY y)) AS ty),
+-- cells (x, y) of each permutation: the target has few values, so pairs of cells are few
+cells AS (SELECT b, a.x, c.y, count(*) AS k FROM perm JOIN pos a ON a.i = perm.i JOIN pos c ON c.i = perm.p GROUP BY ALL
+          UNION ALL SELECT 0, x, y, count(*) FROM pos GROUP BY ALL),
+s AS (SELECT u.b, sum(u.k * v.k * sign(u.y - v.y)) AS s FROM cells u JOIN cells v ON u.b = v.b AND u.x > v.x GROUP BY u.b),
+tau AS (SELECT b, s / nullif(sqrt(((SELECT any_value(n) * (any_value(n) - 1) / 2 FROM pos) - tx)
+                                * ((SELECT any_value(n) * (any_value(n) - 1) / 2 FROM pos) - ty)), 0) AS t FROM s, ties)
+SELECT 'f_lines' AS feature, (SELECT any_value(n) FROM pos) AS n, round(o.t, 6) AS r,
+  round((1 + (SELECT count(*) FROM tau WHERE b > 0 AND abs(t) >= abs(o.t) - 1e-12)) / {float(N_PERM + 1)}, 6) AS p_value
+FROM tau o WHERE o.b = 0""")(q_perm_test_kendall)
+
+
+def q_perm_test_means(spark, sf):
+    return round_doubles(permutation_test(clf_data(spark, sf), "doc_id", ["f_len", "f_lines"], "quality",
+                                          "mean_difference", n_perm=N_PERM, seed=PERM_SEED))
+
+
+register("perm_test_means", f"""WITH pool AS (
+  SELECT 'f_len' AS feature, 0 AS side, doc_id::VARCHAR AS k, f_len AS v FROM {_FEATS_SQL}
+  UNION ALL SELECT 'f_lines', 0, doc_id::VARCHAR, f_lines FROM {_FEATS_SQL}
+  UNION ALL SELECT f, 1, doc_id::VARCHAR, y FROM {_FEATS_SQL}, (VALUES ('f_len'), ('f_lines')) t(f)),
+pos AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY side, k) - 1 AS i, count(*) OVER (PARTITION BY feature) AS n FROM pool),
+size AS (SELECT feature, any_value(n) AS n, count(*) FILTER (WHERE side = 0) AS m, sum(v) AS total,
+           avg(v) FILTER (WHERE side = 0) - avg(v) FILTER (WHERE side = 1) AS r FROM pos GROUP BY feature),
+perm AS MATERIALIZED ({sql_permuted("SELECT i, n FROM pos WHERE feature = 'f_len'", PERM_SEED, N_PERM)}),
+each AS (SELECT s.feature, b, sum(q.v) / any_value(m) - (any_value(total) - sum(q.v)) / (any_value(s.n) - any_value(m)) AS rb
+         FROM size s JOIN perm ON perm.i < s.m JOIN pos q ON q.feature = s.feature AND q.i = perm.p GROUP BY s.feature, b)
+SELECT feature, m AS n, round(r, 6) AS r, round((1 + count(*) FILTER (WHERE abs(rb) >= abs(r) - 1e-12)) / {float(N_PERM + 1)}, 6) AS p_value
+FROM size JOIN each USING (feature) GROUP BY feature, m, r""")(q_perm_test_means)
 
 
 def q_smote(spark, sf):

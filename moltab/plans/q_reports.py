@@ -84,8 +84,12 @@ ORD_REG_SQL = """(WITH s AS (SELECT l_orderkey, sum(l_extendedprice) AS s1,
   UNION ALL SELECT 'm2', o_orderkey, o_totalprice / 1000, s2 / 1000 FROM orders JOIN s ON l_orderkey = o_orderkey)"""
 
 
+#: Folds of the written regression predictions; the SQL twins use the same number.
+N_REG_FOLDS = 12
+
+
 def _write_reg_folds(spark, sf):
-    v = splits.kfold(ord_reg_view(spark, sf), "row_id", 12, seed=3, by=["model"])
+    v = splits.kfold(ord_reg_view(spark, sf), "row_id", N_REG_FOLDS, seed=3, by=["model"])
     out = scratch_path(spark, "reg-folds")
     io.write_predictions(v.select("model", "fold", F.lit(0).cast("long").alias("pos"),
                                   F.col("row_id").alias("index"), "known", "prediction"), out)
@@ -117,7 +121,7 @@ def q_src_folds_reg(spark, sf):
 H_REG = sql_hash32(sql_key("row_id"), sql_lit(3), sql_lit("kfold"))
 register("src_folds_reg", f"""SELECT model, CAST(row_id AS BIGINT) AS index, round(known, 6) AS known,
   round(prediction, 6) AS prediction,
-  CAST(ntile(12) OVER (PARTITION BY model ORDER BY {H_REG}, row_id) - 1 AS INTEGER) AS fold FROM {ORD_REG_SQL}""")(
+  CAST(ntile({N_REG_FOLDS}) OVER (PARTITION BY model ORDER BY {H_REG}, row_id) - 1 AS INTEGER) AS fold FROM {ORD_REG_SQL}""")(
     q_src_folds_reg)
 
 
@@ -129,7 +133,7 @@ def q_sink_predictions(spark, sf):
 
 
 register("sink_predictions", f"""SELECT model,
-  CAST(ntile(12) OVER (PARTITION BY model ORDER BY {H_REG}, row_id) - 1 AS INTEGER) AS fold,
+  CAST(ntile({N_REG_FOLDS}) OVER (PARTITION BY model ORDER BY {H_REG}, row_id) - 1 AS INTEGER) AS fold,
   CAST(row_id AS BIGINT) AS index, round(known, 6) AS known, round(prediction, 6) AS prediction
 FROM {ORD_REG_SQL}""")(q_sink_predictions)
 
@@ -401,7 +405,7 @@ def q_union_folds(spark, sf):
     return d.groupBy("model", "fold").agg(F.count(F.lit(1)).alias("n"))
 
 
-register("union_folds", f"""SELECT model, CAST(ntile(5) OVER (PARTITION BY model ORDER BY {H_REG}, row_id) - 1 AS INTEGER) AS fold
+register("union_folds", f"""SELECT model, CAST(ntile({N_REG_FOLDS}) OVER (PARTITION BY model ORDER BY {H_REG}, row_id) - 1 AS INTEGER) AS fold
 FROM {ORD_REG_SQL}""".replace("SELECT model, CAST", "SELECT model, fold, count(*) AS n FROM (SELECT model, CAST") +
          ") GROUP BY model, fold")(q_union_folds)
 
