@@ -295,14 +295,14 @@ def hard_negatives(vectors: DataFrame, every: int = 50, k_pos: int = 5, k_neg: i
     anchors = staged(rows.where(F.col("id") % every == 0).dropDuplicates(["id", "label", "x"])
                      .select(F.xxhash64("id", "label", "x").alias("a"), "id", "label", "x"), "negatives-anchors")
     one = anchors.select("a", F.lit(0).cast("long").alias("w"), F.lit(LOWEST).alias("lo"), F.lit(HIGHEST).alias("hi"),
-                         F.aggregate("x", F.lit(0).cast("long"), lambda s, z: s + z * z).alias("own"))
-    steps = [lambda f=f: (F.col("own") * f).cast("long") for f in POSITIVE_STEPS] + [lambda: F.lit(LOWEST)]
+                         F.aggregate("x", F.lit(0.0), lambda s, z: s + z.cast("double") * z).alias("own"))
+    steps = [lambda f=f: F.least(F.col("own") * f, F.lit(2.0 ** 61)).cast("long") for f in POSITIVE_STEPS] + [lambda: F.lit(LOWEST)]
     positives = staged(_filled(rows, anchors, one, k_pos, True, steps)
                        .select("a", F.col("rank").cast("long").alias("w"), F.col("id").alias("positive_id"),
                                F.col("score").alias("positive_score")), "negatives-positives")
     p = F.col("positive_score")
     down = lambda z, n: F.expr(f"({z} - pmod({z}, {n})) div {n}")  # noqa: E731  floor division
-    windows = positives.select("a", "w", (-down(f"(-{lo_pct} * positive_score)", 100)).alias("lo"),
+    windows = positives.select("a", "w", (-down(f"({-lo_pct} * positive_score)", 100)).alias("lo"),
                                down(f"({hi_pct} * positive_score)", 100).alias("hi")).where("lo <= hi")
     steps = [lambda f=f: F.col("lo") + ((F.col("hi") - F.col("lo")) * f).cast("long") for f in WINDOW_STEPS]
     found = _filled(rows, anchors, windows, k_neg, False, steps)
