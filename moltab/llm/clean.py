@@ -12,15 +12,18 @@ from moltab.llm.op9_minhash import Near, near_duplicates
 REDACTED = "[SECRET]"
 
 
-def keep_identified(docs: DataFrame, vocab: str, least: float = 0.5) -> DataFrame:
-    """Rows whose text has a language with posterior at least ``least``."""
+def keep_identified(docs: DataFrame, vocab: str, least: float = 0.5, margin: float = 0.0) -> DataFrame:
+    """Rows whose text has a language: posterior at least ``least`` among the languages and
+    a likelihood per letter above that of letters drawn one by one (by ``margin``, in nats).
+    Null texts and texts without a letter go; repeated rows go or stay together; ties of
+    languages count for neither.  An empty table stays empty; other columns pass through."""
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     at = {n: f"c{i}" for i, n in enumerate(names)}
     model = op5_language_id.fit(docs, vocab)
     seen = op5_language_id.predict(plain, model, key=at["doc_id"], text=at["text"],
                                    keep=tuple(plain.columns))
-    ok = seen.where((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    ok = seen.where((F.col("lang_pred") != "und") & (F.col("score") >= least) & (F.col("margin") > margin))
     return ok.select(*plain.columns).toDF(*names)
 
 

@@ -10,6 +10,9 @@ Words are the runs of letters of the lower-cased text.  Likelihoods of words are
 remembered per worker, so the forward pass runs once per new word, vectorised
 over all new words of a slice.
 
+A background model (letters of all labelled languages, drawn one by one) gives every
+prediction a ``margin`` that tells text from letter noise.
+
 ``fit`` uses at most ``docs_per_lang`` labelled documents per language (those with
 the smallest hash of their id: a bounded sample); everything else covers all
 rows and whole texts.
@@ -22,8 +25,9 @@ empty result; other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +54,13 @@ class Model:
     langs: tuple[str, ...]
     pieces: tuple[str, ...]
     probs: np.ndarray
+    #: Log probabilities of letters and of the word mark over all languages, and of others.
+    letters: dict[str, float] = field(default_factory=dict)
+    unseen: float = 0.0
+
+    def background(self, word: str) -> float:
+        """Log likelihood of a word as letters drawn one by one."""
+        return sum(self.letters.get(c, self.unseen) for c in word)
 
 
 def vocabulary(path: str) -> tuple[str, ...]:
@@ -175,6 +186,42 @@ class Lattice:
 
     def expected(self, words: list[str], weights: np.ndarray, probs: np.ndarray) -> np.ndarray:
         """Expected piece counts of weighted words (``weights[word, language]``)."""
+        short = [i for i, w in enumerate(words) if len(w) <= SHORT]
+        counts = self._expected_short([words[i] for i in short], weights[short], probs) if short else np.zeros_like(probs)
+        for i, w in enumerate(words):
+            if len(w) > SHORT:
+                self._expected_long(w, weights[i], probs, counts)
+        return counts
+
+    def _expected_long(self, word: str, weights: np.ndarray, probs: np.ndarray, counts: np.ndarray) -> None:
+        """The same for one long word, in logarithms; adds to ``counts``."""
+        n, edges = len(word), []
+        code = [self.chars.get(c, 0) for c in word]
+        for start in range(n):
+            edges.append((start, start + 1, -1))
+            if word[start] in self.lone:
+                edges.append((start, start + 1, self.lone[word[start]]))
+            node = 0
+            for k in range(1, min(self.depth, n - start) + 1):
+                node = self.next[node, code[start + k - 1]]
+                if node < 0:
+                    break
+                if self.piece[node] >= 0:
+                    edges.append((start, start + k, int(self.piece[node])))
+        with np.errstate(divide="ignore"):
+            price = lambda p: np.log(UNKNOWN) if p < 0 else np.log(probs[p])
+            alpha = np.full((n + 1, probs.shape[1]), -np.inf)
+            beta = alpha.copy()
+            alpha[0] = beta[n] = 0.0
+            for a, b, p in edges:                    # by start
+                alpha[b] = np.logaddexp(alpha[b], alpha[a] + price(p))
+            for a, b, p in reversed(edges):
+                beta[a] = np.logaddexp(beta[a], beta[b] + price(p))
+            for a, b, p in edges:
+                if p >= 0:
+                    counts[p] += weights * np.exp(alpha[a] + price(p) + beta[b] - alpha[n])
+
+    def _expected_short(self, words: list[str], weights: np.ndarray, probs: np.ndarray) -> np.ndarray:
         size, edges, alpha = self.forward(words, probs)
         w = np.arange(len(words))
         beta = np.zeros_like(alpha)
@@ -236,8 +283,7 @@ def fit(docs: DataFrame, vocab: str, docs_per_lang: int = 400, rounds: int = 3,
             n: Counter = Counter()
             for l, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for x in words_of(t):
-                    if len(x) <= SHORT:
-                        n[x, l] += 1
+                    n[x, l] += 1
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k[0] for k in n], pa.string()), pa.array([k[1] for k in n], pa.string()),
                  pa.array(list(n.values()), pa.int64())], names=["word", "lang", "n"])
@@ -272,7 +318,11 @@ def fit(docs: DataFrame, vocab: str, docs_per_lang: int = 400, rounds: int = 3,
         probs = np.maximum(counts / np.maximum(counts.sum(axis=0), 1e-300), FLOOR)
         probs /= probs.sum(axis=0)
         now.unpersist()
-    return Model(langs, pieces, probs)
+    letters = {r["c"]: r["n"] for r in per_word.select(
+        F.explode(F.split("word", "")).alias("c"), sum(F.col(f"n{i}") for i in range(len(langs))).alias("n"))
+        .groupBy("c").agg(F.sum("n").alias("n")).collect() if r["c"]}       # as many rows as letters
+    all_ = sum(letters.values()) + len(letters) + 1
+    return Model(langs, pieces, probs, {c: math.log((n + 1) / all_) for c, n in letters.items()}, -math.log(all_))
 
 
 _LATTICES: dict[int, tuple[tuple, Lattice]] = {}
@@ -297,7 +347,8 @@ class WordScores(dict):
     def clear(self) -> None:
         super().clear()
         self.words: dict[str, int] = {}      # row of a word by itself
-        self.table = np.zeros((1024, len(self.model.langs) + 1))
+        # log likelihood per language, of the background, words, letters with word marks
+        self.table = np.zeros((1024, len(self.model.langs) + 3))
         self.used = 0
 
     def learn(self, tokens: set[str]) -> None:
@@ -305,15 +356,18 @@ class WordScores(dict):
         if len(self) + len(new) > MAX_WORDS:
             self.clear()
             new = tokens
-        split = {t: [WORD_MARK + t] if t.isalpha() else words_of(t) for t in new}
+        low = {t: t.lower() for t in new}
+        split = {t: [WORD_MARK + x] if x.isalpha() else words_of(t) for t, x in low.items()}
         fresh = list({w for ws in split.values() for w in ws}.difference(self.words))
         more = [t for t, ws in split.items() if len(ws) != 1]
         while self.used + len(fresh) + len(more) > len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
         if fresh:
             to = self.used + len(fresh)
-            self.table[self.used:to, :-1] = self.lattice.log_likelihood(fresh, self.model.probs)
-            self.table[self.used:to, -1] = 1
+            self.table[self.used:to, :-3] = self.lattice.log_likelihood(fresh, self.model.probs)
+            self.table[self.used:to, -3] = [self.model.background(w) for w in fresh]
+            self.table[self.used:to, -2] = 1
+            self.table[self.used:to, -1] = [len(w) for w in fresh]
             self.words.update(zip(fresh, range(self.used, to)))
             self.used = to
         for t, ws in split.items():
@@ -337,8 +391,13 @@ _SCORES: dict[int, WordScores] = {}
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text",
             keep: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id, held_out, lang_pred, score`` per row, and the columns of ``keep`` (whose
-    names must differ from those four)."""
+    """``doc_id, held_out, lang_pred, score, margin`` per row, and the columns of ``keep``
+    (whose names must differ from those five).
+
+    ``score`` compares the languages with each other and nears 1 after a few words whatever
+    the text; ``margin`` is the mean log-likelihood ratio per letter of the predicted
+    language to letters drawn one by one.  It does not grow with the text and is negative
+    for texts in none of the languages."""
     spark = docs.sparkSession
     importable(spark)
     sent = spark.sparkContext.broadcast(model)   # vocabulary x languages
@@ -351,18 +410,20 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
             _SCORES[stamp] = WordScores(sent.value)
         scores, langs = _SCORES[stamp], sent.value.langs
         for b in batches:
-            lang, best = [], []
+            lang, best, margin = [], [], []
             texts, n = [], 0
 
             def flush():
                 for s in scores.texts(texts):
-                    if not langs or s[-1] == 0:
+                    if not langs or s[-2] == 0:
                         lang.append("und")
                         best.append(0.0)
+                        margin.append(None)
                     else:
-                        i = int(s[:-1].argmax())
+                        i = int(s[:-3].argmax())
                         lang.append(langs[i])
-                        best.append(float(1.0 / np.exp(s[:-1] - s[i]).sum()))
+                        best.append(float(1.0 / np.exp(s[:-3] - s[i]).sum()))
+                        margin.append(float((s[i] - s[-3]) / s[-1]))
                 texts.clear()
 
             for t in b.column(2):
@@ -375,13 +436,13 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
                 flush()
             kept = [b.column(2) if k == text else b.column(3 + rest.index(k)) for k in keep]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(best, pa.float64()), *kept],
-                names=["doc_id", "held_out", "lang_pred", "score", *keep])
+                [b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(best, pa.float64()),
+                 pa.array(margin, pa.float64()), *kept], names=["doc_id", "held_out", "lang_pred", "score", "margin", *keep])
 
     rows = docs.select(F.col(key).cast("long").alias("__key"), in_fold(key).alias("__held"),
                        F.col(text).alias("__text"), *[F.col(f"`{k}`") for k in rest])
     kinds = dict(docs.dtypes)
-    out = "doc_id long, held_out boolean, lang_pred string, score double" + \
+    out = "doc_id long, held_out boolean, lang_pred string, score double, margin double" + \
         "".join(f", `{k}` {kinds[k]}" for k in keep)
     return rows.mapInArrow(run, out)
 
