@@ -31,7 +31,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for t in tables:
+        spark, path = t.sparkSession, t.staged_at
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def tmp(name: str) -> str:
@@ -66,7 +76,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = (large.join(low2, F.col("u") == F.col("k"))
                  .select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"),
                          F.col("m").alias("v")).distinct())
-        e = staged(small, "cc-edges")
+        old, e = e, staged(small, "cc-edges")
+        forget(old)
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             return e.groupBy("u").agg(F.min("v").alias("component")) \

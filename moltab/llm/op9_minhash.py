@@ -15,15 +15,10 @@ joined.  A table bucket is never expanded into all pairs:
 1. every member is compared with the bucket's leader (its smallest id); classes
    linked so far fall into components;
 2. buckets whose members are all in one component are done;
-3. by the triangle inequality of the Jaccard distance d, a member x not linked to
-   the leader can be linked to a member linked to it only if d(x, leader) is at most
-   twice the limit, and only to those at least d(x, leader) - limit from it: these
-   pairs are made per leader;
-4. members that are both not linked to the leader are paired inside the bucket if
-   their components differ.  Buckets with more than ``crowd`` of them outside their
-   largest component are not paired row by row: their classes are joined by an exact
-   prefix filter on the full sets (two sets of the wanted similarity share an element
-   among the rarest of each), which finds every link the bucket's pairs would give.
+3. the classes of all other buckets are joined by an exact prefix filter on their full
+   sets (two sets of the wanted similarity share an element among the rarest of each),
+   which finds every link that the buckets' pairs would give.  Classes of one component
+   do not meet there.
 
 Every link is confirmed on the full sets (64-bit shingle hashes).
 
@@ -45,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moltab.llm.common import components, importable, staged, table
+from moltab.llm.common import components, forget, importable, join_hot, staged, table
 
 
 @dataclass(frozen=True)
@@ -56,7 +51,6 @@ class Near:
     den: int = 100
     groups: int = 20
     width: int = 3
-    crowd: int = 64
 
     @property
     def limit(self) -> float:
@@ -154,11 +148,11 @@ def _sets(docs: DataFrame, ids: DataFrame, near: Near, key: str, text: str) -> D
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
-    """``a, va, b, vb, d, linked`` for distinct pairs: Jaccard distance of the full sets."""
+    """``a, va, b, vb, linked`` for distinct pairs, decided on the full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d, linked = [], []
+            linked = []
             for x, y in zip(batch.column(4), batch.column(5)):
                 x = np.frombuffer(x.as_buffer(), dtype=np.uint64)
                 y = np.frombuffer(y.as_buffer(), dtype=np.uint64)
@@ -167,16 +161,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
                 at = np.searchsorted(y, x)
                 both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
                 union = len(x) + len(y) - both
-                d.append(1.0 - both / union)
                 linked.append(near.den * both >= near.num * union)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:4], pa.array(d, pa.float64()), pa.array(linked, pa.bool_())],
-                names=["a", "va", "b", "vb", "d", "linked"])
+                [*batch.columns[:4], pa.array(linked, pa.bool_())], names=["a", "va", "b", "vb", "linked"])
 
     x = sets.select(F.col("c").alias("a"), F.col("v").alias("va"), F.col("s").alias("x"))
     y = sets.select(F.col("c").alias("b"), F.col("v").alias("vb"), F.col("s").alias("y"))
     return pairs.join(x, ["a", "va"]).join(y, ["b", "vb"]).select("a", "va", "b", "vb", "x", "y") \
-        .mapInArrow(run, "a long, va long, b long, vb long, d double, linked boolean")
+        .mapInArrow(run, "a long, va long, b long, vb long, linked boolean")
 
 
 def _pair(**columns: tuple[str, str]) -> list[Column]:
@@ -205,14 +197,15 @@ def near_duplicates(docs: DataFrame, near: Near = Near(), key: str = "doc_id",
     full = rows.where("doc_id is not null").select(F.col("set_hash").alias("h"), "doc_id", "n", "v", "subs")
     classes = staged(one.join(full, (F.col("set_hash") == F.col("h")) & (F.col("c") == F.col("doc_id")))
                      .select("c", "v", "n", "subs").dropDuplicates(["c", "v"]), "near-classes")
-    links = _links(docs, classes, near, key, text)
+    links, used = _links(docs, classes, near, key, text)
     # classes that hold versions of one id belong together
     of_id = rows.where("doc_id is not null").select(F.col("set_hash").alias("h"), "doc_id") \
         .join(one, F.col("set_hash") == F.col("h")).select("doc_id", "c")
     several = of_id.groupBy("doc_id").agg(F.min("c").alias("b"), F.max("c").alias("hi")) \
         .where("b <> hi").select("doc_id", "b")
     ties = of_id.join(several, "doc_id").where("c <> b").select(F.col("c").alias("a"), "b")
-    found = components(links.select("a", "b").unionByName(ties))
+    found = components(links.unionByName(ties))
+    forget(classes, *used)
     top = one.join(found, F.col("c") == F.col("node"), "left") \
         .select(F.col("set_hash").alias("h"), F.coalesce("component", "c").alias("component_id"))
     return rows.join(top, F.col("set_hash") == F.col("h"), "left").select(
@@ -222,166 +215,92 @@ def near_duplicates(docs: DataFrame, near: Near = Near(), key: str = "doc_id",
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _links(docs: DataFrame, classes: DataFrame, near: Near, key: str, text: str) -> DataFrame:
+def _links(docs: DataFrame, classes: DataFrame, near: Near, key: str, text: str) -> tuple[DataFrame, list[DataFrame]]:
     """Confirmed links ``a, b`` between classes, enough of them to give the components
-    of all links."""
+    of all links, and the staged tables that they are read from."""
     # collection keys that more than one class holds
     subs = classes.select("c", "v", "n", F.posexplode("subs").alias("i", "u"))
     shared = subs.groupBy("i", "u").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("i", "u")
     held = subs.join(shared, ["i", "u"]).groupBy("c", "v", "n") \
         .agg(F.array_sort(F.collect_list(F.struct("i", "u"))).alias("held"))   # at most `groups`
-    # tensor: every two of them, in order; ``path`` has a bit for each collection used
+    # tensor: every two of them, in order
     first = held.select("c", "v", "n", "held", F.posexplode("held").alias("p", "x"))
     both = first.select("c", "v", "n", "x", F.explode(F.slice(
         "held", F.col("p") + 2, F.size("held"))).alias("y"))
-    bit = lambda i: F.expr(f"shiftleft(1L, {i})")
-    keys = both.select(F.xxhash64("x.i", "x.u", "y.i", "y.u").alias("k"), F.col("y.i").alias("last"),
-                       bit("x.i").bitwiseOR(bit("y.i")).alias("path"), "c", "v", "n")
-    lead = keys.groupBy("k").agg(F.min("c").alias("a"), F.min_by("v", "c").alias("va"),
-                                 F.count(F.lit(1)).alias("m")) \
-        .where("m > 1").select("k", "a", "va")
+    keys = both.select(F.xxhash64("x.i", "x.u", "y.i", "y.u").alias("k"), "c", "v", "n")
+    lead = keys.groupBy("k").agg(F.min(F.struct("c", "v")).alias("l"), F.count(F.lit(1)).alias("m")) \
+        .where("m > 1").select("k", F.col("l.c").alias("a"), F.col("l.v").alias("va"))
     members = staged(keys.join(lead, "k"), "near-members")
     sets = staged(_sets(docs, members.select("c").distinct(), near, key, text), "near-sets")
     sizes = classes.select(F.col("c").alias("a"), F.col("v").alias("va"), F.col("n").alias("na"))
 
-    # 1. members against leaders; similarities down to twice the distance limit count later
+    # 1. members against leaders
     pairs = members.where("c <> a") \
         .select("a", "va", F.col("c").alias("b"), F.col("v").alias("vb"), "n").distinct() \
-        .join(sizes, ["a", "va"]).where(_near_size(F.col("n"), F.col("na"), 1 - 2 * near.limit)) \
-        .select("a", "va", "b", "vb").distinct()
-    led = staged(_verified(pairs, sets, near), "near-led")
-    links = led.where("linked").select("a", "b")
+        .join(sizes, ["a", "va"]).where(_near_size(F.col("n"), F.col("na"), 1 - near.limit)) \
+        .select("a", "va", "b", "vb")
+    led = staged(_verified(pairs, sets, near).where("linked").select("a", "b"), "near-led")
 
     # 2. buckets that still hold several components
-    comp = components(links)
+    comp = components(led)
     at = members.join(comp, F.col("c") == F.col("node"), "left") \
         .withColumn("comp", F.coalesce("component", "c")).drop("node", "component")
     open_ = at.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")) \
         .where("lo <> hi").select("k")
-    d = led.select("a", "va", F.col("b").alias("c"), F.col("vb").alias("v"), "d", "linked")
-    rest = staged(at.join(open_, "k").where("c <> a or v <> va").join(d, ["a", "va", "c", "v"], "left")
-                  .where(~F.coalesce(F.col("linked"), F.lit(False))).drop("linked"), "near-rest")
-
-    # 3. members near a leader, against those linked to it
-    comp_of = lambda df, c: df.join(comp, F.col(c) == F.col("node"), "left") \
-        .withColumn(f"comp_{c}", F.coalesce("component", c)).drop("node", "component")
-    edge = rest.where(F.col("d") <= 2 * near.limit + 1e-9) \
-        .select("a", "va", F.col("c").alias("x"), F.col("v").alias("vx"), F.col("n").alias("nx"),
-                F.col("d").alias("dx"), F.col("comp").alias("comp_x")).distinct()
-    core = comp_of(led.where("linked").select("a", "va", F.col("b").alias("y"), F.col("vb").alias("vy"),
-                                              F.col("d").alias("dy")), "y")
-    core = core.join(sizes.select(F.col("a").alias("y"), F.col("va").alias("vy"), F.col("na").alias("ny")),
-                     ["y", "vy"])
-    cross = edge.join(core, ["a", "va"]).where(
-        (F.col("comp_x") != F.col("comp_y")) & (F.col("dy") >= F.col("dx") - near.limit - 1e-9)
-        & _near_size(F.col("nx"), F.col("ny"), 1 - near.limit)) \
-        .select(*_pair(ab=("x", "y"), v=("vx", "vy")))
-
-    # 4. members that are not linked to their leader, against each other
-    level = rest.select("k", "last", "path", "c", "v", "n", "comp", "d")
-    by_comp = level.groupBy("k", "comp").agg(F.count(F.lit(1)).alias("m"))
-    crowd = by_comp.groupBy("k").agg(F.sum("m").alias("rows"), F.max("m").alias("most"),
-                                     F.max_by("comp", F.struct("m", "comp")).alias("major")) \
-        .where("rows > most").select("k", "major", (F.col("rows") - F.col("most") > near.crowd).alias("crowded"))
-    level = staged(level.join(crowd, "k"), "near-level")
-    inside = _inner_pairs(level.where("not crowded").join(classes.select("c", "v", "subs"), ["c", "v"]), near)
-    crowded = level.where("crowded").select("c", "v", "n", "comp").distinct()
-    if crowded.limit(1).count():
-        inside = inside.unionByName(_prefix_pairs(crowded, sets, near))
-    late = staged(_verified(cross.unionByName(inside).distinct(), sets, near).where("linked"), "near-late")
-    return links.unionByName(late.select("a", "b"))
-
-
-def _inner_pairs(rows: DataFrame, near: Near) -> DataFrame:
-    """Pairs of a bucket's rows whose components differ, each pair only in the bucket of
-    the first collections it has in common (every other bucket would repeat it).  One
-    side of a pair is outside the bucket's largest component, so rows of that
-    component never meet each other."""
-    x = rows.where("comp <> major").select("k", "last", "path", "major", F.col("c").alias("x"), F.col("v").alias("vx"), F.col("n").alias("nx"),
-                    F.col("comp").alias("cx"), F.col("d").alias("dx"), F.col("subs").alias("sx"))
-    y = rows.select("k", F.col("c").alias("y"), F.col("v").alias("vy"), F.col("n").alias("ny"), F.col("comp").alias("cy"),
-                    F.col("d").alias("dy"), F.col("subs").alias("sy"))
-    apart = F.abs(F.col("dx") - F.col("dy")) > near.limit + 1e-9   # same leader: both d are to it
-    earlier = F.lit(False)
-    for i in range(near.groups):
-        earlier = earlier | ((F.lit(i) < F.col("last")) & (F.col("path").bitwiseAND(1 << i) == 0)
-                             & (F.col("sx")[i] == F.col("sy")[i]))
-    return x.join(y, "k").where(
-        ((F.col("x") < F.col("y")) | (F.col("cy") == F.col("major"))) & (F.col("cx") != F.col("cy"))
-        & _near_size(F.col("nx"), F.col("ny"), 1 - near.limit) & ~F.coalesce(apart, F.lit(False))
-        & ~earlier).select(*_pair(ab=("x", "y"), v=("vx", "vy")))
-
-
-#: Slots of one of the two rows of the frequency table of ``_prefix_pairs``.
-SLOTS = 1 << 19
-
-
-def _slots(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    x = _mix(s)
-    return (x & np.uint64(SLOTS - 1)).view(np.int64), (x >> np.uint64(45)).view(np.int64)
-
-
-def _prefix_pairs(rows: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
-    """All pairs of ``rows`` (``c, v, n, comp``) whose components differ and whose sets can
-    have the wanted similarity.
-
-    Similarity t needs t * n common elements, so under any one order of the elements two
-    sets share one among the first ``n - ceil(t * n) + 1`` of each.  The order is that of
-    a table of counts of fixed size (elements of few sets come first; what shares a slot
-    only costs time), then of the element.  A pair's common elements in both prefixes and
-    the lengths left behind the last of them bound its overlap from above.
-    """
-    spark = rows.sparkSession
-    mine = staged(sets.join(rows.hint("shuffle_hash"), ["c", "v"]), "near-crowd")
+    rest = staged(at.join(open_, "k").select("c", "v", "n", "comp").distinct(), "near-rest")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 * SLOTS, dtype=np.int64)
-        for batch in batches:
-            for x in batch.column(0):
-                i, j = _slots(np.frombuffer(x.as_buffer(), dtype=np.uint64))
-                np.add.at(total, i, 1)
-                np.add.at(total, j + SLOTS, 1)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["i", "n"])
-
-    # at most 2 * SLOTS rows reach the driver
-    got = mine.select("s").mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
-    table_ = np.zeros(2 * SLOTS, dtype=np.int64)
-    table_[got["i"].to_numpy()] = got["n"].to_numpy()
-    sent = spark.sparkContext.broadcast(table_)
-
-    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = sent.value
-        for batch in batches:
-            for c, v, comp, x in zip(*batch.columns):
-                s = np.frombuffer(x.as_buffer(), dtype=np.uint64)
-                i, j = _slots(s)
-                f = np.minimum(often[i], often[j + SLOTS])
-                first = np.lexsort((s, f))[:len(s) + (-near.num * len(s)) // near.den + 1]
-                at = np.flatnonzero(f[first] > 1)   # what only one set holds joins nothing
-                h = s[first[at]].view(np.int64)
-                one = lambda x: pa.array(np.full(len(at), x.as_py(), dtype=np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [one(c), one(v), pa.array(np.full(len(at), len(s))), one(comp), pa.array(h), pa.array(at)],
-                    names=["c", "v", "n", "comp", "h", "p"])
+    # 3. their classes against each other
+    late, used = _prefix_links(rest, sets, near)
+    return led.unionByName(late), [members, sets, led, rest, *used]
 
-    heads = staged(mine.select("c", "v", "comp", "s").mapInArrow(
-        prefix, "c long, v long, n long, comp long, h long, p long"), "near-heads")
+
+def _prefix_links(rows: DataFrame, sets: DataFrame, near: Near) -> tuple[DataFrame, list[DataFrame]]:
+    """All links ``a, b`` between classes of ``rows`` (``c, v, n, comp``) whose components
+    differ, and the staged tables read.
+
+    Similarity t needs an overlap of ``o = ceil(t / (1 + t) * (n + m))`` of sets with n and m
+    elements.  The elements stand in the order of how many of these sets hold them, rare
+    ones first; a pair's first common element then stands at a place with at least ``o``
+    elements from there on in both sets.  So only elements among the first
+    ``n - ceil(t * n) + 1`` of a set are joined, and a pair meets only where both places
+    allow the overlap.  An element that one set holds joins nothing and only takes a place.
+    """
+    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c, v, x in zip(*batch.columns):
+                h = np.frombuffer(x.as_buffer(), dtype=np.int64)
+                one = lambda z: pa.array(np.full(len(h), z.as_py(), dtype=np.int64))  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays([one(c), one(v), pa.array(h)], names=["c", "v", "h"])
+
+    mine = sets.join(rows.select("c", "v").hint("shuffle_hash"), ["c", "v"])
+    held = staged(mine.select("c", "v", "s").mapInArrow(elements, "c long, v long, h long"), "near-elements")
+    often = staged(held.groupBy("h").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "near-often")
+    known = join_hot(held, often.withColumn("size", F.col("f")), ["h"], "size", held.count())
+    # a set's shared elements, at most its own number, rare ones first
+    n, c = F.col("n"), F.size("es")
+    reach = n + F.floor(F.lit(-near.num) * n / near.den).cast("long") + 1 - (n - c)   # unshared ones come first
+    heads = known.groupBy("c", "v").agg(F.array_sort(F.collect_list(F.struct("f", "h"))).alias("es")) \
+        .join(rows, ["c", "v"]).where(reach > 0) \
+        .select("c", "v", "n", "comp", (n - c).alias("own"), F.posexplode(F.slice("es", F.lit(1), reach.cast("int"))).alias("i", "e")) \
+        .select("c", "v", "n", "comp", (F.col("own") + F.col("i")).alias("p"), F.col("e.h").alias("h"))
+    heads = staged(heads, "near-heads")
+    # one side of a pair is outside the element's largest component, whose rows never meet
     by_comp = heads.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("m"))
     mixed = by_comp.groupBy("h").agg(F.sum("m").alias("rows"), F.max("m").alias("most"),
                                      F.max_by("comp", F.struct("m", "comp")).alias("major")) \
         .where("rows > most").select("h", "major")
-    heads = heads.join(mixed, "h")
-    side = lambda i: [F.col(n).alias(f"{n}{i}") for n in ("c", "v", "n", "comp", "p")]
-    x = heads.where("comp <> major").select("h", "major", *side(1))
-    met = x.join(heads.select("h", *side(2)), "h").where(
+    heads_of = heads.join(mixed, "h")
+    side = lambda i: [F.col(x).alias(f"{x}{i}") for x in ("c", "v", "n", "comp", "p")]
+    x = heads_of.where("comp <> major").select("h", *side(1))
+    y = heads_of.select("h", "major", *side(2))
+    left = F.least(F.col("n1") - F.col("p1"), F.col("n2") - F.col("p2"))
+    met = x.join(y, "h").where(
         ((F.col("c1") < F.col("c2")) | (F.col("comp2") == F.col("major"))) & (F.col("comp1") != F.col("comp2"))
-        & _near_size(F.col("n1"), F.col("n2"), 1 - near.limit))
-    pairs = met.select(*_pair(ab=("c1", "c2"), v=("v1", "v2"), n=("n1", "n2"), p=("p1", "p2"))) \
-        .groupBy("a", "va", "b", "vb", "na", "nb").agg(F.count(F.lit(1)).alias("m"), F.max("pa").alias("pa"),
-                                           F.max("pb").alias("pb"))
-    most = F.col("m") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
-    return pairs.where(most * (near.num + near.den) >= near.num * (F.col("na") + F.col("nb"))).select("a", "va", "b", "vb")
+        & _near_size(F.col("n1"), F.col("n2"), 1 - near.limit)
+        & (left * (near.num + near.den) >= near.num * (F.col("n1") + F.col("n2"))))
+    pairs = met.select(*_pair(ab=("c1", "c2"), v=("v1", "v2"))).distinct()
+    late = staged(_verified(pairs, sets, near).where("linked").select("a", "b"), "near-late")
+    return late, [held, often, heads, late]
 
 
 #: The contract's measure: three words, similarity 0.85.

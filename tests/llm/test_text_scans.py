@@ -176,8 +176,15 @@ def test_language_prediction(spark):
 
 # ---------------------------------------------------------------- near-duplicates
 
+def plain_shingles(text, words):
+    """Distinct shingles as tuples of words, independent of the operator's hashes."""
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    found = re.findall(r"[^\x20\x09-\x0D]+", low)
+    return {tuple(found[i:i + words]) for i in range(max(1, len(found) - words + 1))} if found else set()
+
+
 def brute_components(docs, near):
-    sets = [(d, mh.shingle_set((t or "").encode(), near.words)) for d, t in docs]
+    sets = [(d, plain_shingles(t, near.words)) for d, t in docs]
     parent = {d: d for d, _ in docs if d is not None}
 
     def find(x):
@@ -187,14 +194,14 @@ def brute_components(docs, near):
 
     for i, (a, s) in enumerate(sets):
         for b, t in sets[:i]:
-            both = len(set(s.tolist()) & set(t.tolist()))
+            both = len(s & t)
             if a is not None and b is not None and both and near.den * both >= near.num * (len(s) + len(t) - both):
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
     return {d: (len(s), find(d) if d is not None else None) for d, s in sets}
 
 
-@pytest.mark.parametrize("near", [mh.CONTRACT, mh.Near(crowd=3)])
+@pytest.mark.parametrize("near", [mh.CONTRACT, mh.Near()])
 def test_near_duplicates_equal_brute_force(spark, near):
     rnd = random.Random(5)
     word = lambda: rnd.choice("abcdefgh") + rnd.choice("aeiou") + rnd.choice("klmnop")
@@ -223,7 +230,7 @@ def test_near_duplicates_equal_brute_force(spark, near):
 def test_crowded_buckets_lose_no_link(spark):
     """Pairs at the limit are found however many others share their bucket."""
     rnd = random.Random(9)
-    near = mh.Near(words=1, num=50, den=100, groups=12, width=1, crowd=4)
+    near = mh.Near(words=1, num=50, den=100, groups=12, width=1)
     docs = []
     passage = [f"p{i}" for i in range(38)]
     for g in range(120):     # a hot passage, and pairs just at or just below the limit
@@ -232,10 +239,7 @@ def test_crowded_buckets_lose_no_link(spark):
         docs.append((2 * g + 1, " ".join(passage + own[:both] + [f"z{g}y{i}" for i in range(22 - both)])))
     want = brute_components(docs, near)
     assert len({c for _, c in want.values()}) < len(docs)
-    loose = {r.doc_id: r.component_id for r in mh.near_duplicates(
-        frame(spark, docs), mh.Near(words=1, num=50, den=100, groups=12, width=1, crowd=10**9)).collect()}
     crowded = {r.doc_id: r.component_id for r in mh.near_duplicates(frame(spark, docs), near).collect()}
-    assert crowded == loose
     # 0.3 % of the pairs at the limit agree in fewer than two of 12 collections
     assert sum(c != want[d][1] for d, c in crowded.items()) <= 2
 
