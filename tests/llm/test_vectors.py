@@ -41,10 +41,12 @@ def usable(v):
 
 def test_near_pairs_equal_brute_force(spark):
     df, rows = frame(spark)
-    good = [(i, v) for i, v, *_ in rows if i is not None and usable(v) and any(v)]
+    lost = 10 ** 12      # the row without an id links like any other
+    rows = [(lost if i is None else i, v) for i, v, *_ in rows]
+    good = [(i, v) for i, v, *_ in rows if usable(v) and any(v)]
     unit = [np.array(v, dtype=np.float64) for _, v in good]
     unit = [u / np.linalg.norm(u) for u in unit]
-    links, parent = [0] * len(good), {i: i for i, *_ in rows if i is not None}
+    links, parent = [0] * len(good), {i: i for i, *_ in rows}
 
     def find(x):
         while parent[x] != x:
@@ -57,14 +59,23 @@ def test_near_pairs_equal_brute_force(spark):
                 links[a] += 1
                 x, y = find(good[a][0]), find(good[b][0])
                 parent[max(x, y)] = min(x, y)
-    want = [(i, n, find(i)) for (i, _), n in zip(good, links)]
-    rest = [(i, v) for i, v, *_ in rows if i is None or not (usable(v) and any(v))]
+    want = [(None, n, None) if i == lost else (i, n, find(i)) for (i, _), n in zip(good, links)]
+    assert any(i is None and n > 0 for i, n, _ in want)
+    rest = [(i, v) for i, v, *_ in rows if not (usable(v) and any(v))]
     want += [(i, 0, i) for i, _ in rest]
     got = [(r.vec_id, r.n_links, r.component_id) for r in near.similar_vectors(df, pack_rows=40).collect()]
     key = lambda t: tuple(-1 if x is None else x for x in t)
     assert sorted(got, key=key) == sorted(want, key=key)
 
 
+def test_a_vector_without_an_id_joins_others(spark):
+    turn = lambda d: [float(np.cos(np.radians(d))), float(np.sin(np.radians(d)))]
+    rows = [(1, turn(0)), (2, turn(30)), (None, turn(15)), (7, turn(120)), (None, turn(200))]
+    df = spark.createDataFrame([(i, v, 0, 0, 0) for i, v in rows], SCHEMA)
+    got = {(r.vec_id, r.n_links, r.component_id, r.kept) for r in near.similar_vectors(df).collect()}
+    assert got == {(1, 1, 1, True), (2, 1, 1, False), (None, 2, None, True), (7, 0, 7, True), (None, 0, None, True)}
+
+
 def test_near_pairs_of_an_empty_table(spark):
     assert near.similar_vectors(frame(spark)[0].limit(0)).count() == 0
 
