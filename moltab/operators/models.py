@@ -18,6 +18,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from moltab.operators import gram
+from moltab.operators.splits import kfold
+
 FEATURES, LABEL = "features", "label"
 
 
@@ -229,47 +232,35 @@ class BayesRidgeModel:
 
 @dataclass
 class BayesRidgeSpec:
-    """Evidence-maximised ridge (MacKay 1992).  XᵀX, Xᵀy, yᵀy, sums and n come
-    from one distributed aggregation (Summarizer-style tree aggregate of the p×p
-    Gram matrix); the α/λ fixed point iterates on the p×p matrix on the driver."""
-    max_iter: int = 300
-    tol: float = 1e-6
+    """Evidence-maximised ridge (MacKay 1992) on the Gram matrix of one pass."""
+    params: dict = field(default_factory=dict)
 
     def fit(self, df: DataFrame, weight_col: str | None = None) -> BayesRidgeModel:
-        p = len(df.select(FEATURES).first()[0])
-        x = vector_to_array(FEATURES)
-        y = F.col(LABEL).cast("double")
-        aggs = [F.count(F.lit(1)).alias("n"), F.sum(y).alias("sy"), F.sum(y * y).alias("syy")]
-        aggs += [F.sum(x[i]).alias(f"sx{i}") for i in range(p)]
-        aggs += [F.sum(x[i] * y).alias(f"sxy{i}") for i in range(p)]
-        aggs += [F.sum(x[i] * x[j]).alias(f"g{i}_{j}") for i in range(p) for j in range(i, p)]
-        r = df.agg(*aggs).first()
-        n = r.n
-        mx = np.array([r[f"sx{i}"] for i in range(p)]) / n
-        my = r.sy / n
-        G = np.zeros((p, p))
-        for i in range(p):
-            for j in range(i, p):
-                G[i, j] = G[j, i] = r[f"g{i}_{j}"]
-        XtX = G - n * np.outer(mx, mx)
-        Xty = np.array([r[f"sxy{i}"] for i in range(p)]) - n * mx * my
-        yty = r.syy - n * my * my
-        ev, V = np.linalg.eigh(XtX)
-        ev = np.clip(ev, 0, None)
-        alpha, lam = 1.0 / max(yty / n, 1e-12), 1.0
-        for _ in range(self.max_iter):
-            A = XtX * alpha + lam * np.eye(p)
-            coef = alpha * np.linalg.solve(A, Xty)
-            gamma = float(np.sum(alpha * ev / (alpha * ev + lam)))
-            rss = yty - 2 * coef @ Xty + coef @ XtX @ coef
-            lam_new = gamma / max(coef @ coef, 1e-12)
-            alpha_new = (n - gamma) / max(rss, 1e-12)
-            done = abs(lam_new - lam) < self.tol * lam and abs(alpha_new - alpha) < self.tol * alpha
-            alpha, lam = alpha_new, lam_new
-            if done:
-                break
-        coef = alpha * np.linalg.solve(XtX * alpha + lam * np.eye(p), Xty)
-        return BayesRidgeModel(coef, float(my - mx @ coef))
+        m = gram.vector_moments(df, FEATURES, LABEL)[0]
+        coef = gram.bayes_ridge(m, **self.params)
+        return BayesRidgeModel(coef, float(m.mean[-1] - m.mean[:-1] @ coef))
+
+
+@dataclass
+class GramCvSpec:
+    """Models chosen by cross-validation on Gram matrices: one pass over the rows sums up
+    every fold, training sets are the total less a fold."""
+    kind: str
+    key: str
+    n_folds: int = 10
+    seed: int = 42
+    params: dict = field(default_factory=dict)
+
+    def fit(self, df: DataFrame, weight_col: str | None = None) -> BayesRidgeModel:
+        folds = gram.vector_moments(kfold(df, self.key, self.n_folds, seed=self.seed, out="_fold"), FEATURES, LABEL, "_fold")
+        if self.kind == "lasso_cv":
+            coef, intercept, _, _ = gram.lasso_cv(folds, **self.params)
+            return BayesRidgeModel(coef, intercept)
+        grid = self.params.get("grid") or [{}]
+        mse = gram.cross_validated(folds, lambda m: np.array([gram.bayes_ridge(m, **g) for g in grid]))
+        whole = sum(list(folds.values())[1:], list(folds.values())[0])
+        coef = gram.bayes_ridge(whole, **grid[int(mse.mean(axis=0).argmin())])
+        return BayesRidgeModel(coef, float(whole.mean[-1] - whole.mean[:-1] @ coef))
 
 
 def make(kind: str, **params):
@@ -283,7 +274,9 @@ def make(kind: str, **params):
                        length_scale=float(params.get("length_scale", 1.0)), regression=(kind == "kernel_reg"),
                        alpha=float(params.get("alpha", 0.01)))
     if kind == "bayes_ridge":
-        return BayesRidgeSpec()
+        return BayesRidgeSpec(dict(params))
+    if kind in ("lasso_cv", "bayes_ridge_cv"):
+        return GramCvSpec(kind, params.pop("key"), int(params.pop("n_folds", 10)), int(params.pop("seed", 42)), params)
     return MLlibSpec(kind, dict(params))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moltab.operators.concordance import kendall_tau
+from moltab.operators.gram import corr_pairs
 from moltab.operators.ordered import average_rank, running_sum
 from moltab.operators.permutation import permutation_test
 
@@ -61,7 +62,7 @@ def corr_pair(df: DataFrame, x: str, y: str, method: str = "pearson") -> DataFra
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str], method: str = "pearson") -> DataFrame:
-    """All pairs ``(f1, f2, r)``, ``f1 < f2`` by position, in one aggregation pass.
+    """All pairs ``(f1, f2, r)``, ``f1 < f2`` by position, from one blocked Gram pass.
 
     For Spearman every column is first replaced by its average rank.
     """
@@ -75,12 +76,7 @@ def corr_matrix(df: DataFrame, cols: Sequence[str], method: str = "pearson") ->
         for c in cols:
             d = average_rank(d, c, out=f"_r_{c}")
         d = d.select(*[F.col(f"_r_{c}").alias(c) for c in cols])
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    row = d.agg(*[pearson_agg(F.when(F.col(b).isNotNull(), F.col(a)),
-                              F.when(F.col(a).isNotNull(), F.col(b))).alias(f"p{i}")
-                  for i, (a, b) in enumerate(pairs)])
-    stack = ", ".join(f"'{a}', '{b}', p{i}" for i, (a, b) in enumerate(pairs))
-    return row.selectExpr(f"stack({len(pairs)}, {stack}) as (f1, f2, r)")
+    return corr_pairs(d, cols)
 
 
 # ------------------------------------------------------------ quantiles, describe, histogram

@@ -16,11 +16,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from moltab.operators import explain, models, resample, stats
+from moltab.operators import explain, gram, models, resample, stats
 from moltab.functions.rng import sql_hash32, sql_key, sql_lit
 from moltab.operators.neighbors import knn
 from moltab.operators.permutation import permutation_test, sql_permuted
-from moltab.operators.splits import class_weights, split_random
+from moltab.operators.splits import class_weights, kfold, split_random
 from moltab.plans import training
 from moltab.plans.common import round_doubles
 from moltab.plans.registry import register, table
@@ -80,7 +80,7 @@ CLF_MODELS = {
 REG_MODELS = {
     "m_dtree_reg": ("dtree_reg", [{"max_depth": 3}, {"max_depth": 5}]),
     "m_forest_reg": ("forest_reg", [{"n_estimators": 10, "max_depth": 4}]),
-    "m_lasso_cv": ("lasso", [{"alpha": 0.001}, {"alpha": 0.01}, {"alpha": 0.1}]),
+    "m_lasso_one_alpha": ("lasso", [{"alpha": 0.001}, {"alpha": 0.01}, {"alpha": 0.1}]),
     "m_knn_reg": ("knn_reg", [{"n_neighbors": 5}]),
     "m_kernel_reg": ("kernel_reg", [{"n_components": 30, "length_scale": 2.0}]),
     "m_bayes_ridge": ("bayes_ridge", [{}]),
@@ -109,6 +109,67 @@ for _id, (_kind, _grid) in REG_MODELS.items():
     register(_id)(_reg_query(_kind, _grid))
 
 
+def _gram_query(kind, **params):
+    def q(spark, sf):
+        tr, te = _reg_split(spark, sf)
+        model = models.make(kind, key="o_orderkey", n_folds=10, **params).fit(tr)
+        return model.transform(te).select("o_orderkey", F.col("label").alias("known"), "prediction")
+    return q
+
+
+#: The whole path of 100 alphas in 10 folds, and a grid of priors, each from one Gram pass.
+register("m_lasso_cv")(_gram_query("lasso_cv", n_alphas=100))
+PRIORS = [{"alpha_1": a, "lambda_1": b} for a in (1e-6, 1e-3, 1.0) for b in (1e-6, 1e-3, 1.0)]
+register("m_bayes_ridge_grid")(_gram_query("bayes_ridge_cv", grid=PRIORS))
+
+_REG_SQL = """(SELECT o_orderkey, n_lines, qty, disc, tax, price_k, o_totalprice / 1e5 AS target FROM orders JOIN (
+  SELECT l_orderkey AS o_orderkey, count(*)::DOUBLE AS n_lines, sum(l_quantity) / 100 AS qty, avg(l_discount) * 10 AS disc,
+    avg(l_tax) * 10 AS tax, sum(l_extendedprice) / 1e5 AS price_k FROM lineitem GROUP BY l_orderkey) USING (o_orderkey))"""
+
+
+def q_lasso_cv_path(spark, sf):
+    """Cross-validated errors of the whole path for one feature, where soft thresholding is
+    the exact answer."""
+    d = kfold(reg_data(spark, sf), "o_orderkey", 10, seed=42, out="_fold")
+    _, _, _, path = gram.lasso_cv(gram.moments(d, ["price_k", "target"], fold="_fold"))
+    out = spark.createDataFrame(path, "alpha double, fold int, mse double")
+    return round_doubles(out.groupBy(F.round("alpha", 9).alias("alpha")).agg(F.avg("mse").alias("mse")))
+
+
+register("lasso_cv_path", f"""WITH d AS (SELECT price_k AS x, target AS y, ntile(10) OVER (
+    ORDER BY {sql_hash32(sql_key("o_orderkey"), sql_lit(42), sql_lit("kfold"))}, o_orderkey) AS fold FROM {_REG_SQL}),
+whole AS (SELECT abs(covar_pop(x, y)) AS top FROM d),
+alphas AS (SELECT top * power(0.001, k / 99.0) AS alpha FROM whole, (SELECT unnest(range(100)) AS k)),
+train AS (SELECT f AS fold, covar_pop(x, y) AS c, var_pop(x) AS v, avg(x) AS mx, avg(y) AS my
+          FROM d, (SELECT unnest(range(1, 11)) AS f) WHERE d.fold <> f GROUP BY f),
+w AS (SELECT fold, alpha, sign(c) * greatest(abs(c) - alpha, 0) / v AS w, mx, my FROM train, alphas),
+mse AS (SELECT fold, alpha, avg(power(d.y - w.my - w.w * (d.x - w.mx), 2)) AS mse FROM w JOIN d USING (fold) GROUP BY fold, alpha)
+SELECT round(round(alpha, 9), 6) AS alpha, round(avg(mse), 6) AS mse FROM mse GROUP BY round(alpha, 9)""")(q_lasso_cv_path)
+
+
+def q_pca_whiten(spark, sf):
+    d = reg_data(spark, sf)
+    fitted = gram.pca(d, ["qty", "price_k"], keep=2, whiten=True, standardise=True)
+    return round_doubles(fitted.transform(d).select("o_orderkey", "pc1", "pc2"))
+
+
+register("pca_whiten", f"""WITH d AS (SELECT o_orderkey, qty, price_k FROM {_REG_SQL}),
+m AS (SELECT avg(qty) AS a, stddev_samp(qty) AS sa, avg(price_k) AS b, stddev_samp(price_k) AS sb, corr(qty, price_k) AS r FROM d)
+SELECT o_orderkey, round(((qty - a) / sa + (price_k - b) / sb) / sqrt(2 * (1 + r)), 6) AS pc1,
+  round(((qty - a) / sa - (price_k - b) / sb) / sqrt(2 * (1 - r)), 6) AS pc2 FROM d, m""")(q_pca_whiten)
+
+
+def q_vif_three(spark, sf):
+    return round_doubles(training.vif(reg_data(spark, sf), ["n_lines", "qty", "price_k"], 5.0))
+
+
+register("vif_three", f"""WITH r AS (SELECT corr(n_lines, qty) AS ab, corr(n_lines, price_k) AS ac, corr(qty, price_k) AS bc FROM {_REG_SQL}),
+v AS (SELECT *, 1 + 2 * ab * ac * bc - ab * ab - ac * ac - bc * bc AS det FROM r),
+l AS (SELECT 'n_lines' AS feature, (1 - bc * bc) / det AS vif FROM v UNION ALL SELECT 'qty', (1 - ac * ac) / det FROM v
+      UNION ALL SELECT 'price_k', (1 - ab * ab) / det FROM v)
+SELECT feature, round(vif, 6) AS vif, vif <= 5 AS keep FROM l""")(q_vif_three)
+
+
 def q_split_clf(spark, sf):
     tr, te = _clf_split(spark, sf)
     out = None
@@ -127,7 +188,7 @@ register("split_clf")(q_split_clf)
 def q_split_reg(spark, sf):
     from moltab.operators.metrics import metrics_regression
     tr, te = _reg_split(spark, sf)
-    kind, grid = REG_MODELS["m_lasso_cv"]
+    kind, grid = REG_MODELS["m_lasso_one_alpha"]
     _, _, model = training.split_test(tr, te, "o_orderkey", kind, grid, n_folds=3)
     both = (model.transform(tr).withColumn("set", F.lit("train"))
             .unionByName(model.transform(te).withColumn("set", F.lit("test"))))

@@ -16,7 +16,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moltab.operators import metrics, models
+from moltab.operators import gram, metrics, models
 from moltab.operators.curves import curve_summary
 from moltab.operators.splits import kfold
 
@@ -251,12 +251,9 @@ def pca(data: DataFrame, feature_cols: Sequence[str], k: int | None = None):
 
 def vif(data: DataFrame, feature_cols: Sequence[str], threshold: float = 10.0) -> DataFrame:
     """Variance inflation factors: diagonal of the inverse correlation matrix
-    (``Correlation.corr``: one distributed pass; p×p inverse on the driver).
+    (one blocked Gram pass; p×p solves on the driver).
     ``(feature, vif, keep)`` with keep = vif ≤ threshold."""
-    from pyspark.ml.stat import Correlation
     spark = data.sparkSession
-    va = VectorAssembler(inputCols=list(feature_cols), outputCol="_v", handleInvalid="skip")
-    corr = Correlation.corr(va.transform(data), "_v").first()[0].toArray()
-    inv = np.linalg.pinv(corr)
-    rows = [(f, float(inv[i, i]), bool(inv[i, i] <= threshold)) for i, f in enumerate(feature_cols)]
+    rows = [(f, v, v is not None and v <= threshold) for f, v in
+            zip(feature_cols, gram.variance_inflation(data, list(feature_cols)))]
     return spark.createDataFrame(rows, "feature string, vif double, keep boolean")
