@@ -163,7 +163,8 @@ class FeaturePrepModel:
             d = self.minmax.transform(d)
         if self.onehot is not None:
             d = self.onehot.transform(d)
-        return d.select(*key, *self.feature_names)
+        # category values make names with any characters
+        return d.select(*key, *[F.col("`" + n.replace("`", "``") + "`") for n in self.feature_names])
 
 
 def _bools_to_int(df: DataFrame) -> DataFrame:

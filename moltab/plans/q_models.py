@@ -24,6 +24,8 @@ from moltab.operators.splits import class_weights, kfold, split_random
 from moltab.plans import training
 from moltab.plans.common import round_doubles
 from moltab.plans.registry import register, table
+from moltab.session import scratch_path
+from moltab.sources.models import load_model, save_model
 
 CLF_FEATS = ["f_len", "f_en", "f_fr", "f_de", "f_digits", "f_lines", "f_upper"]
 REG_FEATS = ["n_lines", "qty", "disc", "tax", "price_k"]
@@ -508,19 +510,34 @@ register("shap_sampled")(q_shap_sampled)
 
 
 def q_model_save(spark, sf):
-    from pyspark.ml.classification import LogisticRegressionModel
-
-    from moltab.session import scratch_path
-    from moltab.sources import io
     tr, te = _clf_split(spark, sf)
-    m = models.make("logreg", C=1.0).fit(tr)
-    path = io.save_model(m.model, scratch_path(spark, "model"))
-    back = LogisticRegressionModel.load(path)
-    return back.transform(te).select("doc_id", F.col("prediction").cast("int").alias("prediction"))
+    path = save_model(models.make("logreg", C=1.0).fit(tr), scratch_path(spark, "model"))
+    return load_model(path).transform(te).select("doc_id", F.col("prediction").cast("int").alias("prediction"))
 
 
 register("model_save")(q_model_save)
 
+SAVED_KINDS = {"logreg": {"C": 1.0}, "forest_clf": {"n_estimators": 5}, "adaboost": {"n_estimators": 3},
+               "kernel_clf": {"n_components": 20, "length_scale": 2.0}, "knn_clf": {"n_neighbors": 3}, "bayes_ridge": {}}
+
+
+def q_model_load(spark, sf):
+    """Rows whose prediction changes when a model is saved and loaded, per kind."""
+    tr, te = _clf_split(spark, sf)
+    out = None
+    for kind, params in SAVED_KINDS.items():
+        model = models.make(kind, **params).fit(tr)
+        back = load_model(save_model(model, scratch_path(spark, "model")))
+        one, two = (m.transform(te).select("doc_id", F.col("prediction").alias(n)) for m, n in ((model, "p"), (back, "q")))
+        part = one.join(two, "doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("p").eqNullSafe(F.col("q"))).alias("differ")) \
+            .withColumn("kind", F.lit(kind))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+register("model_load", "SELECT kind, ceil(count(*) * 0.2)::BIGINT AS n, 0::BIGINT AS differ FROM documents JOIN labels USING (doc_id), (VALUES "
+         + ", ".join(f"('{k}')" for k in SAVED_KINDS) + ") t(kind) GROUP BY kind")(q_model_load)
+
 
 def q_sink_grid(spark, sf):
     from moltab.session import scratch_path

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from moltab.functions.rng import sql_hash32, sql_key, sql_lit
-from moltab.operators import scaling, splits
+from moltab.operators import scaling, sparse, splits
 from moltab.plans.common import round_doubles
 from moltab.plans.registry import register, table
 
@@ -93,6 +93,21 @@ register("onehot_fit", """SELECT o_orderkey,
   CAST(o_orderstatus = 'O' AS INTEGER) AS o_orderstatus_O FROM orders""")(q_onehot)
 
 
+def q_onehot_long(spark, sf):
+    """A column of very many categories, encoded without a column per category."""
+    o = table(spark, sf, "orders")
+    train = o.where(F.col("o_orderstatus") != "P")
+    cols = ["o_custkey", "o_orderpriority", "o_orderstatus"]
+    return sparse.onehot_long(o, "o_orderkey", cols, sparse.onehot_dictionary(train, cols))
+
+
+register("onehot_long", """WITH l AS (SELECT o_orderkey, o_orderstatus AS s, unnest(['o_custkey', 'o_orderpriority', 'o_orderstatus']) AS feature,
+  unnest([o_custkey::VARCHAR, o_orderpriority, o_orderstatus]) AS value FROM orders),
+d AS (SELECT feature, value, row_number() OVER (ORDER BY feature, value) - 1 AS index
+      FROM (SELECT DISTINCT feature, value FROM l WHERE s <> 'P'))
+SELECT o_orderkey, feature, index FROM l JOIN d USING (feature, value)""")(q_onehot_long)
+
+
 def q_feature_prep(spark, sf):
     c = table(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_mktsegment",
                                             (F.col("c_acctbal") > 0).alias("positive"))

@@ -153,18 +153,5 @@ def write_predictions(df: DataFrame, path: str, overwrite: bool = False, fmt: st
 
 
 def write_metrics(df: DataFrame, path: str, fmt: str = "json", overwrite: bool = False) -> str:
-    """One record per model (``sink_metrics``); metric tables are tiny, one file."""
-    return write_table(df.coalesce(1), path, fmt=fmt, overwrite=overwrite)
-
-
-def save_model(model, path: str, overwrite: bool = False) -> str:
-    w = model.write()
-    if overwrite:
-        w = w.overwrite()
-    w.save(path)
-    return path
-
-
-def load_model(path: str):
-    from pyspark.ml import PipelineModel
-    return PipelineModel.load(path)
+    """One record per model (``sink_metrics``)."""
+    return write_table(df, path, fmt=fmt, overwrite=overwrite)
