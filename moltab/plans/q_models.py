@@ -562,3 +562,31 @@ register("smoten", """WITH c AS (SELECT quality, count(*) AS n FROM labels JOIN
 m AS (SELECT max(n) AS mx FROM c)
 SELECT quality, false AS is_synthetic, n FROM c
 UNION ALL SELECT quality, true, mx - n FROM c, m WHERE mx > n""")(q_smoten)
+
+
+WORKFLOW_MODELS = {"logreg": ("logreg", [{"C": 1.0}]), "dtree": ("dtree_clf", [{"max_depth": 3}])}
+
+
+def _workflow(spark, sf):
+    from moltab.plans.workflow import cross_validate
+    return cross_validate(clf_data(spark, sf), "doc_id", CLF_FEATS, "quality", WORKFLOW_MODELS, n_folds=10, scale="minmax")
+
+
+def q_kfold_clf_folds(spark, sf):
+    """Ten folds, two models, the scaler fitted per fold: every row is predicted once."""
+    p = _workflow(spark, sf).predictions
+    return p.groupBy("model", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum("known").cast("long").alias("positives"))
+
+
+register("kfold_clf_folds", f"""WITH d AS (SELECT doc_id, quality, ntile(10) OVER (
+    ORDER BY {sql_hash32(sql_key("doc_id"), sql_lit(42), sql_lit("outer"))}, doc_id) - 1 AS fold
+  FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL)
+SELECT model, fold::INT AS fold, count(*) AS n, sum(quality)::BIGINT AS positives
+FROM d, (VALUES ('logreg'), ('dtree')) m(model) GROUP BY model, fold""")(q_kfold_clf_folds)
+
+
+def q_kfold_clf_summary(spark, sf):
+    return _workflow(spark, sf).summary()
+
+
+register("kfold_clf_summary")(q_kfold_clf_summary)
