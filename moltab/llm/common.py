@@ -2,22 +2,13 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moltab.session import scratch_path
-
-
-def importable(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it (on a
-    cluster without a shared checkout, submit it with ``--py-files``)."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), root]))
+from moltab.operators.joins import join_hot  # noqa: F401  (used by the operators)
+from moltab.session import importable, scratch_path  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,17 +77,3 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
                              .distinct())
         before = now
     raise RuntimeError(f"components did not settle within {max_rounds} rounds")
-
-
-#: A key with more than one in so many of all rows is hot; there are at most so many.
-HOT = 1024
-
-
-def join_hot(rows: DataFrame, one: DataFrame, on: list[str], size: str, total: int) -> DataFrame:
-    """Inner join of ``rows`` with ``one``, which is unique on ``on`` and whose column
-    ``size`` says how many of the ``total`` rows have the key.  Keys with more than one in
-    ``HOT`` rows are broadcast (fewer than ``HOT`` rows, whatever the data), so no task
-    gets such a key as a whole; the others are joined as Spark sees fit."""
-    hot = F.col(size) * HOT > F.lit(total)
-    return rows.join(F.broadcast(one.where(hot).drop(size)), on) \
-        .unionByName(rows.join(one.where(~hot).drop(size), on))
