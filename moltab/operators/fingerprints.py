@@ -89,18 +89,35 @@ def ngram_counts(df: DataFrame, key: str, text: str, n_max: int = 3, n_bits: int
     return ex.groupBy(key, "bit").agg(F.count(F.lit(1)).alias("count"))
 
 
+def _count_map(rows: DataFrame, key: str, features: Column, n_bits: int, out: str) -> DataFrame:
+    """``(key, out MAP<INT, BIGINT>)``: bucket and number of features in it, per row and
+    without a shuffle; the runs of the sorted buckets are the entries."""
+    d = rows.select(key, F.array_sort(F.transform(features, lambda g: bucket_of(g, n_bits))).alias("_b"))
+    b = F.col("_b")
+    at = lambda i: F.element_at(b, i)
+    d = d.select(key, "_b", F.when(F.size(b) > 0, F.filter(
+        F.sequence(F.lit(1), F.size(b)), lambda i: F.when(i == 1, F.lit(True)).otherwise(at(i) != at(i - 1))))
+        .otherwise(F.array().cast("array<int>")).alias("_first"))
+    first = F.col("_first")
+    ends = F.when(F.size(first) > 0, F.concat(F.slice(first, F.lit(2), F.size(first)), F.array(F.size(b) + 1))) \
+        .otherwise(first)
+    return d.select(key, F.map_from_arrays(
+        F.transform(first, at), F.zip_with(ends, first, lambda x, y: (x - y).cast("long"))).alias(out))
+
+
+def ngram_count_map(df: DataFrame, key: str, text: str, n_max: int = 3, n_bits: int = 1024,
+                    pattern: str = SMILES_PATTERN, out: str = "counts") -> DataFrame:
+    """Count form of :func:`ngram_fp`: ``(key, counts)``; a null text has a null map."""
+    return _count_map(_with_tokens(df, key, text, pattern), key, ngram_features(_tok(), n_max), n_bits, out)
+
+
 def fp_nonzero(counts_long: DataFrame, key: str) -> DataFrame:
     """``GetNonzeroElements``: ``(key, counts MAP<INT, BIGINT>)``."""
     return counts_long.groupBy(key).agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("bit", "count")))).alias("counts"))
 
 
-def pair_fp(df: DataFrame, key: str, text: str, max_distance: int = 3, n_bits: int = 1024,
-            pattern: str = SMILES_PATTERN, out: str = "bits") -> DataFrame:
-    """Atom-pair analogue: every (token_i, token_j, j − i) with 0 < j − i ≤ max_distance,
-    order-insensitive in the two tokens, hashed into ``n_bits``."""
-    tok = _tok()
-
+def _pair_features(tok: Column, max_distance: int) -> Column:
     def pair_at(d):
         # one-argument lambda: transform() treats a second parameter as the index
         return lambda i: F.concat_ws("|", F.least(F.element_at(tok, i), F.element_at(tok, i + d)),
@@ -109,20 +126,42 @@ def pair_fp(df: DataFrame, key: str, text: str, max_distance: int = 3, n_bits: i
 
     feats = [F.when(F.size(tok) > d, F.transform(F.sequence(F.lit(1), F.size(tok) - d), pair_at(d)))
              .otherwise(F.array().cast("array<string>")) for d in range(1, max_distance + 1)]
-    d0 = _with_tokens(df, key, text, pattern)
-    return d0.select(key, _bits(F.flatten(F.array(*feats)), n_bits).alias(out))
+    return F.flatten(F.array(*feats))
+
+
+def _path_features(tok: Column, length: int) -> Column:
+    return F.when(F.size(tok) >= length, F.transform(
+        F.sequence(F.lit(1), F.size(tok) - length + 1),
+        lambda i: F.least(_run(tok, i, range(length)), _run(tok, i, range(length - 1, -1, -1)))
+    )).otherwise(F.array().cast("array<string>"))
+
+
+def pair_fp(df: DataFrame, key: str, text: str, max_distance: int = 3, n_bits: int = 1024,
+            pattern: str = SMILES_PATTERN, out: str = "bits") -> DataFrame:
+    """Atom-pair analogue: every (token_i, token_j, j − i) with 0 < j − i ≤ max_distance,
+    order-insensitive in the two tokens, hashed into ``n_bits``."""
+    d = _with_tokens(df, key, text, pattern)
+    return d.select(key, _bits(_pair_features(_tok(), max_distance), n_bits).alias(out))
+
+
+def pair_counts(df: DataFrame, key: str, text: str, max_distance: int = 3, n_bits: int = 1024,
+                pattern: str = SMILES_PATTERN, out: str = "counts") -> DataFrame:
+    """Count form of :func:`pair_fp`: ``(key, counts MAP<INT, BIGINT>)``."""
+    return _count_map(_with_tokens(df, key, text, pattern), key, _pair_features(_tok(), max_distance), n_bits, out)
 
 
 def path_fp(df: DataFrame, key: str, text: str, length: int = 4, n_bits: int = 1024,
             pattern: str = SMILES_PATTERN, out: str = "bits") -> DataFrame:
     """Torsion analogue: paths of ``length`` consecutive tokens, direction-insensitive
     (the smaller of the path text and its reverse), hashed into ``n_bits``."""
-    tok = _tok()
-    paths = F.when(F.size(tok) >= length, F.transform(
-        F.sequence(F.lit(1), F.size(tok) - length + 1),
-        lambda i: F.least(_run(tok, i, range(length)), _run(tok, i, range(length - 1, -1, -1)))
-    )).otherwise(F.array().cast("array<string>"))
-    return _with_tokens(df, key, text, pattern).select(key, _bits(paths, n_bits).alias(out))
+    d = _with_tokens(df, key, text, pattern)
+    return d.select(key, _bits(_path_features(_tok(), length), n_bits).alias(out))
+
+
+def path_counts(df: DataFrame, key: str, text: str, length: int = 4, n_bits: int = 1024,
+                pattern: str = SMILES_PATTERN, out: str = "counts") -> DataFrame:
+    """Count form of :func:`path_fp`: ``(key, counts MAP<INT, BIGINT>)``."""
+    return _count_map(_with_tokens(df, key, text, pattern), key, _path_features(_tok(), length), n_bits, out)
 
 
 def pattern_fp(df: DataFrame, key: str, text: str, dictionary: Sequence[tuple] = FRAGMENT_KEYS,

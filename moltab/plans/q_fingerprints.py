@@ -106,13 +106,19 @@ register("ngram_fp_documents", f"""SELECT doc_id, CAST(len(b) AS INTEGER) AS n_o
 FROM {_sql_lead_feats('documents', 'doc_id', 'text', ["w0", "w0 || ' ' || w1", "w0 || ' ' || w1 || ' ' || w2"], 1024)}""")(q_ngram_fp_docs)
 
 
+def _entries(counts: str = "counts"):
+    return F.array_join(F.transform(F.map_entries(counts), lambda e: F.concat_ws(":", e["key"], e["value"])), ",")
+
+
+def _with_words(df, text: str, least: int):
+    """Rows that have a feature: a filter on the map itself would be evaluated before it."""
+    return df.where(F.regexp_count(text, F.lit(WORD_PATTERN)) >= least)
+
+
 def q_fp_nonzero(spark, sf):
-    c = fp.ngram_counts(table(spark, sf, "part"), "p_partkey", "p_name", n_max=2, n_bits=64,
-                        pattern=WORD_PATTERN)
-    m = fp.fp_nonzero(c, "p_partkey")
-    return m.select("p_partkey", F.array_join(F.transform(F.map_entries("counts"),
-                                                          lambda e: F.concat_ws(":", e["key"], e["value"])),
-                                              ",").alias("counts"))
+    p = _with_words(table(spark, sf, "part"), "p_name", 1)
+    m = fp.ngram_count_map(p, "p_partkey", "p_name", n_max=2, n_bits=64, pattern=WORD_PATTERN)
+    return m.select("p_partkey", _entries().alias("counts"))
 
 
 register("fp_nonzero", f"""SELECT p_partkey, string_agg(bit || ':' || n, ',' ORDER BY bit) AS counts FROM
@@ -139,6 +145,19 @@ register("pair_fp", f"""SELECT p_partkey, CAST(len(b) AS INTEGER) AS n_on, array
    FROM part)""")(q_pair_fp)
 
 
+def q_pair_counts(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("t"))
+    m = fp.pair_counts(_with_words(p, "t", 2), "p_partkey", "t", max_distance=3, n_bits=512, pattern=WORD_PATTERN)
+    return m.select("p_partkey", _entries().alias("counts"))
+
+
+register("pair_fp_counts", f"""SELECT p_partkey, string_agg(bit || ':' || n, ',' ORDER BY bit) AS counts FROM
+  (SELECT p_partkey, bit, count(*) AS n FROM
+    (SELECT p_partkey, unnest(list_transform({_sql_pairs(_sql_tokens("concat_ws(' ', p_name, p_type, p_brand)"), 3)},
+        lambda g: {sql_bucket_of('g', 512)})) AS bit FROM part)
+   GROUP BY ALL) GROUP BY p_partkey""")(q_pair_counts)
+
+
 def q_path_fp(spark, sf):
     f = fp.path_fp(table(spark, sf, "documents"), "doc_id", "text", length=4, n_bits=1024, pattern=WORD_PATTERN)
     return f.select("doc_id", F.size("bits").alias("n_on"), F.md5(_csv("bits")).alias("bits_md5"))
@@ -149,6 +168,19 @@ def _sql_paths(tok: str, L: int) -> str:
             f"array_to_string(list_reverse({tok}[i:i + {L - 1}]), ' ')))")
 
 
+def q_path_counts(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("t"))
+    m = fp.path_counts(_with_words(p, "t", 3), "p_partkey", "t", length=3, n_bits=128, pattern=WORD_PATTERN)
+    return m.select("p_partkey", _entries().alias("counts"))
+
+
+register("path_fp_counts", f"""SELECT p_partkey, string_agg(bit || ':' || n, ',' ORDER BY bit) AS counts FROM
+  (SELECT p_partkey, bit, count(*) AS n FROM
+    (SELECT p_partkey, unnest(list_transform({_sql_paths(_sql_tokens("concat_ws(' ', p_name, p_type, p_brand)"), 3)},
+        lambda g: {sql_bucket_of('g', 128)})) AS bit FROM part)
+   GROUP BY ALL) GROUP BY p_partkey""")(q_path_counts)
+
+
 register("path_fp", f"""SELECT doc_id, CAST(len(b) AS INTEGER) AS n_on, md5(array_to_string(b, ',')) AS bits_md5
 FROM {_sql_lead_feats('documents', 'doc_id', 'text',
                       ["least(w0 || ' ' || w1 || ' ' || w2 || ' ' || w3, w3 || ' ' || w2 || ' ' || w1 || ' ' || w0)"], 1024)}""")(q_path_fp)

@@ -129,6 +129,30 @@ register("metrics_multilabel", SQL_MULTI_COUNTS +
     q_metrics_multilabel)
 
 
+_CLASS_PROBS = {"A": "p_a", "N": "p_n", "R": "p_r"}
+
+
+def q_metrics_multilabel_areas(spark, sf):
+    """ROC and precision-recall areas of every class by its own probability."""
+    from moltab.operators.curves import roc_pr_all_classes
+    li = table(spark, sf, "lineitem").select(
+        "l_linestatus", F.col("l_returnflag").alias("known"), (F.col("l_quantity") / 50).alias("p_a"),
+        (1 - F.col("l_quantity") / 50).alias("p_n"), F.col("l_discount").alias("p_r"))
+    return round_doubles(roc_pr_all_classes(li, "known", _CLASS_PROBS, by=["l_linestatus"]))
+
+
+def _class_areas_sql() -> str:
+    src = "(" + " UNION ALL ".join(
+        f"SELECT l_linestatus, '{c}' AS class, {e} AS score, (l_returnflag = '{c}')::INT AS known FROM lineitem"
+        for c, e in (("A", "l_quantity / 50"), ("N", "1 - l_quantity / 50"), ("R", "l_discount"))) + ")"
+    areas = sql_curve_summary(sql_curve_cte(src, "known", "score", ["l_linestatus", "class"]), ["l_linestatus", "class"])
+    return f"""SELECT l_linestatus, class, round(roc_auc, 6) AS roc_auc, round(pr_auc, 6) AS pr_auc,
+  round(avg_precision, 6) AS avg_precision FROM {areas}"""
+
+
+register("metrics_multilabel_areas", _class_areas_sql())(q_metrics_multilabel_areas)
+
+
 def q_accuracy(spark, sf):
     cm = metrics.confusion_multilabel(mc_view(spark, sf), "known", "prediction", by=["l_linestatus"])
     return round_doubles(metrics.multiclass_accuracy(cm, by=["l_linestatus"]))

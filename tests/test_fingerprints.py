@@ -53,3 +53,23 @@ def test_similarity_search_one_reference(spark):
     assert got == {0: 1.0, 1: 2 / 3}
     with pytest.raises(ValueError):
         sim.similarity_search(df, df, "id")
+
+
+def test_count_maps_agree_with_long_counts(spark):
+    from moltab.operators import fingerprints as fp
+    texts = [(1, "a b a b a b c"), (2, "a"), (3, ""), (4, None), (5, "b a"), (6, "x " * 300)]
+    df = spark.createDataFrame(texts, "id long, t string")
+    word = "[a-z]+"
+    maps = {r.id: r.counts for r in fp.ngram_count_map(df, "id", "t", 2, 32, word).collect()}
+    long = {}
+    for r in fp.ngram_counts(df, "id", "t", 2, 32, word).collect():
+        long.setdefault(r.id, {})[r.bit] = r["count"]
+    assert {k: v for k, v in maps.items() if v} == long
+    assert maps[3] == {} and not maps[4]
+    for counts, bits in ((fp.pair_counts(df, "id", "t", 2, 64, word), fp.pair_fp(df, "id", "t", 2, 64, word)),
+                         (fp.path_counts(df, "id", "t", 3, 64, word), fp.path_fp(df, "id", "t", 3, 64, word))):
+        on = {r.id: list(r.bits or []) for r in bits.collect()}
+        got = {r.id: r.counts or {} for r in counts.collect()}
+        assert {k: sorted(v) for k, v in got.items()} == on
+    pairs = {r.id: sum((r.counts or {}).values()) for r in fp.pair_counts(df, "id", "t", 2, 64, word).collect()}
+    assert pairs == {1: 6 + 5, 2: 0, 3: 0, 4: 0, 5: 1, 6: 299 + 298}
