@@ -52,47 +52,69 @@ def count_tanimoto_expr(a: str | Column, b: str | Column) -> Column:
     return F.try_divide(smin, sa + sb - smin)
 
 
-def _rarity_map(frames: list[DataFrame], bits: str) -> tuple[Column, int]:
-    """bit → rank (0 = rarest) over all given frames, as a literal map, and the
-    number of distinct bits."""
+#: Bits of a mask word (a BIGINT without its sign), and the words that a set's mask may take
+#: as columns; wider sets are compared as arrays.
+WORD, MOST_WORDS = 63, 64
+#: Largest bit number for which ranks are looked up by position.
+MOST_POSITIONS = 1 << 16
+
+
+def _ranks(frames: list[DataFrame], bits: str) -> tuple:
+    """``(lookup, n)``: the rank of a bit (0 = rarest over all given frames) as a function
+    on columns, and the number of distinct bits."""
     ex = None
     for f in frames:
         e = f.select(F.explode(bits).alias("bit"))
         ex = e if ex is None else ex.unionByName(e)
-    freq = ex.groupBy("bit").agg(F.count(F.lit(1)).alias("n")).collect()
-    order = sorted(((r["n"], r["bit"]) for r in freq))
-    pairs = []
-    for rank, (_, bit) in enumerate(order):
-        pairs += [F.lit(int(bit)), F.lit(rank)]
-    if not pairs:
-        return F.create_map().cast("map<int,int>"), 0
-    return F.create_map(*pairs), len(order)
-
-
-def _mask(ranks: Column) -> Column:
-    """Ranks < 64 packed into one BIGINT bit mask."""
-    return F.aggregate(ranks, F.lit(0).cast("long"),
-                       lambda acc, r: acc.bitwiseOR(_bit(r)))
-
-
-def _bit(pos: Column) -> Column:
-    """1 << pos as BIGINT (column shift amount)."""
-    return F.call_function("shiftleft", F.lit(1).cast("long"), pos)
-
-
-def _prepare(df: DataFrame, key: str, bits: str, rmap: Column, t_jac: float, side: str,
-             packed: bool = False) -> DataFrame:
-    ranks = F.array_sort(F.transform(F.col(bits), lambda b: rmap[b]))
-    d = df.select(F.col(key).alias(f"{side}_key"), ranks.alias(f"{side}_r"),
+    freq = ex.groupBy("bit").agg(F.count(F.lit(1)).alias("n")).collect()     # at most the fingerprint's width
+    order = [int(bit) for _, bit in sorted((r["n"], r["bit"]) for r in freq)]
+    if not order:
+        return (lambda b: F.lit(None).cast("int")), 0
+    if min(order) >= 0 and max(order) < MOST_POSITIONS:
+        place = [-1] * (max(order) + 1)
+        for rank, bit in enumerate(order):
+            place[bit] = rank
+        table = F.array(*[F.lit(x) for x in place])
+        return (lambda b: F.element_at(table, b.cast("int") + 1)), len(order)
+    table = F.create_map(*[F.lit(x) for rank, bit in enumerate(order) for x in (bit, rank)])
+    return (lambda b: table[b]), len(order)
+
+
+def _words(ranks: Column, words: int) -> list[Column]:
+    """The ranks as bit masks of ``WORD`` each."""
+    one = lambda r: F.call_function("shiftleft", F.lit(1).cast("long"), r % WORD)
+
+    def word(w: int) -> Column:
+        # a second argument of a lambda would be taken for the index
+        mine = F.filter(ranks, lambda r: (r - r % WORD) == w * WORD)
+        return F.aggregate(mine, F.lit(0).cast("long"), lambda acc, r: acc.bitwiseOR(one(r)))
+
+    return [word(w) for w in range(words)]
+
+
+def _prepare(df: DataFrame, key: str, bits: str, rank, t_jac: float, side: str, words: int) -> DataFrame:
+    d = df.select(F.col(key).alias(f"{side}_key"), F.array_sort(F.transform(F.col(bits), rank)).alias(f"{side}_r"),
                   F.size(F.col(bits)).alias(f"{side}_n")).where(F.col(f"{side}_n") > 0)
     n = F.col(f"{side}_n")
     plen = n - F.ceil(n * F.lit(t_jac) - F.lit(_EPS)) + 1
     d = d.withColumn(f"{side}_pre", F.slice(F.col(f"{side}_r"), 1, plen.cast("int")))
-    if packed:
-        d = d.withColumn(f"{side}_m", _mask(F.col(f"{side}_r"))).withColumn(f"{side}_pm", _mask(F.col(f"{side}_pre")))
+    if words <= MOST_WORDS:
+        d = d.select(f"{side}_key", f"{side}_n", f"{side}_pre",
+                     *[m.alias(f"{side}_m{w}") for w, m in enumerate(_words(F.col(f"{side}_r"), words))],
+                     *[m.alias(f"{side}_p{w}") for w, m in enumerate(_words(F.col(f"{side}_pre"), words))])
     return d.select("*", F.posexplode(f"{side}_pre").alias(f"{side}_i", f"{side}_tok"))
 
 
+def _first_shared(words: int) -> Column:
+    """Rank of the rarest bit that both prefixes hold."""
+    out = None
+    for w in range(words - 1, -1, -1):
+        both = F.col(f"a_p{w}").bitwiseAND(F.col(f"b_p{w}"))
+        low = F.bit_count(both.bitwiseAND(-both) - 1) + WORD * w
+        out = low if out is None else F.when(both != 0, low).otherwise(out)
+    return out
+
+
 def similarity_pairs(a: DataFrame, key: str, bits: str = "bits", b: DataFrame | None = None,
                      min_sim: float = 0.5, metric: str = "tanimoto") -> DataFrame:
     """Exact pairs with similarity ≥ ``min_sim``: ``(i, j, sim)``; ``i < j`` for a self join.
@@ -105,10 +127,10 @@ def similarity_pairs(a: DataFrame, key: str, bits: str = "bits", b: DataFrame |
         raise ValueError(f"unknown metric {metric!r}")
     t_jac = min_sim if metric == "tanimoto" else min_sim / (2.0 - min_sim)
     other = a if b is None else b
-    rmap, n_distinct = _rarity_map([a] if b is None else [a, b], bits)
-    packed = n_distinct <= 64  # ranks fit one BIGINT: O(1) dedupe and verification per pair
-    left = _prepare(a, key, bits, rmap, t_jac, "a", packed)
-    right = _prepare(other, key, bits, rmap, t_jac, "b", packed)
+    rank, n_distinct = _ranks([a] if b is None else [a, b], bits)
+    words = max(1, -(-n_distinct // WORD))
+    left = _prepare(a, key, bits, rank, t_jac, "a", words)
+    right = _prepare(other, key, bits, rank, t_jac, "b", words)
     cond = [F.col("a_tok") == F.col("b_tok"),
             F.col("b_n") >= F.col("a_n") * F.lit(t_jac) - F.lit(_EPS),
             F.col("b_n") * F.lit(t_jac) <= F.col("a_n") + F.lit(_EPS)]
@@ -120,11 +142,9 @@ def similarity_pairs(a: DataFrame, key: str, bits: str = "bits", b: DataFrame |
         cond.append(F.col("a_key") < F.col("b_key"))
     cand = left.join(right, cond, "inner")
     # emit each pair once: at the rarest bit the two prefixes share
-    if packed:
-        shared = F.col("a_pm").bitwiseAND(F.col("b_pm"))
-        lowest = shared.bitwiseAND(-shared)
-        cand = cand.where(_bit(F.col("a_tok")) == lowest)
-        inter = F.bit_count(F.col("a_m").bitwiseAND(F.col("b_m"))).cast("double")
+    if words <= MOST_WORDS:
+        cand = cand.where(F.col("a_tok") == _first_shared(words))
+        inter = sum((F.bit_count(F.col(f"a_m{w}").bitwiseAND(F.col(f"b_m{w}"))) for w in range(words)), F.lit(0)).cast("double")
         tot = (F.col("a_n") + F.col("b_n")).cast("double")
         sim = (F.try_divide(inter, tot - inter) if metric == "tanimoto" else F.try_divide(2.0 * inter, tot))
     else:

@@ -322,6 +322,19 @@ register("sim_self_join", f"""SELECT * FROM (SELECT a.vec_id AS i, b.vec_id AS j
   AND {_sql_tani('a.bits', 'b.bits')} >= 0.6)""")(q_sim_self_join)
 
 
+def q_sim_join_ngrams(spark, sf):
+    """Token n-grams in 1,024 bits: sparse sets of many words."""
+    p = table(spark, sf, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("t"))
+    f = fp.ngram_fp(p, "p_partkey", "t", n_max=2, n_bits=1024, pattern=WORD_PATTERN)
+    return round_doubles(sim.similarity_pairs(f, "p_partkey", "bits", min_sim=0.7))
+
+
+_PART_BITS = f"""(SELECT p_partkey, {_sql_bits(_sql_ngrams(_sql_tokens("concat_ws(' ', p_name, p_type, p_brand)"), 2), 1024)} AS bits FROM part)"""
+register("sim_join_ngrams", f"""WITH f AS MATERIALIZED {_PART_BITS}
+SELECT * FROM (SELECT a.p_partkey AS i, b.p_partkey AS j, round({_sql_tani('a.bits', 'b.bits')}, 6) AS sim FROM f a JOIN f b
+  ON a.p_partkey < b.p_partkey AND len(a.bits) > 0 AND len(b.bits) > 0 AND {_sql_tani('a.bits', 'b.bits')} >= 0.7)""")(q_sim_join_ngrams)
+
+
 def q_sim_cross_join(spark, sf):
     """The three matrices of two sets (even and odd labels): within each and between."""
     e = emb_bits(spark, sf)

@@ -21,7 +21,7 @@ def test_ngram_self_similarity(spark):
 import pytest
 
 
-@pytest.mark.parametrize("width", [40, 100])  # packed (≤ 64 distinct bits) and array paths
+@pytest.mark.parametrize("width", [40, 63, 64, 100, 300, 5000])  # one mask word, several, arrays
 def test_threshold_join_equals_brute_force(spark, width):
     rnd = random.Random(3)
     rows = [(i, sorted(rnd.sample(range(width), rnd.randint(1, 12)))) for i in range(120)]
