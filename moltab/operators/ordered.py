@@ -132,18 +132,19 @@ def row_number(df: DataFrame, order_col: str, tiebreak: Sequence[str] = (), by:
     return res.withColumnRenamed("_rn_one", out).drop("_one")
 
 
-def average_rank(df: DataFrame, value_col: str, by: Sequence[str] = (), out: str = "rank",
-                 n_buckets: int | None = None) -> DataFrame:
-    """Tie-averaged 1-based rank of ``value_col`` within ``by`` (SQL: rank + (ties-1)/2).
-
-    Counts are pre-aggregated per distinct value, so a value shared by a
-    third of all rows is one row here; the ranks are joined back by value.
-    Null values get a null rank.
-    """
+def rank_table(df: DataFrame, value_col: str, by: Sequence[str] = (), out: str = "rank",
+               n_buckets: int | None = None) -> DataFrame:
+    """Tie-averaged 1-based rank of every distinct non-null value within ``by``; a value
+    that very many rows share is one row."""
     by = list(by)
     counts = (df.where(F.col(value_col).isNotNull())
               .groupBy(*by, value_col).agg(F.count(F.lit(1)).alias("_cnt")))
     cum = running_sum(counts, value_col, ["_cnt"], by=by, prefix="_cum", n_buckets=n_buckets)
-    ranks = cum.select(*by, value_col,
-                       ((F.col("_cum_cnt") - F.col("_cnt")) + (F.col("_cnt") + 1) / 2.0).alias(out))
-    return df.join(ranks, by + [value_col], "left")
+    return cum.select(*by, value_col, ((F.col("_cum_cnt") - F.col("_cnt")) + (F.col("_cnt") + 1) / 2.0).alias(out))
+
+
+def average_rank(df: DataFrame, value_col: str, by: Sequence[str] = (), out: str = "rank",
+                 n_buckets: int | None = None) -> DataFrame:
+    """``df`` with the tie-averaged rank of ``value_col`` within ``by`` (SQL: rank +
+    (ties-1)/2), joined by value; null values get a null rank."""
+    return df.join(rank_table(df, value_col, by, out, n_buckets), [*by, value_col], "left")

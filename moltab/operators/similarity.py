@@ -52,9 +52,9 @@ def count_tanimoto_expr(a: str | Column, b: str | Column) -> Column:
     return F.try_divide(smin, sa + sb - smin)
 
 
-#: Bits of a mask word (a BIGINT without its sign), and the words that a set's mask may take
-#: as columns; wider sets are compared as arrays.
-WORD, MOST_WORDS = 63, 64
+#: Bits of a mask word (a BIGINT), and the words that a set's mask may take as columns;
+#: wider sets are compared as arrays.
+WORD, MOST_WORDS = 64, 64
 #: Largest bit number for which ranks are looked up by position.
 MOST_POSITIONS = 1 << 16
 
@@ -102,17 +102,17 @@ def _prepare(df: DataFrame, key: str, bits: str, rank, t_jac: float, side: str,
         d = d.select(f"{side}_key", f"{side}_n", f"{side}_pre",
                      *[m.alias(f"{side}_m{w}") for w, m in enumerate(_words(F.col(f"{side}_r"), words))],
                      *[m.alias(f"{side}_p{w}") for w, m in enumerate(_words(F.col(f"{side}_pre"), words))])
-    return d.select("*", F.posexplode(f"{side}_pre").alias(f"{side}_i", f"{side}_tok"))
-
-
-def _first_shared(words: int) -> Column:
-    """Rank of the rarest bit that both prefixes hold."""
-    out = None
-    for w in range(words - 1, -1, -1):
-        both = F.col(f"a_p{w}").bitwiseAND(F.col(f"b_p{w}"))
-        low = F.bit_count(both.bitwiseAND(-both) - 1) + WORD * w
-        out = low if out is None else F.when(both != 0, low).otherwise(out)
-    return out
+    d = d.select("*", F.posexplode(f"{side}_pre").alias(f"{side}_i", f"{side}_tok"))
+    if words > MOST_WORDS or side != "a":
+        return d
+    # the prefix's bits that are rarer than the row's: a pair that shares one is met there
+    tok = F.col("a_tok")
+    at, bit = (tok - tok % WORD) / WORD, tok % WORD
+    below = F.when(bit == 0, F.lit(0).cast("long")).otherwise(
+        F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), WORD - bit))
+    return d.select("a_key", "a_n", "a_i", "a_tok", *[f"a_m{w}" for w in range(words)], *[
+        F.when(at > w, F.col(f"a_p{w}")).when(at == w, F.col(f"a_p{w}").bitwiseAND(below))
+        .otherwise(F.lit(0).cast("long")).alias(f"a_q{w}") for w in range(words)])
 
 
 def similarity_pairs(a: DataFrame, key: str, bits: str = "bits", b: DataFrame | None = None,
@@ -143,7 +143,8 @@ def similarity_pairs(a: DataFrame, key: str, bits: str = "bits", b: DataFrame |
     cand = left.join(right, cond, "inner")
     # emit each pair once: at the rarest bit the two prefixes share
     if words <= MOST_WORDS:
-        cand = cand.where(F.col("a_tok") == _first_shared(words))
+        for w in range(words):
+            cand = cand.where(F.col(f"a_q{w}").bitwiseAND(F.col(f"b_p{w}")) == 0)
         inter = sum((F.bit_count(F.col(f"a_m{w}").bitwiseAND(F.col(f"b_m{w}"))) for w in range(words)), F.lit(0)).cast("double")
         tot = (F.col("a_n") + F.col("b_n")).cast("double")
         sim = (F.try_divide(inter, tot - inter) if metric == "tanimoto" else F.try_divide(2.0 * inter, tot))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from moltab.operators.concordance import kendall_tau
 from moltab.operators.gram import corr_pairs
-from moltab.operators.ordered import average_rank, running_sum
+from moltab.operators.ordered import average_rank, rank_table, running_sum
 from moltab.operators.permutation import permutation_test
 
 METHODS = ("pearson", "spearman", "kendall")
@@ -46,14 +46,31 @@ def corr_features(df: DataFrame, cols: Sequence[str], target: str, method: str =
         return long.groupBy("feature").agg(F.count(F.lit(1)).alias("n"),
                                            pearson_agg("value", "_y").alias("r"))
     if method == "spearman":
-        if key is None:
-            long = long.withColumn("_rid", F.monotonically_increasing_id())
-        rk = average_rank(long, "value", by=["feature"], out="_rx")
-        rk = average_rank(rk, "_y", by=["feature"], out="_ry")
-        return rk.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), pearson_agg("_rx", "_ry").alias("r"))
+        return _spearman(base.where(F.col("_y").isNotNull()), list(cols))
     return kendall_tau(long, "value", "_y", by=["feature"]).withColumnRenamed("tau", "r")
 
 
+def _spearman(base: DataFrame, cols: list[str]) -> DataFrame:
+    """``feature, n, r`` over rows with a target ``_y``.  Features without nulls share the
+    target's ranks, which are joined before the rows are made long."""
+    holes = base.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
+    full = [c for c in cols if not holes[c]]
+    out = None
+    for part, own in (([c for c in cols if c not in full], True), (full, False)):
+        if not part:
+            continue
+        rows = base.select("_y", *part) if own else average_rank(base.select("_y", *part), "_y", out="_ry")
+        kept = ["_y"] if own else ["_ry"]
+        long = rows.unpivot(kept, part, "feature", "value").where(F.col("value").isNotNull())
+        ranked = average_rank(long, "value", by=["feature"], out="_rx")
+        if own:   # ranks of the target among the feature's rows, from the rows before the first join
+            ys = rank_table(long, "_y", ["feature"], "_ry")
+            ranked = ranked.join(ys, ["feature", "_y"])
+        one = ranked.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), pearson_agg("_rx", "_ry").alias("r"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def corr_pair(df: DataFrame, x: str, y: str, method: str = "pearson") -> DataFrame:
     """Correlation of two columns as ``(x, y, r)`` (the off-diagonal of the 2×2 matrix)."""
     _check_method(method)
