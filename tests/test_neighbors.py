@@ -29,3 +29,34 @@ def test_knn_equals_brute_force(spark, monkeypatch, exclude_self, rows):
 def test_knn_without_points(spark):
     df = spark.createDataFrame([("x", [1.0])], "id string, v array<double>")
     assert neighbors.knn(df, df.limit(0), "id", "v", 3).count() == 0
+
+
+def test_leaves_do_not_grow_with_the_points():
+    rng = np.random.default_rng(1)
+    for n, depth in ((2_000, 5), (16_000, 8)):
+        x = rng.normal(size=(n, 3)) * [1.0, 5.0, 0.1]
+        tree = neighbors.Tree(x[::4], depth)
+        assert np.bincount(tree.leaf(x) - ((1 << depth) - 1), minlength=1 << depth).max() <= 3 * n >> depth
+
+
+def test_product_screens_exactly():
+    rng = np.random.default_rng(2)
+    q, p = (1e4 + rng.integers(0, 3, (n, 4)) * 1e-3 for n in (40, 300))
+    i, j, dist = neighbors.nearest(q, p, 6)
+    for a in range(len(q)):
+        d = np.zeros(len(p))
+        for c in range(4):
+            d += (q[a, c] - p[:, c]) ** 2
+        order = np.lexsort((np.arange(len(p)), np.sqrt(d)))[:6]
+        assert j[i == a].tolist() == order.tolist()
+
+
+def test_repeated_keys_and_vectors_without_distance(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "BLOCK_ROWS", 4)
+    pts = [("x", [0.0, 0.0])] * 5 + [(f"y{i}", [0.0, 0.0]) for i in range(9)] + [("z", [float(i), 1.0]) for i in range(20)]
+    lost = [("n", None), ("m", [float("nan"), 0.0]), ("i", [float("inf"), 0.0])]
+    df = spark.createDataFrame(pts + lost, "id string, v array<double>")
+    got = {(r.q, r["rank"]): r.p for r in neighbors.knn(df, df, "id", "v", 3, exclude_self=True).collect()}
+    assert [got["x", r] for r in (1, 2, 3)] == ["y0", "y1", "y2"]
+    assert [got["y0", r] for r in (1, 2, 3)] == ["x", "x", "x"]
+    assert {q for q, _ in got} == {p[0] for p in pts}
