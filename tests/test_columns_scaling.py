@@ -95,3 +95,23 @@ def test_exact_quantiles(spark):
     q = {r.q: r.quantile for r in stats.exact_quantiles(df, "value", [0.25, 0.5, 0.75]).collect()}
     for p in (0.25, 0.5, 0.75):
         assert q[p] == pytest.approx(float(np.quantile(vals, p)))
+
+
+def test_folds_of_few_groups_stay_spread(spark):
+    """A group's rows are not brought into one task to learn the group's size."""
+    n = 4000
+    df = spark.range(n).select("id", F.when(F.col("id") % 2 == 0, "m1").otherwise("m2").alias("model"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = splits.kfold(df, "id", 3, seed=3, by=["model"]).withColumn("at", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    held, folds = {}, {}
+    for r in got:
+        held[r["at"]] = held.get(r["at"], 0) + 1
+        folds[r["model"], r["fold"]] = folds.get((r["model"], r["fold"]), 0) + 1
+    assert max(held.values()) < 0.45 * n
+    assert sorted(folds.values()) == [666, 666, 667, 667, 667, 667] and len({r["id"] for r in got}) == n
