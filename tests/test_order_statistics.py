@@ -179,3 +179,24 @@ def test_permutation_arguments(spark, monkeypatch):
     monkeypatch.setattr(perm, "MOST_KENDALL", 10)
     with pytest.raises(ValueError):
         perm.permutation_test(df, "id", ["a"], "y", "kendall")
+
+
+@pytest.mark.parametrize("values", [5, None])
+def test_permuted_tau_of_few_and_many_values(monkeypatch, values):
+    monkeypatch.setattr(perm, "WALKED", 64)
+    rng = np.random.default_rng(4)
+    n = 700
+    x, v = (rng.integers(0, values, (2, n)) if values else rng.normal(size=(2, n))).astype(float)
+    has = np.flatnonzero(rng.random(n) < 0.9)
+    keys = perm.round_keys(2, 6)
+    got = list(perm._permuted_tau(has, x[has], v, keys))
+    to = perm.permuted(has, keys, n)
+    want = [brute_tau(list(zip(x[has], v[to[:, b]]))) for b in range(1)]
+    assert got[:1] == pytest.approx(want, abs=1e-12) and len(got) == 6
+
+
+def test_kendall_permutations_of_more_than_a_million_rows(spark):
+    n = (1 << 20) + 50
+    df = spark.range(n).select("id", (F.col("id") % 7).alias("a"), F.expr("id * 7919 % 1009 % 2").alias("y"))
+    got = perm.permutation_test(df, "id", ["a"], "y", "kendall", n_perm=3).first()
+    assert got.n == n and abs(got.r) < 0.01 and got.p_value in (0.25, 0.5, 0.75, 1.0)
