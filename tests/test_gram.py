@@ -156,3 +156,39 @@ def test_variance_inflation(spark):
         assert got[f"f{i}"] == (pytest.approx(want, rel=1e-6), want <= 10)
     assert got["f5"] == (None, False)
     assert {r.feature: r.keep for r in training.vif(df, cols, 10.0).collect()}["f6"] is False
+
+
+def test_permutation_importance_reads_its_input_once(spark):
+    """Importances equal tables permuted by hand; the input is not run again for every copy."""
+    import hashlib
+    n, reps = 300, 2
+    rng = np.random.default_rng(6)
+    x = np.column_stack([rng.normal(size=n), rng.integers(0, 3, n).astype(float)])
+    y = (x[:, 0] + 0.2 * rng.normal(size=n) > 0).astype(float)
+    seen = spark.sparkContext.accumulator(0)
+
+    def tick(k):
+        seen.add(1)
+        return k
+
+    class Sign:
+        def transform(self, df):
+            from pyspark.ml.functions import vector_to_array
+            v = vector_to_array("features")
+            return df.withColumn("prediction", (v[0] + 0.01 * v[1] > 0).cast("double"))
+
+    df = spark.createDataFrame([(i, float(a), float(b), float(c)) for i, ((a, b), c) in enumerate(zip(x, y))],
+                               "id long, a double, b double, y double")
+    df = df.withColumn("id", F.udf(tick, "long")("id"))
+    got = {r.feature: r for r in training.permutation_importance(Sign(), df, "id", ["a", "b"], "y", reps, 7).collect()}
+    h = lambda *p: int(hashlib.md5("|".join(map(str, p)).encode()).hexdigest()[:8], 16)
+    place = sorted(range(n), key=lambda i: (h(i, "key"), i))
+    score = lambda z: float(((z[:, 0] + 0.01 * z[:, 1] > 0) == y).mean())
+    for j, f in enumerate("ab"):
+        drops = []
+        for r in range(reps):
+            z = x.copy()
+            z[place, j] = x[sorted(range(n), key=lambda i: (h(i, 7, f, r), i)), j]
+            drops.append(score(x) - score(z))
+        assert got[f].importance == pytest.approx(np.mean(drops)) and got[f].importance_std == pytest.approx(np.std(drops))
+    assert seen.value <= 3 * n
