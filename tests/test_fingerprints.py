@@ -73,3 +73,30 @@ def test_count_maps_agree_with_long_counts(spark):
         assert {k: sorted(v) for k, v in got.items()} == on
     pairs = {r.id: sum((r.counts or {}).values()) for r in fp.pair_counts(df, "id", "t", 2, 64, word).collect()}
     assert pairs == {1: 6 + 5, 2: 0, 3: 0, 4: 0, 5: 1, 6: 299 + 298}
+
+
+def test_hashed_features_equal_md5_by_hand(spark):
+    import hashlib
+    from collections import Counter
+    texts = ["a b a b a", "x", "", None, "b a", "Q1 z z z Q1 " * 60]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    word = "[A-Za-z0-9]+"
+    bucket = lambda g: int(hashlib.md5(g.encode()).hexdigest()[:8], 16) % 50
+    cut = lambda t: (t or "").split()
+    runs = lambda t, n: [t[i:i + n] for i in range(len(t) - n + 1)]
+    made = {
+        "ngram": lambda t: [" ".join(r) for n in (1, 2, 3) for r in runs(t, n)],
+        "pair": lambda t: [f"{min(r[0], r[-1])}|{max(r[0], r[-1])}|{d}" for d in (1, 2) for r in runs(t, d + 1)],
+        "path": lambda t: [min(" ".join(r), " ".join(r[::-1])) for r in runs(t, 3)],
+    }
+    size = {"ngram": 3, "pair": 2, "path": 3}
+    counted = {"ngram": fp.ngram_count_map, "pair": fp.pair_counts, "path": fp.path_counts}
+    for kind, feats in made.items():
+        on = getattr(fp, f"{kind}_fp")(df, "id", "t", size[kind], 50, word)
+        assert "lambda" not in on._jdf.queryExecution().toString()      # no interpreted lambda per feature
+        assert {r.id: r.bits for r in on.collect()} == \
+            {i: sorted({bucket(g) for g in feats(cut(t))}) for i, t in enumerate(texts)}
+        assert {r.id: r.counts for r in counted[kind](df, "id", "t", size[kind], 50, word).collect()} == \
+            {i: dict(Counter(map(bucket, feats(cut(t))))) for i, t in enumerate(texts)}
+    assert {(r.id, r.bit): r["count"] for r in fp.ngram_counts(df, "id", "t", 3, 50, word).collect()} == \
+        {(i, b): n for i, t in enumerate(texts) for b, n in Counter(map(bucket, made["ngram"](cut(t)))).items()}
