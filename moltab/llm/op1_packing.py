@@ -23,7 +23,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from struct import pack
+from struct import Struct, pack
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moltab.llm.common import importable, table
+from moltab.llm.common import claim, importable, table, worker_cache
 
 END_ID = 2
 #: Words remembered per worker and generation; words seen again move to the new one.
@@ -164,8 +164,8 @@ class WordIds(dict):
     """Ids of texts as little-endian 32-bit bytes.  White space never joins tokens
     of this tokenizer family, so a text's ids are those of its words in turn.  A word of
     letters is one pre-token: the library's model is asked directly, once for all
-    spellings of its case and for what ends in a mark; other words that a slice of
-    texts has not shown before are encoded in one library call."""
+    spellings of its case and for what ends in a mark; other words are encoded by
+    the library when they first occur."""
 
     def __init__(self, path: str):
         super().__init__()
@@ -183,11 +183,12 @@ class WordIds(dict):
 
     @staticmethod
     def _ids(ids: list[int]) -> bytes:
-        return pack(f"<{len(ids)}I", *ids)
+        return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else pack(f"<{len(ids)}I", *ids)
 
     def _letters(self, word: str) -> bytes | None:
         """Ids of a word of letters; None if its normal form is not one."""
-        low = word.lower() if word.isascii() else self.normal.normalize_str(word)
+        # below the combining marks the normaliser only changes the case
+        low = word.lower() if word.isascii() or max(word) < "\u0300" else self.normal.normalize_str(word)
         ids = self.roots.get(low)
         if ids is None and low.isalpha():
             ids = self.old_roots.get(low)
@@ -197,43 +198,29 @@ class WordIds(dict):
             self.roots[low] = ids
         return ids
 
-    def learn(self, words: set[str]) -> None:
-        new = words.difference(self)
-        if len(self) + len(new) > MAX_WORDS:
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= MAX_WORDS:
             self.old = dict(self)
             self.clear()
-            new = words
         if len(self.roots) > MAX_WORDS:
             self.old_roots, self.roots = self.roots, {}
-        todo, old = [], self.old
-        for w in new:
-            if w in old:
-                ids = old[w]
-            elif w.isalpha():
-                ids = self._letters(w)
-            elif w and w[-1] in self.ends and w[:-1].isalpha():
-                ids = self._letters(w[:-1])
-                ids = ids and ids + self.ends[w[-1]]
-            else:
-                ids = None
+        ids = self.old.get(word)
+        if ids is None:
+            if word.isalpha():
+                ids = self._letters(word)
+            elif word and word[-1] in self.ends and word[:-1].isalpha():
+                ids = self._letters(word[:-1])
+                ids = ids and ids + self.ends[word[-1]]
             if ids is None:
-                todo.append(w)
-            else:
-                self[w] = ids
-        for at in range(0, len(todo), 20_000):
-            part = todo[at:at + 20_000]
-            for w, e in zip(part, self.lib.encode_batch(part, add_special_tokens=False)):
-                self[w] = self._ids(e.ids)
-
-    def texts(self, texts: list[str]) -> Iterator[bytes]:
-        split = []
+                ids = self._ids(self.lib.encode(word, add_special_tokens=False).ids)
+        self[word] = ids
+        return ids
+
+    def texts(self, texts: Iterable[str]) -> Iterator[bytes]:
         for t in texts:
             for c in _BREAKS:
                 t = t.replace(c, " ")
-            split.append(t.split(" "))
-        self.learn(set().union(*split))
-        for words in split:
-            yield b"".join(map(self.__getitem__, words))
+            yield b"".join(map(self.__getitem__, t.split(" ")))
 
 
 #: The printable letter that byte-level vocabularies use for each byte.
@@ -241,7 +228,8 @@ _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 #: ASCII white space, cut like a blank.
 _BREAKS = "\t\n\v\f\r"
-_WORDS: dict[str, WordIds] = {}
+_PACK = [Struct(f"<{n}I").pack for n in range(16)]
+_WORDS: dict[str, WordIds] = worker_cache("packing")
 
 
 def _slices(texts: Iterable[tuple], chars: int = SLICE_CHARS) -> Iterator[list[tuple]]:
@@ -265,6 +253,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits = Limits(),
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("packing")
         words = _WORDS.setdefault(tokenizer, None) or WordIds(tokenizer)
         _WORDS[tokenizer] = words
         packer, base = Packer(limits), TaskContext.get().partitionId() << 36

@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moltab.llm.common import table
+from moltab.llm.common import claim, table, worker_cache
 
 #: Fixed pre-token pattern of the byte-level tokenizer family.
 PRETOKEN = regex.compile(
@@ -270,10 +270,11 @@ class TextCounter(dict):
         return self.segment(head) + mid + (self.segment(tail) if tail else 0)
 
 
-_COUNTERS: dict[str, TextCounter] = {}
+_COUNTERS: dict[str, TextCounter] = worker_cache("counts")
 
 
 def _counter(path: str) -> TextCounter:
+    claim("counts")
     if path not in _COUNTERS:
         _COUNTERS[path] = TextCounter(path)
     return _COUNTERS[path]

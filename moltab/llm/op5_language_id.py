@@ -35,7 +35,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from moltab.llm.common import importable, staged, table
+from moltab.llm.common import claim, importable, staged, table, worker_cache
 
 LETTERS = regex.compile(r"\p{L}+")
 #: Mark that starts a word in the vocabulary.
@@ -299,6 +299,8 @@ def fit(docs: DataFrame, vocab: str, docs_per_lang: int = 400, rounds: int = 3,
         now = spark.sparkContext.broadcast((pieces, probs))   # vocabulary x languages
 
         def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            claim("language")
+            _SCORES.clear()                      # of an earlier model
             vocab_, p = now.value
             lattice, total = _lattice(vocab_), np.zeros_like(p)
             for b in batches:
@@ -325,7 +327,7 @@ def fit(docs: DataFrame, vocab: str, docs_per_lang: int = 400, rounds: int = 3,
     return Model(langs, pieces, probs, {c: math.log((n + 1) / all_) for c, n in letters.items()}, -math.log(all_))
 
 
-_LATTICES: dict[int, tuple[tuple, Lattice]] = {}
+_LATTICES: dict[int, tuple[tuple, Lattice]] = worker_cache("language")
 
 
 def _lattice(pieces: tuple[str, ...]) -> Lattice:
@@ -386,7 +388,7 @@ class WordScores(dict):
             yield self.table[at].sum(axis=0)
 
 
-_SCORES: dict[int, WordScores] = {}
+_SCORES: dict[int, WordScores] = worker_cache("language")
 
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text",
@@ -405,6 +407,7 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
     rest = [k for k in keep if k != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("language")
         if stamp not in _SCORES:
             _SCORES.clear()
             _SCORES[stamp] = WordScores(sent.value)

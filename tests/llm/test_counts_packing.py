@@ -116,3 +116,26 @@ def test_pack_items_refuses_bad_counts(spark):
     bad = spark.createDataFrame([(1, 0, 0)], "i long, t long, l long")
     with pytest.raises(Exception, match="item 1"):
         pack.pack_items(bad, pack.Limits(), "i", "t", "l").collect()
+
+
+def test_a_worker_keeps_the_words_of_one_operator():
+    from moltab.llm import common, op5_language_id
+    kept = {"counts": tok._COUNTERS, "language": op5_language_id._SCORES, "packing": pack._WORDS}
+    before = {k: dict(v) for k, v in kept.items()}
+    try:
+        for v in kept.values():
+            v["x"] = ()
+        common.claim("packing")
+        assert "x" in pack._WORDS and not kept["counts"] and not kept["language"]
+    finally:
+        for k, v in kept.items():
+            v.clear()
+            v.update(before[k])
+
+
+def test_words_of_letters_follow_the_normaliser():
+    words = pack.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    text = " ".join(f"A{chr(c)}b" for c in range(0x80, 0x400) if chr(c).isalpha()) + " ΟΔΟΣ Straße x'll"
+    assert words["Abc"]                      # made when it is first asked for
+    got = np.frombuffer(next(words.texts([text])), dtype="<u4").tolist()
+    assert got == words.lib.encode(text, add_special_tokens=False).ids
