@@ -12,8 +12,9 @@ table is built.  A class is named by that id ``c`` and by ``v``, the first eight
 its set's hash, which tells the versions of one id apart.  Collection keys held by one class only are dropped before keys are
 joined.  A table bucket is never expanded into all pairs:
 
-1. every member is compared with the bucket's leader (its smallest id); classes
-   linked so far fall into components;
+1. every member is compared with the bucket's leader, the one whose collection keys are
+   held by the most classes (what stands in the middle of a group of near copies, not one at
+   its edge); classes linked so far fall into components;
 2. buckets whose members are all in one component are done;
 3. the classes of all other buckets are joined by an exact prefix filter on their full
    sets (two sets of the wanted similarity share an element among the rarest of each),
@@ -220,17 +221,18 @@ def _links(docs: DataFrame, classes: DataFrame, near: Near, key: str, text: str)
     of all links, and the staged tables that they are read from."""
     # collection keys that more than one class holds
     subs = classes.select("c", "v", "n", F.posexplode("subs").alias("i", "u"))
-    shared = subs.groupBy("i", "u").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("i", "u")
-    held = subs.join(shared, ["i", "u"]).groupBy("c", "v", "n") \
-        .agg(F.array_sort(F.collect_list(F.struct("i", "u"))).alias("held"))   # at most `groups`
+    shared = subs.groupBy("i", "u").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    held = subs.join(shared, ["i", "u"]).groupBy("c", "v", "n").agg(
+        F.array_sort(F.collect_list(F.struct("i", "u"))).alias("held"),   # at most `groups`
+        (-F.sum("m")).alias("edge"))
     # tensor: every two of them, in order
-    first = held.select("c", "v", "n", "held", F.posexplode("held").alias("p", "x"))
-    both = first.select("c", "v", "n", "x", F.explode(F.slice(
+    first = held.select("c", "v", "n", "edge", "held", F.posexplode("held").alias("p", "x"))
+    both = first.select("c", "v", "n", "edge", "x", F.explode(F.slice(
         "held", F.col("p") + 2, F.size("held"))).alias("y"))
-    keys = both.select(F.xxhash64("x.i", "x.u", "y.i", "y.u").alias("k"), "c", "v", "n")
-    lead = keys.groupBy("k").agg(F.min(F.struct("c", "v")).alias("l"), F.count(F.lit(1)).alias("m")) \
+    keys = both.select(F.xxhash64("x.i", "x.u", "y.i", "y.u").alias("k"), "c", "v", "n", "edge")
+    lead = keys.groupBy("k").agg(F.min(F.struct("edge", "c", "v")).alias("l"), F.count(F.lit(1)).alias("m")) \
         .where("m > 1").select("k", F.col("l.c").alias("a"), F.col("l.v").alias("va"))
-    members = staged(keys.join(lead, "k"), "near-members")
+    members = staged(keys.drop("edge").join(lead, "k"), "near-members")
     sets = staged(_sets(docs, members.select("c").distinct(), near, key, text), "near-sets")
     sizes = classes.select(F.col("c").alias("a"), F.col("v").alias("va"), F.col("n").alias("na"))
 

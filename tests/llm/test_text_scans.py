@@ -260,3 +260,23 @@ def test_versions_of_one_id(spark):
     assert sorted((r.doc_id, r.component_id) for r in rows) == sorted((d, want[d][1]) for d, _ in docs)
     kept = keep_representatives(frame(spark, docs).select("doc_id", "text"), mh.CONTRACT).collect()
     assert sorted((r.doc_id, r.text) for r in kept) == sorted(apart + [docs[-2]])
+
+
+def test_leaders_stand_in_the_middle_of_their_group(spark, monkeypatch):
+    """Copies that are near one text only, which has the largest id, are linked by leaders;
+    none of them is left to be compared with the others."""
+    rnd = random.Random(12)
+    near = mh.Near(words=1, num=85, den=100, groups=16)
+    middle = [f"m{i}" for i in range(200)]
+    docs = [(1000, " ".join(middle))]
+    for g in range(60):
+        t = list(middle)
+        for at in rnd.sample(range(200), 13):
+            t[at] = f"x{g}y{at}"
+        docs.append((g, " ".join(t)))
+    want = brute_components(docs, near)
+    assert {c for _, c in want.values()} == {0}
+    left, old = [], mh._prefix_links
+    monkeypatch.setattr(mh, "_prefix_links", lambda rows, *a: left.append(rows.count()) or old(rows, *a))
+    rows = mh.near_duplicates(frame(spark, docs), near).collect()
+    assert {r.component_id for r in rows} == {0} and left == [0]
