@@ -135,41 +135,30 @@ def _sets(docs: DataFrame, ids: DataFrame, near: Near, key: str, text: str) -> D
         for batch in batches:
             for at in range(0, batch.num_rows, 256):   # sets leave in small batches
                 part = batch.slice(at, 256)
-                found = [(c, _version(_digest(s)), s.tobytes()) for c, t in zip(part.column(0), part.column(1))
+                found = [(c.as_py(), _version(_digest(s)), s) for c, t in zip(part.column(0), part.column(1))
                          if len(s := shingle_set(t.as_py(), near.words))]
-                found = list({(f[0].as_py(), f[1]): f for f in found}.values())
+                found = list({f[:2]: f for f in found}.values())
+                ends = np.cumsum([0, *(len(f[2]) for f in found)], dtype=np.int32)
+                every = np.concatenate([f[2] for f in found]) if found else np.empty(0, dtype=np.uint64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([f[0].as_py() for f in found], pa.int64()),
+                    [pa.array([f[0] for f in found], pa.int64()),
                      pa.array([f[1] for f in found], pa.int64()),
-                     pa.array([f[2] for f in found], pa.binary())], names=["c", "v", "s"])
+                     pa.ListArray.from_arrays(pa.array(ends), pa.array(every.view(np.int64)))],
+                    names=["c", "v", "s"])
 
     rows = docs.select(F.col(key).cast("long").alias("c"), F.col(text).cast("binary").alias("t"))
     known = rows.join(ids.hint("shuffle_hash"), "c", "left_semi")
-    return known.mapInArrow(run, "c long, v long, s binary")
+    return known.mapInArrow(run, "c long, v long, s array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
-    """``a, va, b, vb, linked`` for distinct pairs, decided on the full sets."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            linked = []
-            for x, y in zip(batch.column(4), batch.column(5)):
-                x = np.frombuffer(x.as_buffer(), dtype=np.uint64)
-                y = np.frombuffer(y.as_buffer(), dtype=np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                union = len(x) + len(y) - both
-                linked.append(near.den * both >= near.num * union)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:4], pa.array(linked, pa.bool_())], names=["a", "va", "b", "vb", "linked"])
-
+    """``a, b`` of those of the distinct pairs that are linked, decided on the full sets."""
     x = sets.select(F.col("c").alias("a"), F.col("v").alias("va"), F.col("s").alias("x"))
     y = sets.select(F.col("c").alias("b"), F.col("v").alias("vb"), F.col("s").alias("y"))
-    return pairs.join(x, ["a", "va"]).join(y, ["b", "vb"]).select("a", "va", "b", "vb", "x", "y") \
-        .mapInArrow(run, "a long, va long, b long, vb long, linked boolean")
+    both = F.size(F.array_intersect("x", "y"))
+    return pairs.join(x, ["a", "va"]).join(y, ["b", "vb"]) \
+        .where(both * (near.num + near.den) >= near.num * (F.size("x") + F.size("y"))) \
+        .select("a", "b")
 
 
 def _pair(**columns: tuple[str, str]) -> list[Column]:
@@ -240,8 +229,8 @@ def _links(docs: DataFrame, classes: DataFrame, near: Near, key: str, text: str)
     pairs = members.where("c <> a") \
         .select("a", "va", F.col("c").alias("b"), F.col("v").alias("vb"), "n").distinct() \
         .join(sizes, ["a", "va"]).where(_near_size(F.col("n"), F.col("na"), 1 - near.limit)) \
-        .select("a", "va", "b", "vb")
-    led = staged(_verified(pairs, sets, near).where("linked").select("a", "b"), "near-led")
+        .select(*_pair(ab=("a", "b"), v=("va", "vb"))).distinct()
+    led = staged(_verified(pairs, sets, near), "near-led")
 
     # 2. buckets that still hold several components
     comp = components(led)
@@ -267,15 +256,8 @@ def _prefix_links(rows: DataFrame, sets: DataFrame, near: Near) -> tuple[DataFra
     ``n - ceil(t * n) + 1`` of a set are joined, and a pair meets only where both places
     allow the overlap.  An element that one set holds joins nothing and only takes a place.
     """
-    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for c, v, x in zip(*batch.columns):
-                h = np.frombuffer(x.as_buffer(), dtype=np.int64)
-                one = lambda z: pa.array(np.full(len(h), z.as_py(), dtype=np.int64))  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays([one(c), one(v), pa.array(h)], names=["c", "v", "h"])
-
     mine = sets.join(rows.select("c", "v").hint("shuffle_hash"), ["c", "v"])
-    held = staged(mine.select("c", "v", "s").mapInArrow(elements, "c long, v long, h long"), "near-elements")
+    held = staged(mine.select("c", "v", F.explode("s").alias("h")), "near-elements")
     often = staged(held.groupBy("h").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "near-often")
     known = join_hot(held, often.withColumn("size", F.col("f")), ["h"], "size", held.count())
     # a set's shared elements, at most its own number, rare ones first
@@ -301,7 +283,7 @@ def _prefix_links(rows: DataFrame, sets: DataFrame, near: Near) -> tuple[DataFra
         & _near_size(F.col("n1"), F.col("n2"), 1 - near.limit)
         & (left * (near.num + near.den) >= near.num * (F.col("n1") + F.col("n2"))))
     pairs = met.select(*_pair(ab=("c1", "c2"), v=("v1", "v2"))).distinct()
-    late = staged(_verified(pairs, sets, near).where("linked").select("a", "b"), "near-late")
+    late = staged(_verified(pairs, sets, near), "near-late")
     return late, [held, often, heads, late]
 
 

@@ -280,3 +280,15 @@ def test_leaders_stand_in_the_middle_of_their_group(spark, monkeypatch):
     monkeypatch.setattr(mh, "_prefix_links", lambda rows, *a: left.append(rows.count()) or old(rows, *a))
     rows = mh.near_duplicates(frame(spark, docs), near).collect()
     assert {r.component_id for r in rows} == {0} and left == [0]
+
+
+def test_links_are_decided_without_leaving_the_jvm(spark):
+    """Full sets of thousands of pairs are not sent to Python workers at a time."""
+    sets = spark.createDataFrame(
+        [(1, 0, list(range(20))), (2, 0, list(range(17))), (3, 0, list(range(16))), (4, -1, [-5]), (5, 0, [-5]),
+         (6, 0, list(range(10, 30)))], "c long, v long, s array<long>")
+    pairs = spark.createDataFrame([(1, 0, 2, 0), (1, 0, 3, 0), (4, -1, 5, 0), (2, 0, 3, 0), (1, 0, 6, 0), (4, 0, 5, 0)],
+                                  "a long, va long, b long, vb long")
+    linked = mh._verified(pairs, sets, mh.CONTRACT)      # 17 of 20 is 0.85
+    assert sorted(map(tuple, linked.collect())) == [(1, 2), (2, 3), (4, 5)]
+    assert "InArrow" not in linked._jdf.queryExecution().toString()
