@@ -21,12 +21,13 @@ empty table gives an empty result.  Only the named columns are read.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from struct import Struct, pack
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,8 +39,9 @@ END_ID = 2
 MAX_WORDS = 300_000
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long, loss_tokens long, sequence_tokens long")
-#: Texts tokenised at a time, in characters.
-SLICE_CHARS = 1 << 21
+#: Texts tokenised at a time, in bytes, and words whose ids are laid out at a time.
+SLICE_BYTES = 1 << 22
+SLICE_WORDS = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -162,10 +164,11 @@ class Packer:
 
 class WordIds(dict):
     """Ids of texts as little-endian 32-bit bytes.  White space never joins tokens
-    of this tokenizer family, so a text's ids are those of its words in turn.  A word of
+    of this tokenizer family, so a text's ids are those of its words in turn; of the texts
+    given at a time every different word is looked up once.  A word of
     letters is one pre-token: the library's model is asked directly, once for all
-    spellings of its case and for what ends in a mark; other words are encoded by
-    the library when they first occur."""
+    spellings of its case and for what ends in marks (a pre-token of their own); other
+    words are encoded by the library when they first occur."""
 
     def __init__(self, path: str):
         super().__init__()
@@ -176,7 +179,7 @@ class WordIds(dict):
         self.lib.no_truncation()
         self.lib.no_padding()
         self.model, self.normal = self.lib.model, self.lib.normalizer
-        self.ends = {m: self._ids(self.lib.encode(m, add_special_tokens=False).ids) for m in ".,;:!?"}
+        self.ends: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.roots: dict[str, bytes] = {}
         self.old_roots: dict[str, bytes] = {}
@@ -208,40 +211,62 @@ class WordIds(dict):
         if ids is None:
             if word.isalpha():
                 ids = self._letters(word)
-            elif word and word[-1] in self.ends and word[:-1].isalpha():
-                ids = self._letters(word[:-1])
-                ids = ids and ids + self.ends[word[-1]]
+            elif (stem := word.rstrip(_MARKS)).isalpha():
+                ids = self._letters(stem)
+                ids = ids and ids + self._marks(word[len(stem):])
             if ids is None:
-                ids = self._ids(self.lib.encode(word, add_special_tokens=False).ids)
+                ids = self._encoded(word)
         self[word] = ids
         return ids
 
-    def texts(self, texts: Iterable[str]) -> Iterator[bytes]:
-        for t in texts:
-            for c in _BREAKS:
-                t = t.replace(c, " ")
-            yield b"".join(map(self.__getitem__, t.split(" ")))
+    def _encoded(self, word: str) -> bytes:
+        return self._ids(self.lib.encode(word, add_special_tokens=False).ids)
+
+    def _marks(self, marks: str) -> bytes:
+        if len(marks) > 4:
+            return self._encoded(marks)
+        ids = self.ends.get(marks)
+        if ids is None:
+            if len(self.ends) > MAX_WORDS:
+                self.ends.clear()
+            ids = self.ends[marks] = self._encoded(marks)
+        return ids
+
+    def texts(self, texts: pa.Array) -> Iterator[bytes]:
+        words = pc.ascii_split_whitespace(texts)    # a blank and the characters 9 to 13
+        coded = words.flatten().dictionary_encode()
+        place = coded.indices.to_numpy()
+        ids = list(map(self.__getitem__, coded.dictionary.to_pylist()))
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        first = np.cumsum(size) - size
+        pool = np.frombuffer(b"".join(ids), dtype="<u4")
+        ends = np.concatenate([[0], np.cumsum(size[place])])    # of each word's ids
+        out = np.empty(ends[-1], dtype="<u4")
+        for at in range(0, len(place), SLICE_WORDS):
+            part, stand = place[at:at + SLICE_WORDS], ends[at:at + SLICE_WORDS + 1]
+            out[stand[0]:stand[-1]] = pool[np.repeat(first[part] - stand[:-1], size[part])
+                                           + np.arange(stand[0], stand[-1])]
+        cuts = ends[words.offsets.to_numpy() - words.offsets[0].as_py()] if len(words) else ends
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            yield out[a:b].tobytes()
 
 
 #: The printable letter that byte-level vocabularies use for each byte.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
-#: ASCII white space, cut like a blank.
-_BREAKS = "\t\n\v\f\r"
+#: ASCII marks; an apostrophe may begin a pre-token with letters.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _PACK = [Struct(f"<{n}I").pack for n in range(16)]
 _WORDS: dict[str, WordIds] = worker_cache("packing")
 
 
-def _slices(texts: Iterable[tuple], chars: int = SLICE_CHARS) -> Iterator[list[tuple]]:
-    part, n = [], 0
-    for row in texts:
-        part.append(row)
-        n += len(row[1])
-        if n >= chars:
-            yield part
-            part, n = [], 0
-    if part:
-        yield part
+def _slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    ends, at = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64), 0
+    while at < len(texts):
+        before = ends[at - 1] if at else 0
+        to = min(int(np.searchsorted(ends, before + size)) + 1, len(texts))
+        yield at, to
+        at = to
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits = Limits(),
@@ -270,9 +295,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits = Limits(),
             return pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in SCHEMA.split(", ")])
 
         for b in batches:
-            texts = ((d.as_py(), t.as_py() or "") for d, t in zip(b.column(0), b.column(1)))
-            for part in _slices(texts):
-                for (doc, _), ids in zip(part, words.texts([t for _, t in part])):
+            docs_of, texts = b.column(0).to_pylist(), pc.fill_null(b.column(1), "")
+            for at, to in _slices(texts):
+                for doc, ids in zip(docs_of[at:to], words.texts(texts.slice(at, to - at))):
                     ids += end
                     n = len(ids) // 4
                     out.extend(rows(packer.add((doc, ids), n, n - 1)))

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -137,5 +138,41 @@ def test_words_of_letters_follow_the_normaliser():
     words = pack.WordIds(public_tokenizers.path("word_bpe_49k.json"))
     text = " ".join(f"A{chr(c)}b" for c in range(0x80, 0x400) if chr(c).isalpha()) + " ΟΔΟΣ Straße x'll"
     assert words["Abc"]                      # made when it is first asked for
-    got = np.frombuffer(next(words.texts([text])), dtype="<u4").tolist()
+    got = np.frombuffer(next(words.texts(pa.array([text]))), dtype="<u4").tolist()
     assert got == words.lib.encode(text, add_special_tokens=False).ids
+
+
+def test_the_library_sees_marks_and_stems_once():
+    """Words of letters and marks are put together from both, whatever the marks."""
+    words = pack.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    lib, seen = words.lib, []
+
+    class Counted:
+        def encode(self, text, **how):
+            seen.append(text)
+            return lib.encode(text, **how)
+
+    words.lib = Counted()
+    stems = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}É" for i in range(200)]
+    marks = ["", ".", "...", "$$$", "!?", '")', "<|", "|>", "=", "-"]
+    text = " ".join(s + m for s in stems for m in marks)
+    got = [np.frombuffer(x, dtype="<u4").tolist() for x in words.texts(pa.array(["", text, " \n", f"\t{text} "]))]
+    want = lib.encode(text, add_special_tokens=False).ids
+    assert got == [[], want, [], want]
+    assert sorted(filter(None, seen)) == sorted(filter(None, marks))
+    odd = ["x'll.", "x's", "it's$$$", "'re", "a<|endoftext|>", "<|endoftext|>.", "12$$", "a1$$", "≠", "a̸.", "$$$", "#a#"]
+    for w in odd:
+        assert np.frombuffer(next(words.texts(pa.array([w]))), dtype="<u4").tolist() == \
+            lib.encode(w, add_special_tokens=False).ids
+
+
+def test_ids_are_laid_out_in_parts(monkeypatch):
+    monkeypatch.setattr(pack, "SLICE_WORDS", 3)
+    words = pack.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    docs = texts(40, 8) + ["", "word " * 50]
+    col = pa.array(docs)
+    cuts = list(pack._slices(col, 100))
+    assert [i for a, b in cuts for i in range(a, b)] == list(range(len(docs)))
+    got = [x for a, b in cuts for x in words.texts(col.slice(a, b - a))]
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in got] == \
+        [words.lib.encode(t, add_special_tokens=False).ids for t in docs]
