@@ -61,3 +61,42 @@ def test_repeated_keys_and_vectors_without_distance(spark, monkeypatch):
     assert [got["x", r] for r in (1, 2, 3)] == ["y0", "y0", "y0"]
     assert [got["y0", r] for r in (1, 2, 3)] == ["x", "x", "x"]
     assert {q for q, _ in got} == {p[0] for p in pts}
+
+
+def test_lists_hold_whatever_part_is_left_out(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(neighbors, "SLICE_ROWS", 40)
+    rng = np.random.default_rng(3)
+    # part 0 lies close together: its points are most of the nearest ones
+    pts = [(0, i, [float(v) * (0.1 if i % 3 == 0 else 1.0) for v in rng.integers(0, 5, 2)], float(rng.integers(0, 50)), i % 3)
+           for i in range(150)]
+    df = spark.createDataFrame(pts, "g int, id long, v array<double>, y double, part int")
+    lists = neighbors.neighbour_lists(df.select("g", "id", "v"), df, 4).collect()
+    assert sorted(r.id for r in lists) == list(range(150))
+    at = {p[1]: p for p in pts}
+    for r in lists:
+        for f in range(3):
+            near = sorted((np.sqrt(sum((a - b) ** 2 for a, b in zip(at[r.id][2], p[2]))), p[1], p[3]) for p in pts if p[4] != f)
+            assert [e.y for e in r.near if e.part != f][:4] == [y for *_, y in near[:4]]
+
+
+def test_votes_and_means_of_several_k(spark):
+    lists = spark.createDataFrame([(1, [(2.0,), (1.0,), (1.0,), (None,)]), (2, [(None,), (0.0,)]), (3, [])],
+                                  "id int, near array<struct<y:double>>")
+    told = lambda regression: {(r.id, r.cand_id): r for r in
+                               neighbors.predictions(lists, [1, 2, 4], regression, ["id"]).collect()}
+    clf, reg = told(False), told(True)
+    assert {k: (r.prediction, r.prob1) for k, r in clf.items()} == {
+        (1, 0): (2.0, 0.0), (1, 1): (1.0, 0.5), (1, 2): (1.0, 0.5),
+        (2, 0): (None, 0.0), (2, 1): (None, 0.0), (2, 2): (None, 0.0)}
+    assert {k: r.prediction for k, r in reg.items()} == {(1, 0): 2.0, (1, 1): 1.5, (1, 2): 4 / 3, (2, 0): None, (2, 1): 0.0, (2, 2): 0.0}
+
+
+def test_search_gives_its_disk_back(spark):
+    from moltab.session import ensure_checkpoint_dir
+    import glob
+    df = spark.createDataFrame([(i, [float(i % 7), float(i)]) for i in range(200)], "id long, v array<double>")
+    tables = lambda: set(glob.glob(ensure_checkpoint_dir(spark).removeprefix("file://") + "/moltab-scratch/*"))
+    before = tables()
+    assert neighbors.knn(df, df, "id", "v", 3).count() == 600
+    assert {t.rsplit("/", 1)[1].rsplit("-", 1)[0] for t in tables() - before} == {"knn-lists"}
