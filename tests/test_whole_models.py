@@ -56,7 +56,7 @@ def brute(train, test, k, regression):
     return out
 
 
-@pytest.mark.parametrize("query,key", [("m_knn_clf", "doc_id")])
+@pytest.mark.parametrize("query,key", [("m_knn_clf", "doc_id"), ("m_knn_reg", "o_orderkey")])
 def test_knn_models_search_all_candidates_in_five_folds(spark, tables, monkeypatch, query, key):
     grids = []
     real = training.grid_search
