@@ -10,7 +10,9 @@ compacted.  Each task walks many candidate blocks and keeps a running top k per
 query, so only ``k`` rows per query and task are shuffled to the final merge.
 
 The query set is stated (ids divisible by ``every``) and meets the candidates
-in blocks.  Vectors that are null or hold null or non-finite components take no
+in blocks.  A task holds one group of query blocks and one lane of candidate blocks, each
+of bounded size: a block is shuffled once per group or lane of the other side, in the
+smallest integers that hold it, and block pairs are never rows of a table.  Vectors that are null or hold null or non-finite components take no
 part; vectors of different lengths never meet (a query sees candidates of its own
 length).  Repeated rows are separate candidates and one query; a query does not see
 candidates with its own id.  A
@@ -32,6 +34,8 @@ from moltab.llm.common import table
 QUERY_BLOCK = 256
 CANDIDATE_BLOCK = 4096
 DIM_BLOCK = 8
+#: Bytes of the query vectors and of the candidate vectors that a task holds (about).
+QUERY_BYTES, LANE_BYTES = 1 << 25, 1 << 26
 
 
 def _usable(df: DataFrame, key: str, vec: str) -> DataFrame:
@@ -43,7 +47,8 @@ def _usable(df: DataFrame, key: str, vec: str) -> DataFrame:
 
 
 def _packed(df: DataFrame, block_rows: int) -> DataFrame:
-    """Blocks of vectors of one length: ``dim, ids, data`` (dimension-major int64)."""
+    """Blocks of vectors of one length: ``dim, ids, data`` (dimension-major, in the smallest
+    integers that hold them)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_: dict[int, tuple[list, list]] = {}
@@ -51,10 +56,12 @@ def _packed(df: DataFrame, block_rows: int) -> DataFrame:
         def packed(dim):
             ids, rows = open_.pop(dim)
             m = np.array(rows, dtype=np.int64)
-            if np.abs(m).max() >= 1 << 31:
+            most = np.abs(m).max()
+            if most >= 1 << 31:
                 raise ValueError("a scaled component needs more than 31 bits")
+            kind = next(z for z in (np.int8, np.int16, np.int32) if most <= np.iinfo(z).max)
             return (dim, np.array(ids, dtype=np.int64).tobytes(),
-                    np.ascontiguousarray(m.T).tobytes())
+                    np.ascontiguousarray(m.T.astype(kind)).tobytes())
 
         def batch(rows):
             return pa.RecordBatch.from_arrays(
@@ -74,6 +81,13 @@ def _packed(df: DataFrame, block_rows: int) -> DataFrame:
     return df.mapInArrow(run, "dim int, ids binary, data binary")
 
 
+def _unpacked(dim: int, ids: pa.Scalar, data: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors (dimension-major int64) of a block."""
+    ids, data = np.frombuffer(ids.as_buffer(), np.int64), data.as_buffer()
+    kind = np.dtype(f"i{len(data) // (dim * len(ids))}")
+    return ids, np.frombuffer(data, kind).reshape(dim, -1).astype(np.int64)
+
+
 def block_scores(q: np.ndarray, c: np.ndarray, own: np.ndarray, floor: np.ndarray, k: int,
                  dim_block: int = DIM_BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Branch and bound of query block ``q`` and candidate block ``c`` (both
@@ -115,29 +129,37 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id",
     spark = vectors.sparkSession
     rows = _usable(vectors, key, vec)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    queries = rows.where(F.col("id") % every == 0).dropDuplicates(["id", "x"])
+    asks = F.col("id") % every == 0
+    size = F.size("x").cast("long") * 8
+    of = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes"), F.sum(F.when(asks, size)).alias("asked")).first()
+    # groups of query blocks, lanes of candidate blocks; more lanes only to occupy all cores,
+    # since what a lane has seen bounds what is left of it
+    groups = max(1, -(-(of["asked"] or 0) // QUERY_BYTES))
+    lanes = max(1, -(-(of["bytes"] or 0) // LANE_BYTES),
+                min(-(-of["n"] // candidate_block), -(-spark.sparkContext.defaultParallelism // groups)))
+    queries = rows.where(asks).dropDuplicates(["id", "x"])
     qb = _packed(queries.repartition(max(1, parts // 8), "id"), query_block) \
-        .select(F.col("dim"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
+        .withColumn("group", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int")) \
+        .withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    # blocks in turn, within a partition and from one partition to the next
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    dealt = F.pmod(at + F.spark_partition_id(), F.lit(lanes))
     cb = _packed(rows, candidate_block) \
-        .select(F.col("dim"), F.col("ids").alias("c_ids"), F.col("data").alias("c_data"))
-    # a candidate block is dealt to one lane; a query block goes to every lane, so a
-    # task holds one pair of blocks and each query's running top k
-    lanes = max(1, parts)
-    cb = cb.withColumn("lane", F.pmod(F.xxhash64("c_ids"), F.lit(lanes)).cast("int"))
-    qb = qb.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-    pairs = cb.join(qb, ["dim", "lane"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[bytes, tuple[np.ndarray, list]] = {}
-        for b in batches:
-            for dim, ci, cd, qi, qd in zip(*(b.column(n).to_pylist() for n in
-                                             ("dim", "c_ids", "c_data", "q_ids", "q_data"))):
-                c_ids, q_ids = np.frombuffer(ci, np.int64), np.frombuffer(qi, np.int64)
-                c = np.frombuffer(cd, np.int64).reshape(dim, -1)
-                q = np.frombuffer(qd, np.int64).reshape(dim, -1)
-                floor = best[qi][0] if qi in best else np.full(len(q_ids), np.iinfo(np.int64).min)
+        .withColumn("lane", dealt.cast("int")) \
+        .withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+
+    def run(asked: pa.Table, lane: pa.Table) -> pa.Table:
+        best: list[list] = []
+        if lane.num_rows:
+            for dim, ids, data in zip(asked.column("dim").to_pylist(), asked.column("ids"), asked.column("data")):
+                q_ids, q = _unpacked(dim, ids, data)
+                none = np.empty(0, np.int64)
+                best.append([q_ids, q, np.full(len(q_ids), np.iinfo(np.int64).min), (none, none, none)])
+        for dim, ids, data in zip(lane.column("dim").to_pylist(), lane.column("ids"), lane.column("data")) if best else ():
+            c_ids, c = _unpacked(dim, ids, data)
+            for of_block in best:
+                q_ids, q, floor, old = of_block
                 a, e, s = block_scores(q, c, q_ids[:, None] == c_ids[None, :], floor, k)
-                old = best[qi][1] if qi in best else (np.empty(0, np.int64),) * 3
                 a, e, s = (np.concatenate(x) for x in zip(old, (a, c_ids[e], s)))
                 order = np.lexsort((e, -s, a))
                 a, e, s = a[order], e[order], s[order]
@@ -149,14 +171,12 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id",
                 full = n == k
                 last = np.cumsum(n) - 1
                 floor[full] = s[last[full]]
-                best[qi] = floor, (a, e, s)
-        for qi, (_, (a, e, s)) in best.items():
-            q_ids = np.frombuffer(qi, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(q_ids[a]), pa.array(e), pa.array(s)], names=["query_id", "vec_id", "score"])
-
-    found = pairs.select("dim", "c_ids", "c_data", "q_ids", "q_data") \
-        .mapInArrow(run, "query_id long, vec_id long, score long")
+                of_block[2:] = floor, (a, e, s)
+        found = [(q_ids[a], e, s) for q_ids, _, _, (a, e, s) in best] or [(np.empty(0, np.int64),) * 3]
+        return pa.table({c: pa.array(np.concatenate(x)) for c, x in zip(("query_id", "vec_id", "score"), zip(*found))})
+
+    found = qb.groupBy("dim", "group", "lane").cogroup(cb.groupBy("dim", "group", "lane")) \
+        .applyInArrow(run, "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k) \
         .select("query_id", "rank", "vec_id", "score")

@@ -106,6 +106,18 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_holds_groups_and_lanes_of_bounded_size(spark, monkeypatch):
+    df, _ = frame(spark)
+    want = sorted(topk.top_k(df, query_block=4, candidate_block=16).collect())
+    monkeypatch.setattr(topk, "QUERY_BYTES", 400)
+    monkeypatch.setattr(topk, "LANE_BYTES", 3000)
+    found = topk.top_k(df, query_block=2, candidate_block=16)
+    assert sorted(found.collect()) == want
+    # pairs of blocks are no rows of a join, which would be as large as both
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "FlatMapCoGroupsInArrow" in plan
+
+
 def test_branch_and_bound_drops_only_what_cannot_enter():
     rng = np.random.default_rng(5)
     q, c = rng.integers(-90, 90, (24, 6)), rng.integers(-90, 90, (24, 500))
