@@ -134,3 +134,21 @@ def test_components_too_large_for_64_bits_raise(spark):
     df = spark.createDataFrame([(0, [1e9, 0.0], 0, 0, 0), (1, [1.0, 1.0], 0, 0, 0)], SCHEMA)
     with pytest.raises(Exception, match="31 bits"):
         topk.top_k(df).collect()
+
+
+def test_near_pairs_in_rounds_give_their_disk_back(spark, monkeypatch):
+    import glob
+
+    from moltab.session import ensure_checkpoint_dir
+    df, _ = frame(spark)
+    df = df.union(spark.createDataFrame([(200_000 + i, [z, 1.0] + [0.0] * 4, 0, 0, 0) for i, z in enumerate([0.0, -0.0])], SCHEMA))
+    told = lambda d: sorted(map(str, d.collect()))
+    want = told(near.similar_vectors(df, pack_rows=1000))
+    assert any(r.vec_id == 200_001 and r.component_id == 200_000 and r.n_links == 1 for r in near.similar_vectors(df).collect())
+    monkeypatch.setattr(near, "ROUND_BYTES", 1)
+    at = ensure_checkpoint_dir(spark).removeprefix("file://") + "/moltab-scratch/*"
+    tables = lambda: set(glob.glob(at))
+    before = tables()
+    assert told(near.similar_vectors(df, pack_rows=20)) == want
+    left = {t.rsplit("/", 1)[1].rsplit("-", 1)[0] for t in tables() - before}
+    assert "cover-links" in left and not left & {"cover-whole", "cover-dealt", "cover-packs", "cover-tiles"}
