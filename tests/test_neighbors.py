@@ -93,10 +93,12 @@ def test_votes_and_means_of_several_k(spark):
 
 
 def test_search_gives_its_disk_back(spark):
-    from moltab.session import ensure_checkpoint_dir
     import glob
+
+    from moltab.session import _CLEAN_KEY, ensure_checkpoint_dir
     df = spark.createDataFrame([(i, [float(i % 7), float(i)]) for i in range(200)], "id long, v array<double>")
     tables = lambda: set(glob.glob(ensure_checkpoint_dir(spark).removeprefix("file://") + "/moltab-scratch/*"))
-    before = tables()
+    before, setting = tables(), spark.conf.get(_CLEAN_KEY, None)
     assert neighbors.knn(df, df, "id", "v", 3).count() == 600
+    assert spark.conf.get(_CLEAN_KEY, None) == setting
     assert {t.rsplit("/", 1)[1].rsplit("-", 1)[0] for t in tables() - before} == {"knn-lists"}
